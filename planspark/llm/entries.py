@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import lengths, packing, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixture_packing": packing.query}
+    return {
+        "op1_mixture_packing": packing.query,
+        "op5_simhash_near_dedup": simhash.query,
+        "op8_substring_dedup": substring.query,
+        "op10_token_lengths": lengths.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
