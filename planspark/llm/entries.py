@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lengths, packing, simhash, substring
+from . import decontam, langid, lengths, media, packing, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixture_packing": packing.query,
+        "op2_benchmark_decontamination": decontam.query,
         "op5_simhash_near_dedup": simhash.query,
+        "op6_media_columns": media.query,
         "op8_substring_dedup": substring.query,
+        "op9_language_id": langid.query,
         "op10_token_lengths": lengths.query,
     }
 
