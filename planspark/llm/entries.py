@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lengths, media, packing, simhash, substring
+from . import decontam, langid, lengths, linededup, media, packing, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixture_packing": packing.query,
         "op2_benchmark_decontamination": decontam.query,
+        "op3_line_dedup": linededup.query,
         "op5_simhash_near_dedup": simhash.query,
         "op6_media_columns": media.query,
         "op8_substring_dedup": substring.query,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": linededup.ORACLE_SQL}
