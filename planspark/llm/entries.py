@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lengths, linededup, media, packing, simhash, substring
+from . import decontam, html, langid, lengths, linededup, media, packing, secrets, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixture_packing": packing.query,
         "op2_benchmark_decontamination": decontam.query,
         "op3_line_dedup": linededup.query,
+        "op4_html_main_text": html.query,
         "op5_simhash_near_dedup": simhash.query,
         "op6_media_columns": media.query,
+        "op7_secret_scan": secrets.query,
         "op8_substring_dedup": substring.query,
         "op9_language_id": langid.query,
         "op10_token_lengths": lengths.query,
