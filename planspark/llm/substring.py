@@ -28,9 +28,13 @@ from .words import BASES, keys, mix, places, windows
 
 WINDOW = 50
 #: Bytes of text that are packed together.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Windows a bucket holds, about.
-BUCKET = 2_000_000
+BUCKET = 1_200_000
+#: Bytes of the second key of a window; with the first and the bucket, over 85 bits tell windows apart.
+FAR = 6
+#: Least buckets, as a power of two.
+LEAST_BITS = 7
 PACKED = "bucket int, docs binary, counts binary, at binary, near binary, far binary"
 #: Documents without an id come after all others.
 LAST = (1 << 63) - 1
@@ -57,16 +61,16 @@ def _packed(doc: np.ndarray, at: np.ndarray, key: np.ndarray, far: np.ndarray |
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         first = np.flatnonzero(np.concatenate([[True], doc[a + 1 : b] != doc[a : b - 1]]))
         out["bucket"].append(int(bucket[a]))
-        out["docs"].append(doc[a:b][first].astype("<i8").tobytes())
+        out["docs"].append(_planes(doc[a:b][first].astype("<i8")))
         out["counts"].append(_planes(np.diff(np.append(first, b - a)).astype("<u4")))
         out["at"].append(_planes(np.diff(at[a:b], prepend=np.uint32(0))))
         out["near"].append(near[a:b].tobytes())
-        out["far"].append(b"" if far is None else far[a:b].tobytes())
+        out["far"].append(b"" if far is None else np.ascontiguousarray(far[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :FAR]).tobytes())
     return out
 
 
 def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    doc = [np.repeat(np.frombuffer(d, "<i8"), _whole(c, "<u4")) for d, c in zip(pdf["docs"], pdf["counts"], strict=True)]
+    doc = [np.repeat(_whole(d, "<i8"), _whole(c, "<u4")) for d, c in zip(pdf["docs"], pdf["counts"], strict=True)]
     at = [np.cumsum(_whole(x, "<u4"), dtype=np.uint32) for x in pdf["at"]]
     return np.concatenate(doc), np.concatenate(at), np.concatenate([np.frombuffer(x, "<u4") for x in pdf["near"]])
 
@@ -158,7 +162,8 @@ def _extend(bits: int, window: int, block: int):
 
 def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
     doc, at, near = _unpacked(pdf)
-    far = np.concatenate([np.frombuffer(x, "<u8") for x in pdf["far"]])
+    few = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, FAR) for x in pdf["far"]])
+    far = np.pad(few, ((0, 0), (0, 8 - FAR))).view("<u8").ravel()
     order = np.lexsort((near, far))
     doc, at, near, far = doc[order], at[order], near[order], far[order]
     first = np.flatnonzero(np.concatenate([[True], (near[1:] != near[:-1]) | (far[1:] != far[:-1])]))
@@ -167,7 +172,7 @@ def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
     return _places_of(doc[keep], at[keep])
 
 
-def _kept(window: int):
+def _kept(window: int, texts: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
@@ -185,6 +190,10 @@ def _kept(window: int):
                 else:
                     kept = b" ".join(words)
                 out.append((len(words), int(len(words) - keep.sum()), kept))
+            if not texts:
+                out = [(*x[:2], hashlib.sha256(x[2]).hexdigest()) for x in out]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_words": [x[0] for x in out], "n_removed": [x[1] for x in out], "kept_sha256": [x[2] for x in out]})
+                continue
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"].astype("Int64"), "n_words": [x[0] for x in out], "n_removed": [x[1] for x in out],
                 "kept_text": [x[2].decode("utf-8", "surrogatepass") for x in out], "kept_sha256": [hashlib.sha256(x[2]).hexdigest() for x in out],
@@ -193,8 +202,8 @@ def _kept(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, kept_sha256 of every document.
+def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (if texts), kept_sha256 of every document.
 
     docs: doc_id, text (other columns are ignored). A word goes if a window of ``window`` words over it
     also starts in a document with a smaller doc_id, in the texts as given. Null text has no words;
@@ -204,15 +213,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     block = window // 2
     docs = plain(docs, doc_id="long", text="string").withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(30, max(4, math.ceil(math.log2(max(1, size / 6 / BUCKET)))))
+    bits = min(30, max(LEAST_BITS, math.ceil(math.log2(max(1, size / 6 / BUCKET)))))
     answer = "doc long, at binary"
     anchors = docs.select("doc", "text").mapInPandas(_probes(bits, block), PACKED).groupBy("bucket").applyInPandas(_anchors(block), answer)
     anchors = anchors.groupBy("doc").agg(F.collect_list("at").alias("at"))
     # both joins read docs with the same columns, so Spark shuffles the texts once
     near = docs.join(anchors, "doc").select("doc_id", "doc", "text", "at").mapInPandas(_extend(bits, window, block), PACKED)
     covers = near.groupBy("bucket").applyInPandas(_repeats, answer).groupBy("doc").agg(F.collect_list("at").alias("at"))
-    return docs.join(covers, "doc", "left").select("doc_id", "doc", "text", "at").mapInPandas(_kept(window), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return docs.join(covers, "doc", "left").select("doc_id", "doc", "text", "at").mapInPandas(_kept(window, texts), "doc_id long, n_words long, n_removed long, " + "kept_text string, " * texts + "kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup(table(spark, sf_dir, "documents"), texts=False)
