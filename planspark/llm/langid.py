@@ -31,6 +31,8 @@ FEATURES = 4096
 #: Rows of each language that the classifiers are fitted on, about.
 SAMPLE = 600
 SCALE = 100.0
+#: Score under which a text is in no learned language; clean texts of one word score well above it.
+LEAST = 0.3
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _CHUNK = 1_000_000
@@ -95,6 +97,11 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def taught(docs: DataFrame) -> DataFrame:
+    """The rows that training may see."""
+    return docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+
+
 def fit(rows: DataFrame, sample: int = SAMPLE) -> dict:
     """Weights and the pairs they separate, from rows (doc_id, text, lang).
 
@@ -144,47 +151,71 @@ def _duel(names: list[str], margins: dict[tuple[str, str], np.ndarray], n: int)
     return best, 1 / (1 + np.exp(-2 * np.clip(close[np.arange(n), best], -30, 30)))
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document; ``und`` and 0 for null or letterless text, or an empty model."""
+def _judge(texts: list[str | None], model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each text."""
     langs, pairs = model["langs"], model["pairs"]
-    weights = np.zeros((FEATURES + 1, max(1, len(pairs))))
+    name, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    known = np.array([i for i, t in enumerate(texts) if langs and _letters(t)], np.int64)
+    weights = model["weights"]
+    families = sorted(model.get("groups", {}))
+    for chunk in _chunks([texts[i] for i in known]):
+        rows = known[chunk]
+        grams, stop = _grams([texts[i] for i in rows])
+        begin = np.concatenate([[0], stop[:-1]])
+        margin = np.empty((len(rows), weights.shape[1]))
+        for k in range(weights.shape[1]):
+            margin[:, k] = np.add.reduceat(weights[:, k][grams], begin, dtype=np.float64)
+        real = np.add.reduceat((grams < FEATURES).astype(np.int64), begin)
+        margin = margin / np.maximum(real, 1)[:, None] + model["intercept"]
+        by = {p[:3]: margin[:, k] for k, p in enumerate(pairs)}
+        won, sure = _duel(families, {k[1:]: v for k, v in by.items() if k[0] == "family"}, len(rows))
+        for f, members in enumerate(model["groups"][x] for x in families):
+            mine = np.flatnonzero(won == f)
+            if len(mine):
+                best, s = _duel(members, {k[1:]: v[mine] for k, v in by.items() if k[0] == "language"}, len(mine))
+                name[rows[mine]], score[rows[mine]] = np.array(members, object)[best], sure[mine] * s
+    return name, score
+
+
+def _ready(model: dict) -> dict:
+    pairs = model["pairs"]
+    weights = np.zeros((FEATURES + 1, max(1, len(pairs))), np.float32)
     for k, p in enumerate(pairs):
         weights[:FEATURES, k] = p[3]
-    intercept = np.array([p[4] for p in pairs] or [0.0])
-    weights = weights.astype(np.float32)
+    return model | {"pairs": [p[:3] for p in pairs], "weights": weights, "intercept": np.array([p[4] for p in pairs] or [0.0])}
+
+
+def predict(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document; ``und`` and 0 for null or letterless text, or an empty model."""
+    model = _ready(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n = len(pdf)
-            name, score = np.full(n, UNKNOWN, object), np.zeros(n)
-            known = [i for i, t in enumerate(pdf["text"]) if langs and _letters(t)]
-            texts = [pdf["text"].iat[i] for i in known]
-            for chunk in _chunks(texts):
-                grams, stop = _grams([texts[i] for i in chunk])
-                begin = np.concatenate([[0], stop[:-1]])
-                margin = np.empty((len(chunk), weights.shape[1]))
-                for k in range(weights.shape[1]):
-                    margin[:, k] = np.add.reduceat(weights[:, k][grams], begin, dtype=np.float64)
-                real = np.add.reduceat((grams < FEATURES).astype(np.int64), begin)
-                margin = margin / np.maximum(real, 1)[:, None] + intercept
-                by = {(p[0], p[1], p[2]): margin[:, k] for k, p in enumerate(pairs)}
-                families = sorted(model["groups"])
-                won, sure = _duel(families, {k[1:]: v for k, v in by.items() if k[0] == "family"}, len(chunk))
-                for f, members in enumerate(model["groups"][x] for x in families):
-                    mine = np.flatnonzero(won == f)
-                    best, s = _duel(members, {k[1:]: v[mine] for k, v in by.items() if k[0] == "language"}, len(mine))
-                    rows = np.array(known)[np.array(chunk)[mine]] if len(mine) else np.zeros(0, int)
-                    name[rows] = np.array(members, object)[best]
-                    score[rows] = sure[mine] * s
+            name, score = _judge(pdf["text"].tolist(), model)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": name, "score": score})
 
     docs = plain(docs, doc_id="long", text="string").withColumn("held_out", held_out())
     return docs.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: dict, least: float = LEAST) -> DataFrame:
+    """The rows of docs, all their columns, whose text is in a learned language with a score of ``least`` or more."""
+    import pyarrow as pa
+
+    model = _ready(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name, score = _judge(batch.column(at).to_pylist(), model)
+            yield batch.filter(pa.array((name != UNKNOWN) & (score >= least), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Fit on the rows that are not held out, predict all. Repeated rows are predicted each; an empty table gives no rows."""
-    return predict(docs, fit(docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)), sample))
+    return predict(docs, fit(taught(docs), sample))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

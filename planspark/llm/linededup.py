@@ -44,10 +44,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
 
 
-def _same_doc(a: DataFrame, b: DataFrame):
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
-
-
 def candidate_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, own: float = OWN) -> DataFrame:
     """doc_id, h, ln, masked, evidence of the lines in leaves that enough documents of their own share."""
     parts = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("ln"), _masked(x).alias("m")))
@@ -87,23 +83,39 @@ def generalised(shapes: DataFrame) -> DataFrame:
     return words.groupBy("template").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), " ").alias("pattern"), F.max("n").alias("shapes"))
 
 
-def line_dedup(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS, own: float = OWN) -> DataFrame:
+def dropped_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS, own: float = OWN) -> DataFrame:
+    """drop_id, drop_key (xxhash64 of the text) and the array drop_lines of every document that loses lines."""
+    docs = _keyed(plain(docs, doc_id="long", text="string"))
+    lines = candidate_lines(docs, depth, min_docs, own)
+    drop = lines.join(templates(lines, depth, similar, min_docs), "masked", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("ln").alias("drop_lines"))
+    return drop.select(F.col("doc_id").alias("drop_id"), F.col("h").alias("drop_key"), "drop_lines")
+
+
+def _kept() -> Column:
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop_lines", i)), "\n")
+    return F.when(F.col("drop_lines").isNull(), F.col("text")).otherwise(kept)
+
+
+def _joined(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["drop_id"]) & (F.xxhash64(docs["text"]) == drop["drop_key"]), "left")
+
+
+def line_dedup(docs: DataFrame, **how) -> DataFrame:
     """doc_id, text without lines of recurring templates, n_lines, n_dropped of every document.
 
     docs: doc_id, text (other columns are ignored). Lines end at line feeds; blank lines are no
     templates and stay. Null text stays null with no lines, empty text has one blank line. Rows with
     equal doc_id and text count as one document and each come back. Ties between frequent lines go to
-    the least in byte order. An empty table gives no rows.
+    the least in byte order. An empty table gives no rows. how: as for dropped_lines().
     """
-    docs = _keyed(plain(docs, doc_id="long", text="string"))
-    lines = candidate_lines(docs, depth, min_docs, own)
-    drop = lines.join(templates(lines, depth, similar, min_docs), "masked", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("ln").alias("drop"))
-    drop = drop.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "drop")
-    out = docs.join(drop, docs["doc_id"].eqNullSafe(drop["d"]) & (docs["h"] == drop["g"]), "left")
-    parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("drop", i)), "\n")
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)
-    return out.select("doc_id", text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    docs = plain(docs, doc_id="long", text="string")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    return _joined(docs, dropped_lines(docs, **how)).select("doc_id", _kept().alias("text"), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("drop_lines"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def clean(docs: DataFrame, **how) -> DataFrame:
+    """All rows and columns of docs, their text without lines of recurring templates."""
+    return _joined(docs, dropped_lines(docs, **how)).withColumn("text", _kept()).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,5 +185,14 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
     return made.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all their columns, of the smallest doc_id of each group of near-duplicates.
+
+    Rows that share that doc_id stay together; rows with null doc_id all stay.
+    """
+    keep = near_duplicates(docs, budget, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.where("doc_id is null").unionByName(docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
