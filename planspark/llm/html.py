@@ -5,7 +5,7 @@ in the order of their URL paths; a page is paired with the neighbour whose path
 own. The longest common subsequence of their lines is what the template repeats: those lines are
 deleted. Where markup names the article, text outside it goes as well and prose inside it stays even if
 the neighbour has it, since pages often carry the same paragraph or the same article; pairs that share
-most of their lines are copies of one page and tell nothing of the template.
+most of their characters are copies of one page and tell nothing of the template.
 
 Only line keys are compared across pages. The order over all pages is made by range partitions, so a
 host with a third of the pages is many partitions' work.
@@ -49,8 +49,8 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _RAW = {k: re.compile(rf"</{k}\b[^>]*>", re.I) for k in ("script", "style", "textarea", "title", "iframe", "noscript", "template")}
 #: Characters from which a line outside any article is prose.
 PROSE = 40
-#: Share of lines from which a pair of pages is one page twice.
-COPY = 0.6
+#: Share of its characters, outside what markup marks, from which a page that shares them is a copy.
+COPY = 0.8
 
 
 def _aside(name: str, attributes: str, in_article: bool) -> bool:
@@ -219,20 +219,22 @@ def _key(lines: list) -> list[int]:
 
 def _line_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "h": pdf["h"], "host": pdf["host"], "path": pdf["path"], "keys": [_key(blocks(x)) for x in pdf["html"]]})
+        pages = [blocks(x) for x in pdf["html"]]
+        sizes = [[0 if aside else len(text) for text, _, aside, _ in page] for page in pages]
+        yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "h": pdf["h"], "host": pdf["host"], "path": pdf["path"], "keys": [_key(page) for page in pages], "sizes": sizes})
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for path, keys, *near in zip(pdf["path"], pdf["keys"], pdf["path_b"], pdf["keys_b"], pdf["path_a"], pdf["keys_a"], strict=True):
+        for path, keys, sizes, *near in zip(pdf["path"], pdf["keys"], pdf["sizes"], pdf["path_b"], pdf["keys_b"], pdf["path_a"], pdf["keys_a"], strict=True):
             mine, best = list(keys), []
             pairs = [(p, list(k)) for p, k in ((near[0], near[1]), (near[2], near[3])) if p is not None and k is not None]
             # the nearest URL first: the path that begins most like this one
             pairs.sort(key=lambda x: -next((i for i, (c, d) in enumerate(zip(path, x[0], strict=False)) if c != d), min(len(path), len(x[0]))))
             for _, other in pairs:
                 places = common(mine, other)
-                if len(places) <= COPY * max(len(mine), len(other)):
+                if sum(sizes[k] for k in places) <= COPY * sum(sizes):
                     best = places
                     break
             out.append(best)
@@ -257,7 +259,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     url = F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 1)
     path = F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 2)
     pages = pages.withColumn("host", F.lower(F.regexp_replace(url, "^(www|m)\\.", ""))).withColumn("path", path).withColumn("h", F.xxhash64("url", "html"))
-    keyed = pages.select("page_id", "h", "host", "path", "html").mapInPandas(_line_keys, "page_id long, h long, host string, path string, keys array<long>")
+    keyed = pages.select("page_id", "h", "host", "path", "html").mapInPandas(_line_keys, "page_id long, h long, host string, path string, keys array<long>, sizes array<int>")
     order = ["host", "path", "page_id", "h"]
     keyed = checkpointed(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     parts = keyed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
@@ -269,7 +271,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         return other.select((F.col("at") + step).alias("at"), "host", F.col("path").alias("path" + mark), F.col("keys").alias("keys" + mark))
 
     met = placed.join(beside(1, "_b"), ["at", "host"], "left").join(beside(-1, "_a"), ["at", "host"], "left")
-    shared = met.select("page_id", "h", "path", "keys", "path_b", "keys_b", "path_a", "keys_a").mapInPandas(_shared, "page_id long, h long, shared array<int>")
+    shared = met.select("page_id", "h", "path", "keys", "sizes", "path_b", "keys_b", "path_a", "keys_a").mapInPandas(_shared, "page_id long, h long, shared array<int>")
     shared = shared.where(F.size("shared") > 0).dropDuplicates(["page_id", "h"]).select(F.col("page_id").alias("p"), F.col("h").alias("g"), "shared")
     out = pages.join(shared, pages["page_id"].eqNullSafe(shared["p"]) & (pages["h"] == shared["g"]), "left")
     return out.select("page_id", "url", "html", "shared").mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
