@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import plain, table
+from .common import plain, table, written
 
 DEPTH = 3
 SIMILAR = 0.8
@@ -36,8 +36,10 @@ def _tokens(masked: Column) -> Column:
     return F.split(masked, "[ \t]+")
 
 
-def _leaf(tokens: Column, depth: int) -> Column:
-    return F.xxhash64(F.size(tokens), F.array_join(F.slice(tokens, 1, depth), " "))
+def _lead(masked: Column, depth: int) -> tuple[Column, Column]:
+    """Number of tokens and the first ones, without cutting the whole line."""
+    first = F.regexp_extract(masked, "^[^ \t]+(?:[ \t]+[^ \t]+){0,%d}" % (depth - 1), 0)
+    return F.regexp_count(masked, F.lit("[ \t]+")) + 1, F.regexp_replace(first, "[ \t]+", " ")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -46,27 +48,30 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def candidate_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, own: float = OWN) -> DataFrame:
     """doc_id, h, ln, masked, evidence of the lines in leaves that enough documents of their own share."""
-    parts = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("ln"), _masked(x).alias("m")))
-    lines = docs.select("doc_id", "h", F.explode(parts).alias("x")).where("x.m <> ''")
-    lines = lines.select("doc_id", "h", F.xxhash64("doc_id", "h").alias("doc"), F.col("x.ln").alias("ln"), _leaf(_tokens(F.col("x.m")), depth).alias("leaf"), F.length("x.m").alias("size"))
+    lines = docs.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("ln", "line")).where(F.trim("line", F.lit(" \t\r")) != "")
+    lines = lines.select("doc_id", "h", "ln", _masked(F.col("line")).alias("m"))
+    # texts are cut and read once: what follows needs two keys a line
+    lines = written(lines.select("doc_id", "h", F.xxhash64("doc_id", "h").alias("doc"), "ln", F.xxhash64(*_lead(F.col("m"), depth)).alias("leaf"), F.length("m").alias("size")))
     shared = lines.groupBy("leaf").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("leaf", F.lit(True).alias("shared"))
-    lines = lines.join(shared, "leaf", "left")
     of_doc = Window.partitionBy("doc_id", "h")
     alike = F.sum(F.when(F.col("shared"), F.col("size")).otherwise(0)).over(of_doc) / F.sum("size").over(of_doc)
-    lines = lines.select("doc_id", "h", "doc", "ln", "leaf", (alike <= own).alias("evidence"))
+    lines = lines.join(shared, "leaf", "left").select("doc_id", "h", "doc", "ln", "leaf", "shared", (alike <= own).alias("evidence"))
+    lines = written(lines.where("shared").drop("shared"))
     # one row a leaf and document before leaves are counted, so a common leaf is summed in parts
     leaves = lines.where("evidence").groupBy("leaf", "doc").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     hot = lines.join(leaves, "leaf", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("ln").alias("lns"), F.first("evidence").alias("evidence"))
     hot = hot.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "lns", "evidence")
-    met = docs.join(hot, docs["doc_id"].eqNullSafe(hot["d"]) & (docs["h"] == hot["g"])).dropDuplicates(["doc_id", "h"])
-    met = met.select("doc_id", "h", "evidence", F.split("text", "\n").alias("all"), F.explode("lns").alias("ln"))
-    return met.select("doc_id", "h", "ln", "evidence", _masked(F.col("all")[F.col("ln")]).alias("masked"))
+    met = docs.join(hot, docs["doc_id"].eqNullSafe(hot["d"]) & (docs["h"] == hot["g"]))
+    met = met.select("doc_id", "h", "evidence", "lns", F.split("text", "\n").alias("all"))
+    met = met.select("doc_id", "h", "evidence", F.explode(F.transform("lns", lambda i: F.struct(i.alias("ln"), F.get("all", i).alias("line")))).alias("x"))
+    met = met.select("doc_id", "h", F.col("x.ln").alias("ln"), "evidence", _masked(F.col("x.line")).alias("masked"))
+    return written(met).dropDuplicates(["doc_id", "h", "ln"])
 
 
 def templates(lines: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min_docs: int = MIN_DOCS) -> DataFrame:
     """masked -> template id of every line shape whose template recurs, from candidate_lines()."""
     tokens = _tokens(F.col("masked"))
-    shapes = lines.groupBy("masked").agg(F.count("*").alias("n")).withColumn("lead", F.struct(F.size(tokens), F.array_join(F.slice(tokens, 1, depth), " ")))
+    shapes = lines.groupBy("masked").agg(F.count("*").alias("n")).withColumn("lead", F.struct(*_lead(F.col("masked"), depth)))
     seeds = shapes.groupBy("lead").agg(F.min_by("masked", F.struct(-F.col("n"), F.col("masked"))).alias("seed"))
     shapes = shapes.join(seeds, "lead")
     equal = F.size(F.filter(F.zip_with(tokens, _tokens(F.col("seed")), lambda a, b: a == b), lambda x: x))
