@@ -25,7 +25,9 @@ def within(left: DataFrame, right: DataFrame, radius: float, keys: list[str], st
     left: keys, x, y and more; right: keys, rx, ry and more, no names in common but the keys.
     """
     a, b = _cells(left, "x", "y", radius, False), _cells(right, "rx", "ry", radius, True)
-    met = a.join(b, [*keys, "_cx", "_cy"]).drop("_cx", "_cy").withColumn("dist", F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry")))
+    met = a.join(b, [*keys, "_cx", "_cy"]).drop("_cx", "_cy")
+    dx, dy = F.col("x") - F.col("rx"), F.col("y") - F.col("ry")
+    met = met.withColumn("dist", F.sqrt(dx * dx + dy * dy))
     return met.where((F.col("dist") < radius) if strict else (F.col("dist") <= radius))
 
 
@@ -40,13 +42,13 @@ def suppressed(left: DataFrame, right: DataFrame, radius: float, keys: list[str]
     return left.join(within(left, right, radius, keys).select(*by).distinct(), by, "left_anti")
 
 
-def left_adjacent(anchors: DataFrame, tokens: DataFrame, dx: float, dy: float, keys: list[str], by: list[str]) -> DataFrame:
+def left_adjacent(anchors: DataFrame, tokens: DataFrame, dx: float, dy: float, keys: list[str], by: list[str], *ties: Column) -> DataFrame:
     """The nearest token that stands left of each anchor, less than dx away and at most dy off its line.
 
     tokens: keys, rx, ry and more.
     """
     met = within(anchors, tokens, (dx * dx + dy * dy) ** 0.5, keys).where((F.col("x") - F.col("rx") > 0) & (F.col("x") - F.col("rx") <= dx) & (F.abs(F.col("y") - F.col("ry")) <= dy))
-    return met.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("dist", "rx"))).where("_n = 1").drop("_n")
+    return met.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("dist", "rx", *ties))).where("_n = 1").drop("_n")
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame, width: float, keys: list[str]) -> DataFrame:
