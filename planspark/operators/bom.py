@@ -30,9 +30,9 @@ def expand(instances: DataFrame, types: DataFrame) -> DataFrame:
     (map of family to components). gap is 'unmodeled' or 'missing_distance' where a family has no
     component or a per-foot component no length; such rows have no quantity.
     """
-    rows = instances.select("instance_id", "device_type_id", "total_ft", F.explode(S.families("raw_labels")).alias("family"))
+    rows = instances.select("instance_id", "device_type_id", "total_ft", F.posexplode(S.families("raw_labels")).alias("nth", "family"))
     rows = rows.join(types.select("device_type_id", "name", "assembly"), "device_type_id", "left")
-    rows = rows.select("instance_id", "device_type_id", "name", "family", "total_ft", F.explode_outer(F.col("assembly")[F.col("family")]).alias("c"))
+    rows = rows.select("instance_id", "device_type_id", "name", "nth", "family", "total_ft", F.posexplode_outer(F.col("assembly")[F.col("family")]).alias("line", "c"))
     per_ft = F.coalesce(F.col("c.per_run_ft"), F.lit(False))
     gap = F.when(F.col("c").isNull(), "unmodeled").when(per_ft & F.col("total_ft").isNull(), "missing_distance")
     qty = F.coalesce(F.col("c.qty"), F.lit(1.0)) * F.when(per_ft, F.col("total_ft")).otherwise(1.0)
@@ -41,7 +41,7 @@ def expand(instances: DataFrame, types: DataFrame) -> DataFrame:
 
 def totals(expanded: DataFrame, order: Column | None = None) -> DataFrame:
     """Quantity of each component; its description is the first contributing line's."""
-    order = F.col("instance_id") if order is None else order
+    order = F.struct("instance_id", "nth", "line") if order is None else order
     return expanded.where("gap is null").groupBy("key").agg(F.sum("qty").alias("qty"), F.min_by("c", order).alias("c")).select("key", "qty", "c.part_number", "c.part_name", "c.manufacturer", "c.model")
 
 
