@@ -175,3 +175,64 @@ def test_streams(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("days").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert ("2024-01-01", "a", 2, 12) in {(str(r.day), r["pass"], r.calls, r.tokens) for r in spark.table("days").collect()}
+
+
+def test_count_devices_drops_nothing(spark):
+    from planspark.operators import reconcile
+
+    schedule = spark.createDataFrame([(1, "U1", "A", 0.1, 0.1), (1, "U2", "A", None, None), (1, "U3", "B", None, None)], "page_id long, uin string, type string, sx double, sy double")
+    labels = spark.createDataFrame(
+        [(1, 1, "U1", "A", 0.101, 0.1, True), (1, 2, "U1", "A", 0.5, 0.5, True), (1, 3, "U1", "B", 0.6, 0.6, False), (1, 4, "U9", "A", 0.7, 0.7, True), (1, 5, None, "A", 0.2, 0.2, True), (1, 6, None, "A", 0.202, 0.2, True), (1, 7, None, "B", 0.2, 0.2, True)],
+        "page_id long, seq long, uin string, type string, x double, y double, in_region boolean",
+    )
+    symbols = spark.createDataFrame([(1, 1, "A", 0.51, 0.5), (1, 2, "A", 0.9, 0.9), (1, 3, "C", 0.9, 0.1)], "page_id long, sym long, type string, x double, y double")
+    leaders = spark.createDataFrame([(1, 1, "B", 0.2, 0.2, 3), (1, 2, "Z", 0.0, 0.0, 2)], "page_id long, leader long, type string, x double, y double, quantity int")
+    got = reconcile.count_devices(schedule, labels, symbols, leaders).collect()
+    by = {r.device: r for r in got}
+    assert len(got) == len(by) == 3 + 1 + 2 + 1 + 2 + 2
+    assert (by["u:U1"].x, by["u:U1"].xy_source, by["u:U1"].sources) == (0.51, "symbol", ["schedule", "label", "symbol"]) and by["u:U1"].flags == ["type_conflict"] and by["u:U1"].confidence == "low"
+    assert by["u:U2"].flags == ["placement_inferred"] and by["u:U2"].x == 0.9 and by["u:U2"].confidence == "medium"
+    assert by["u:U3"].flags == ["needs_placement"] and by["u:U9"].flags == ["not_in_schedule"] and by["s:3"].flags == ["no_uin"]
+    assert by["l:5"].confidence == "medium" and "l:6" not in by and by["l:7"].flags == ["leader_expanded"]
+    assert sum("leader_unmatched" in r.flags for r in got) == 2 and sum(r.type == "B" and "leader_expanded" in r.flags for r in got) == 3
+
+
+def test_simplify_equals_recursion(spark):
+    import math
+    import random
+
+    from planspark.operators import geometry
+
+    rng = random.Random(4)
+    pts = [(1, k, float(k), rng.random() * 5) for k in range(60)] + [(2, 0, 0.0, 0.0), (2, 1, 1.0, 0.0)]
+
+    def off(p, a, b):
+        n = (b[2] - a[2]) ** 2 + (b[3] - a[3]) ** 2
+        t = max(0, min(1, ((p[2] - a[2]) * (b[2] - a[2]) + (p[3] - a[3]) * (b[3] - a[3])) / n))
+        return math.hypot(p[2] - a[2] - t * (b[2] - a[2]), p[3] - a[3] - t * (b[3] - a[3]))
+
+    def keep(part):
+        if len(part) < 3:
+            return set(part)
+        far = max(range(1, len(part) - 1), key=lambda i: off(part[i], part[0], part[-1]))
+        return keep(part[: far + 1]) | keep(part[far:]) if off(part[far], part[0], part[-1]) > 2 else {part[0], part[-1]}
+
+    want = keep([p for p in pts if p[0] == 1]) | {p for p in pts if p[0] == 2}
+    got = geometry.simplify(spark.createDataFrame(pts, "path long, seq long, x double, y double"), ["path"], 2.0)
+    assert {tuple(r) for r in got.select("path", "seq", "x", "y").collect()} == want
+
+
+def test_circle_and_line_shapes(spark):
+    import math
+
+    from planspark.operators import geometry
+
+    ring = [(1, k, 5 + math.cos(k * 0.6), 5 + math.sin(k * 0.6)) for k in range(10)]
+    line = [(2, k, float(k), 2.0 * k + 0.01 * (k % 2)) for k in range(9)]
+    pts = spark.createDataFrame(ring + line, "path long, seq long, x double, y double")
+    assert [r.path for r in geometry.circles(pts, ["path"]).collect()] == [1]
+    got = geometry.lines(pts, ["path"]).collect()
+    assert [r.path for r in got] == [2] and got[0].length == pytest.approx(8 * math.sqrt(5), abs=0.05)
+    blobs = spark.createDataFrame([(1, 7, 5.0, 5.1, 0.5), (1, 8, 50.0, 5.0, 0.5)], "page_id long, blob long, x double, y double, radius double")
+    rings = geometry.circles(pts, ["path"]).selectExpr("cast(1 as bigint) page_id", "cx as rx", "cy as ry", "radius as ring_radius")
+    assert [r.blob for r in geometry.encircled(blobs, rings, 2.0).collect()] == [7]
