@@ -113,9 +113,9 @@ def size_racks(rooms: DataFrame, rules: DataFrame) -> DataFrame:
     """Quantity of each counted rule in each room, or a note on what is missing.
 
     rooms: tr_name, racks, panels, terminations, wall_mount, plant. rules: rule_key, qty_rule, each, ports,
-    fibers, cores, strands_isp, strands_osp. rules is a short list that goes to every room.
+    fibers, cores, strands_isp, strands_osp. rules is a short list, and every room needs every rule.
     """
-    both = rooms.crossJoin(F.broadcast(rules.where(~F.col("qty_rule").isin("layout", "none"))))
+    both = rooms.crossJoin(rules.where(~F.col("qty_rule").isin("layout", "none")))
     r, kind = F.col("racks"), F.col("qty_rule")
     each = F.coalesce("each", F.lit(1.0))
     strands = F.when(F.col("plant") == "osp", F.col("strands_osp")).when(F.col("plant") == "isp", F.col("strands_isp"))
@@ -136,7 +136,7 @@ def size_racks(rooms: DataFrame, rules: DataFrame) -> DataFrame:
 
 def unused_units(sized: DataFrame, rules: DataFrame, rooms: DataFrame, rack_units: float) -> DataFrame:
     """Rack units that stay free in each room: capacity less the height of counted items; null if an item has no quantity."""
-    used = sized.join(F.broadcast(rules.where("ru > 0").select("rule_key", "ru")), "rule_key").groupBy("tr_name").agg(F.sum(F.col("qty") * F.col("ru")).alias("used"), F.count_if(F.col("qty").isNull()).alias("open"))
+    used = sized.join(rules.where("ru > 0").select("rule_key", "ru"), "rule_key").groupBy("tr_name").agg(F.sum(F.col("qty") * F.col("ru")).alias("used"), F.count_if(F.col("qty").isNull()).alias("open"))
     out = rooms.select("tr_name", "racks").join(used, "tr_name", "left")
     free = F.greatest(F.lit(0.0), F.floor(F.col("racks") * rack_units - F.coalesce("used", F.lit(0.0))).cast("double"))
     return out.select("tr_name", F.when(F.coalesce("open", F.lit(0)) == 0, free).alias("free_ru"))

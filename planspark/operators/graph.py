@@ -81,3 +81,24 @@ def mutual_links(ends: DataFrame, tolerance: float, keys: list[str]) -> DataFram
     best = near.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("dist", "to"))).where("_n = 1").select("id", "to", "dist")
     back = best.select(F.col("id").alias("to"), F.col("to").alias("id"))
     return best.join(back, ["id", "to"]).where("id < to").select(F.col("id").alias("a"), F.col("to").alias("b"), "dist")
+
+
+def waypoint_paths(starts: DataFrame, waypoints: DataFrame, limit: int = 1000) -> DataFrame:
+    """device, hop, waypoint, x, y: greedy ways to a target over the page's waypoints.
+
+    starts: page_id, device, x, y, tx, ty. waypoints: page_id, waypoint, wx, wy. Each round takes every
+    device to the nearest waypoint that is nearer to its target than the device is; a device stops where
+    there is none. Distances to the target shrink, so none is taken twice. Ties go to the smaller waypoint.
+    """
+    at, out = starts.select("page_id", "device", "x", "y", "tx", "ty"), None
+    for hop in range(1, limit + 1):
+        met = at.join(waypoints, "page_id")
+        gone, left, now = ((F.col(a) - F.col(c)) * (F.col(a) - F.col(c)) + (F.col(b) - F.col(d)) * (F.col(b) - F.col(d)) for a, b, c, d in (("wx", "wy", "x", "y"), ("wx", "wy", "tx", "ty"), ("x", "y", "tx", "ty")))
+        best = met.where(left < now).groupBy("page_id", "device", "tx", "ty").agg(F.min_by(F.struct("waypoint", "wx", "wy"), F.struct(gone, F.col("waypoint"))).alias("w"))
+        at = checkpointed(best.select("page_id", "device", F.col("w.wx").alias("x"), F.col("w.wy").alias("y"), "tx", "ty", "w.waypoint"))
+        if not at.limit(1).count():
+            break
+        step = at.select("page_id", "device", F.lit(hop).alias("hop"), "waypoint", "x", "y")
+        out = step if out is None else out.unionByName(step)
+        at = at.drop("waypoint")
+    return starts.select("page_id", "device", F.lit(0).alias("hop"), F.lit(None).cast("long").alias("waypoint"), "x", "y").limit(0) if out is None else out

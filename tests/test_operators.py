@@ -236,3 +236,42 @@ def test_circle_and_line_shapes(spark):
     blobs = spark.createDataFrame([(1, 7, 5.0, 5.1, 0.5), (1, 8, 50.0, 5.0, 0.5)], "page_id long, blob long, x double, y double, radius double")
     rings = geometry.circles(pts, ["path"]).selectExpr("cast(1 as bigint) page_id", "cx as rx", "cy as ry", "radius as ring_radius")
     assert [r.blob for r in geometry.encircled(blobs, rings, 2.0).collect()] == [7]
+
+
+def test_read_schedule_and_notes(spark):
+    from planspark.operators import readers
+
+    cells = [(1, k, s, x, y) for k, (s, x, y) in enumerate([("UIN", 0.1, 0.10), ("TYPE", 0.3, 0.10), ("CAM-1", 0.1, 0.20), ("EXT", 0.31, 0.201), ("cam", 0.36, 0.2), ("note", 0.1, 0.25), ("CAM-2", 0.11, 0.30), ("INT", 0.29, 0.3)])]
+    items = spark.createDataFrame(cells, "page_id long, seq long, str string, x double, y double")
+    heads = spark.createDataFrame([(1, "uin", 0.1, 0.1), (1, "type", 0.3, 0.1)], "page_id long, column string, hx double, hy double")
+    got = {r.uin: r.cells["type"] for r in readers.read_schedule(items, heads, 0.01, "^CAM-[0-9]+$").collect()}
+    assert got == {"CAM-1": "EXT cam", "CAM-2": "INT"}
+    legend = [(1, k, s, x, y) for k, (s, x, y) in enumerate([("1", 0.1, 0.1), ("PROVIDE", 0.2, 0.1), ("RACK", 0.3, 0.1), ("here", 0.2, 0.12), ("2", 0.1, 0.2), ("SLEEVES", 0.2, 0.2), ("4", 0.1, 0.3), ("3", 0.1, 0.31), ("TRAY", 0.2, 0.31)])]
+    notes = readers.coded_notes(spark.createDataFrame(legend, "page_id long, seq long, str string, x double, y double"), 0.01)
+    assert {r.number: r.text for r in notes.collect()}[1] == "PROVIDE RACK here"
+    r = one(spark, a=readers.suggested_rule(F.lit("provide 48 port switch")), b=readers.suggested_rule(F.lit("two per rack")), c=readers.suggested_rule(F.lit("see plan")))
+    assert tuple(r) == ("terminations_div_ports", "per_rack", "not_stated")
+    lines = spark.createDataFrame([(1, "FIRST FLOOR PLAN"), (1, "first floor plan"), (1, "SEE THE PLAN FOR ALL OF THE ROOMS ON THIS FLOOR"), (1, "FIRST  FLOOR PLAN")], "page_id long, line string")
+    assert [r.phrase for r in readers.title_phrases(lines).collect()] == ["FIRST FLOOR PLAN"]
+    scales = spark.createDataFrame([(1, "1/4\" = 1'-0\" and 1/2\" = 1'-0\" and 1/2\" = 1' - 0\""), (2, "none")], "page_id long, text string")
+    assert [tuple(r) for r in readers.sheet_scale(scales).collect()] == [(1, 2.0, 2)]
+
+
+def test_waypoint_paths_equal_the_loop(spark):
+    import random
+
+    rng = random.Random(6)
+    ways = [(1, k, rng.random(), rng.random()) for k in range(25)]
+    starts = [(1, d, rng.random(), rng.random(), 0.0, 0.0) for d in range(8)]
+    want = set()
+    for _, d, x, y, tx, ty in starts:
+        hop = 0
+        while True:
+            near = [w for w in ways if (w[2] - tx) ** 2 + (w[3] - ty) ** 2 < (x - tx) ** 2 + (y - ty) ** 2]
+            if not near:
+                break
+            w = min(near, key=lambda w: ((w[2] - x) ** 2 + (w[3] - y) ** 2, w[1]))
+            x, y, hop = w[2], w[3], hop + 1
+            want.add((d, hop, w[1]))
+    got = graph.waypoint_paths(spark.createDataFrame(starts, "page_id long, device long, x double, y double, tx double, ty double"), spark.createDataFrame(ways, "page_id long, waypoint long, wx double, wy double"))
+    assert {(r.device, r.hop, r.waypoint) for r in got.collect()} == want
