@@ -53,7 +53,8 @@ def riser(spark, sf):
     return feeds, cables
 
 
-RISER = """f AS (SELECT o_orderkey AS feed, CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey % 12 END AS a, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 12 END AS b, CASE WHEN o_orderkey % 5 <> 0 THEN 'R' || o_orderkey % 4000 END AS tr, o_orderkey % 7 = 0 AS added FROM orders),
+FEEDS = """f AS (SELECT o_orderkey AS feed, CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey % 12 END AS a, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 12 END AS b, CASE WHEN o_orderkey % 5 <> 0 THEN 'R' || o_orderkey % 4000 END AS tr, o_orderkey % 7 = 0 AS added FROM orders)"""
+RISER = FEEDS + """,
 c AS (SELECT n_nationkey AS n, CASE WHEN n_nationkey % 4 = 0 THEN 'osp' WHEN n_nationkey % 4 < 3 THEN 'isp' END AS p, CASE WHEN n_nationkey <> 5 THEN n_nationkey % 3 * 12 || ' OS2' END AS s FROM nation WHERE n_nationkey < 12)"""
 
 

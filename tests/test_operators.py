@@ -275,3 +275,18 @@ def test_waypoint_paths_equal_the_loop(spark):
             want.add((d, hop, w[1]))
     got = graph.waypoint_paths(spark.createDataFrame(starts, "page_id long, device long, x double, y double, tx double, ty double"), spark.createDataFrame(ways, "page_id long, waypoint long, wx double, wy double"))
     assert {(r.device, r.hop, r.waypoint) for r in got.collect()} == want
+
+
+def test_frames_and_guards(spark):
+    from planspark.operators import frames
+
+    n = lambda v: F.lit(v).cast("double")
+    r = one(
+        spark, strip=frames.strip_place(n(0.5), n(0.5), n(0.2), n(0.4), n(None), n(None)), old=frames.legacy_length(n(0.0), n(0.0), n(0.3), n(0.4), n(100), n(100), n(1), n(10)), ports=frames.ports(F.array(F.lit("dd"), F.lit("DD"), F.lit("N"))),
+        gap=frames.bridge_tolerance(n(1.0), n(None)), set=frames.bridge_tolerance(n(1.0), n(3)), none=frames.bridge_tolerance(n(None), n(0)), scale=frames.usable_scale(n(None), n(1), n(2)), bare=frames.usable_scale(n(0), n(None), n(2)),
+        zero=frames.limit_ft(n(0)), unset=frames.limit_ft(n(None)), raster=frames.sheet_class(F.lit(5), F.lit(None), F.lit(10)), hit=frames.segment_hits(n(0), n(0), n(6), n(6), n(2.9), n(2.9), n(3.1), n(3.1)), miss=frames.segment_hits(n(0), n(0), n(6), n(6), n(3.2), n(3.2), n(3.3), n(3.3)),
+    )
+    assert tuple(r.strip) == (0.5, 0.3) and tuple(r.old) == (0.495, 5.0) and tuple(r.ports) == (2, 0, 1) and (r.gap, r.set, r.none) == (2.5, 3.0, 6.0)
+    assert (r.scale, r.bare, r.zero, r.unset) == (True, False, 0.0, 295.0) and r.raster.raster_only and r.hit and not r.miss
+    rows = frames.expand_counts(spark.createDataFrame([(1, "A", 2), (1, "B", 0)], "page_id long, type string, quantity int"), spark.createDataFrame([("A", "Alpha")], "type string, alias string"))
+    assert [(x.type, x.matrix_type, x.nth) for x in rows.orderBy("nth").collect()] == [("Alpha", "A", 1), ("Alpha", "A", 2)]
