@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain, table
+from .common import frugal, plain, table
 from .words import BASES, mix, powers
 
 Q = 10
@@ -157,7 +157,7 @@ def regions(docs: DataFrame, items: DataFrame, q: int = Q, edits: float = EDITS,
     docs: doc_id, text; items: item_id, text (other columns are ignored). start, length and n_chars
     count characters of the normalised text. Null and empty texts hold nothing; items under SHORTEST
     normalised characters are left out; repeated rows are found each; empty tables give no rows.
-    A document may hold an item several times and then has a row for each.
+    A document may hold an item several times and then has a row for each; a null item_id comes out as -1.
     """
     items = plain(items, item_id="long", text="string").where("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -185,7 +185,7 @@ def regions(docs: DataFrame, items: DataFrame, q: int = Q, edits: float = EDITS,
                     k, item, e, a, n, chars = zip(*rows, strict=True)
                     yield pd.DataFrame({"doc_id": ids[list(k)], "item_id": item, "edits": e, "start": a, "length": n, "n_chars": chars})
 
-        return docs.mapInPandas(run, "doc_id long, item_id long, edits int, start long, length long, n_chars long")
+        return docs.mapInPandas(frugal(run), "doc_id long, item_id long, edits int, start long, length long, n_chars long")
 
     return reduce(DataFrame.unionByName, [passed(n) for n in range(blocks)])
 

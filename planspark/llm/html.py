@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, plain, table
+from .common import checkpointed, frugal, plain, table
 
 #: Fixed names. Elements whose content is never text.
 NO_TEXT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "head", "title", "textarea", "select", "datalist", "map"}
@@ -259,7 +259,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     url = F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 1)
     path = F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 2)
     pages = pages.withColumn("host", F.lower(F.regexp_replace(url, "^(www|m)\\.", ""))).withColumn("path", path).withColumn("h", F.xxhash64("url", "html"))
-    keyed = pages.select("page_id", "h", "host", "path", "html").mapInPandas(_line_keys, "page_id long, h long, host string, path string, keys array<long>, sizes array<int>")
+    keyed = pages.select("page_id", "h", "host", "path", "html").mapInPandas(frugal(_line_keys), "page_id long, h long, host string, path string, keys array<long>, sizes array<int>")
     order = ["host", "path", "page_id", "h"]
     keyed = checkpointed(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     parts = keyed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
@@ -271,10 +271,10 @@ def main_text(pages: DataFrame) -> DataFrame:
         return other.select((F.col("at") + step).alias("at"), "host", F.col("path").alias("path" + mark), F.col("keys").alias("keys" + mark))
 
     met = placed.join(beside(1, "_b"), ["at", "host"], "left").join(beside(-1, "_a"), ["at", "host"], "left")
-    shared = met.select("page_id", "h", "path", "keys", "sizes", "path_b", "keys_b", "path_a", "keys_a").mapInPandas(_shared, "page_id long, h long, shared array<int>")
+    shared = met.select("page_id", "h", "path", "keys", "sizes", "path_b", "keys_b", "path_a", "keys_a").mapInPandas(frugal(_shared), "page_id long, h long, shared array<int>")
     shared = shared.where(F.size("shared") > 0).dropDuplicates(["page_id", "h"]).select(F.col("page_id").alias("p"), F.col("h").alias("g"), "shared")
     out = pages.join(shared, pages["page_id"].eqNullSafe(shared["p"]) & (pages["h"] == shared["g"]), "left")
-    return out.select("page_id", "url", "html", "shared").mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
+    return out.select("page_id", "url", "html", "shared").mapInPandas(frugal(_texts), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import plain, table
+from .common import frugal, plain, table
 from .tokens import WORD_BPE, encoder
 
 BLOCK = 1024
@@ -30,7 +30,7 @@ def lengths(docs: DataFrame, tokenizer: str = WORD_BPE) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": np.array([len(x) for x in enc.many(pdf["text"])], np.int64) // enc.dtype.itemsize})
 
-    return plain(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, n_tokens long")
+    return plain(docs, doc_id="long", text="string").mapInPandas(frugal(run), "doc_id long, n_tokens long")
 
 
 def histogram(sizes: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain, table
+from .common import frugal, plain, table
 
 #: Fixed names: boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"mvex", b"moof", b"traf", b"dinf"}
@@ -236,7 +236,7 @@ def scan(media: DataFrame, id_column: str = "id", column: str = "media") -> Data
             })
 
     rows = media.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{column}`").cast("binary").alias("media"))
-    return rows.mapInPandas(run, "id long, codec string, duration_s double, samples long, keyframes array<struct<offset:long,length:long>>, bytes long")
+    return rows.mapInPandas(frugal(run), "id long, codec string, duration_s double, samples long, keyframes array<struct<offset:long,length:long>>, bytes long")
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def stored(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).assign(doc_id=pdf["doc_id"].astype("Int64").array)
 
     docs = plain(docs, doc_id="long", text="string")
-    return docs.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.mapInPandas(frugal(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

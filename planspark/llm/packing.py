@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import plain, table, written
+from .common import frugal, plain, table, written
 from .tokens import WORD_BPE, encoder
 
 WINDOW = 2048
@@ -42,7 +42,7 @@ def encode_documents(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = E
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n": [len(x) // len(end) for x in ids], "ids": ids})
 
     docs = plain(docs, doc_id="long", source="string", text="string")
-    return docs.mapInPandas(run, "doc_id long, source string, n long, ids binary")
+    return docs.mapInPandas(frugal(run), "doc_id long, source string, n long, ids binary")
 
 
 def phases(totals: list[int], shares: list[Fraction], window: int = WINDOW) -> list[tuple[int, int, list[int], list[int]]]:
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, window: int = WINDOW, targets: dict[str, float] | None
                 "doc_tokens": pdf["n"].to_numpy()[k], "sequence_id": rows[4], "offset": rows[5], "source": pdf["source"].to_numpy(object)[k],
             })
 
-    return encoded.select("row", "doc_id", "source", "n", "ids").join(placed, "row").mapInPandas(run, PIECES)
+    return encoded.select("row", "doc_id", "source", "n", "ids").join(placed, "row").mapInPandas(frugal(run), PIECES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, plain, table
+from .common import checkpointed, frugal, plain, table
 from .components import components
 
 SHINGLE = 4
@@ -27,7 +27,6 @@ BUDGET = 4
 #: Fingerprints a walk starts from at most, before its start is cut in chunks.
 CROWD = 1500
 _LOW = {c: c + 32 for c in range(65, 91)}
-_SPACE = " \t\n\x0b\x0c\r"
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -59,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
 
-    return plain(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, fp long")
+    return plain(docs, doc_id="long", text="string").mapInPandas(frugal(run), "doc_id long, fp long")
 
 
 def walk(fps: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +161,7 @@ def links(fps: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> DataFrame
         if rest is not None and len(rest):
             yield found(rest)
 
-    return walks.mapInPandas(run, "u long, v long")
+    return walks.mapInPandas(frugal(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:

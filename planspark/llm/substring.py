@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain, table
+from .common import frugal, plain, table
 from .words import BASES, keys, mix, places, windows
 
 WINDOW = 50
@@ -215,12 +215,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(30, max(LEAST_BITS, math.ceil(math.log2(max(1, size / 6 / BUCKET)))))
     answer = "doc long, at binary"
-    anchors = docs.select("doc", "text").mapInPandas(_probes(bits, block), PACKED).groupBy("bucket").applyInPandas(_anchors(block), answer)
+    anchors = docs.select("doc", "text").mapInPandas(frugal(_probes(bits, block)), PACKED).groupBy("bucket").applyInPandas(_anchors(block), answer)
     anchors = anchors.groupBy("doc").agg(F.collect_list("at").alias("at"))
     # both joins read docs with the same columns, so Spark shuffles the texts once
-    near = docs.join(anchors, "doc").select("doc_id", "doc", "text", "at").mapInPandas(_extend(bits, window, block), PACKED)
+    near = docs.join(anchors, "doc").select("doc_id", "doc", "text", "at").mapInPandas(frugal(_extend(bits, window, block)), PACKED)
     covers = near.groupBy("bucket").applyInPandas(_repeats, answer).groupBy("doc").agg(F.collect_list("at").alias("at"))
-    return docs.join(covers, "doc", "left").select("doc_id", "doc", "text", "at").mapInPandas(_kept(window, texts), "doc_id long, n_words long, n_removed long, " + "kept_text string, " * texts + "kept_sha256 string")
+    return docs.join(covers, "doc", "left").select("doc_id", "doc", "text", "at").mapInPandas(frugal(_kept(window, texts)), "doc_id long, n_words long, n_removed long, " + "kept_text string, " * texts + "kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,9 @@ import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
 #: Pre-tokens kept a worker (about 150 bytes each); the memo starts anew beyond it.
-MEMO = 1_000_000
+MEMO = 800_000
 #: Characters handled at once as arrays.
-CHUNK = 1_000_000
+CHUNK = 400_000
 
 #: Outside this set lower-casing, composition or white space may change the cut; such texts go whole.
 _UNUSUAL = re.compile("[^\x20-\x7e\n\r\t\xa1-į]|<\\|")
@@ -41,7 +41,7 @@ def _powers(base: int) -> np.ndarray:
 
 
 _POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
-_SLOTS = 1 << 22
+_SLOTS = 1 << 21
 #: Byte-level vocabularies spell bytes that do not print as the characters from U+0100 on.
 _BYTE_LEVEL = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
