@@ -69,7 +69,7 @@ def walk(fps: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, n
     a_hi = b_hi = ends
     dist = np.zeros(len(starts), np.int64)
     left, right = [], []
-    for bit in range(63, -1, -1):
+    for bit in range(63, -2, -1):  # the last round only emits what the split on bit 0 left
         crowd = (a_hi - a_lo > 1) | (b_hi - b_lo > 1)
         # one fingerprint against one: the rest of the bits at once
         x, y, d = a_lo[~crowd], b_lo[~crowd], dist[~crowd]
@@ -80,7 +80,7 @@ def walk(fps: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, n
         left.append(x[near])
         right.append(y[near])
         a_lo, a_hi, b_lo, b_hi, dist = (v[crowd] for v in (a_lo, a_hi, b_lo, b_hi, dist))
-        if not len(a_lo):
+        if bit < 0 or not len(a_lo):
             break
         ones = np.concatenate([[0], np.cumsum((fps >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)])
         a_mid, b_mid = a_hi - (ones[a_hi] - ones[a_lo]), b_hi - (ones[b_hi] - ones[b_lo])

@@ -104,6 +104,20 @@ def test_trie_walk_finds_all_pairs_in_crowded_groups(spark):
     assert {(r.node, r.component) for r in few} == {(r.node, r.component) for r in crowded}
 
 
+def test_trie_walk_links_fingerprints_that_differ_in_the_lowest_bits(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    flips = np.array([0, 1, 2, 7, 1 << 63, 31], np.uint64)
+    for fps in (np.unique((base[:, None] ^ flips).ravel()), np.unique(np.array([base[0], base[0] ^ np.uint64(1)]))):
+        left, right = simhash.walk(fps, np.zeros(len(fps), int), 4)
+        want = {(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 4}
+        assert {(max(a, b), min(a, b)) for a, b in zip(left.tolist(), right.tolist())} == want and len(left) == len(want)
+    pairs = np.concatenate([base, base ^ np.uint64(1)])
+    got = simhash.components(simhash.links(spark.createDataFrame([(int(x),) for x in pairs.view(np.int64)], "fp long"))).collect()
+    component = {r.node: r.component for r in got}
+    assert len(component) == 80 and all(component[int(x)] == component[int(x) ^ 1] for x in base.view(np.int64))
+
+
 def test_substring_dedup(spark):
     docs = defaultdict(list)
     for i, t, *_ in rows():
