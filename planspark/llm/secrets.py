@@ -3,11 +3,14 @@
 Candidates are runs of key characters with a digit. Each is described by its length, its character
 transitions, how much of it dictionary words cover, its path and its neighbouring words. The forest is
 trained on labelled findings; where the caller has none, findings whose format or context decides them
-serve as labels and the forest judges the rest. The dictionary is counted over all documents.
+serve as labels and the forest judges the rest. The dictionary is counted over all distinct texts, outside
+candidates: the copies of a secret don't make it a word.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +21,9 @@ CANDIDATE = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{8,}={0,2}
 ISSUED = "^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{20,})$"
 KEYWORD = "(pass|pwd|secret|token|api|key|auth|cred|bearer|private)"
 PLACEHOLDER = "(example|sample|dummy|placeholder|changeme|test|xxxx|0000|1234|abcd)"
-#: Times a word must come in the corpus to be in the dictionary.
+#: Texts a word must come in to be in the dictionary, and the share of all texts where that is more.
 COMMON = 20
+COMMON_SHARE = 1e-4
 #: Labelled findings that the forest is fitted on, about.
 SAMPLE = 20_000
 #: Dictionary words looked for that are sent to all tasks at most; more are joined by shuffle.
@@ -55,13 +59,24 @@ def candidates(docs: DataFrame) -> DataFrame:
     return around.withColumn("inside", F.expr("substring_index(token, candidate, 1)")).drop("token")
 
 
+def _outside(text: Column) -> Column:
+    """text without its candidates."""
+    return F.regexp_replace(text, CANDIDATE, " ")
+
+
 def features(found: DataFrame, docs: DataFrame, common: int = COMMON) -> DataFrame:
-    """found with the columns FEATURES. The dictionary is the words of docs that come ``common`` times at least."""
+    """found with the columns FEATURES.
+
+    The dictionary is the words that ``common`` distinct texts of docs and COMMON_SHARE of them have outside candidates.
+    """
     found = written(found.withColumn("finding", F.monotonically_increasing_id()))
     parts = found.select("finding", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit("[a-z]{3,}"), 0)).alias("part"))
     wanted = parts.select("part").distinct()
     few = wanted.limit(BROADCAST + 1).count() <= BROADCAST
-    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("part"))
+    docs = docs.where("text is not null").withColumn("h", F.xxhash64("text"))
+    common = max(common, math.ceil(COMMON_SHARE * docs.select("h").distinct().count()))
+    texts = docs.select("h", F.concat_ws(" ", F.array_distinct(F.split(_outside(F.lower("text")), "[^a-z]+"))).alias("words")).dropDuplicates(["h"])
+    words = texts.select(F.explode(F.split("words", " ")).alias("part"))
     words = words.join(F.broadcast(wanted), "part", "left_semi") if few else words
     known = words.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= common).select("part")
     covered = parts.join(known, "part").groupBy("finding").agg(F.sum(F.length("part")).alias("covered"))

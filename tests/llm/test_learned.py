@@ -78,6 +78,17 @@ def test_secret_scan_learns_from_given_labels(spark):
     assert phones and all(phones.values()) and sum(got.values()) == len(phones)
 
 
+def test_secret_in_a_group_of_copies_is_no_dictionary_word(spark):
+    key = "qWmRkzTpVbXnLcJdHsGf4YtKe"
+    copies = frame(spark, [(200 + k, f'{words(5, 77)}\ntoken = "{key}"\n{"" if k < 100 else words(3, k)}', "en", "src/app.py", 1, 1, "", "", "") for k in range(150)])
+    docs = secret_docs(spark).unionByName(copies)
+    plain = docs.selectExpr("doc_id", "text", "source as path")
+    described = secrets.features(secrets.candidates(plain).where("doc_id >= 200"), plain).collect()
+    assert len(described) == 150 and {r.coverage for r in described} == {0}
+    found = secrets.scan(docs).where("doc_id >= 200").collect()
+    assert len(found) == 150 and all(r.is_secret and r.candidate == key for r in found)
+
+
 def test_pipeline_equals_its_stages(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(1)
