@@ -1,7 +1,7 @@
 """Secret scans: a random forest tells real secrets from false positives, in DataFrame functions only.
 
-Candidates are runs of key characters with a digit. Each is described by its length, its character
-transitions, how much of it dictionary words cover, its path and its neighbouring words. The forest is
+Candidates are runs of key characters with a digit, and whatever is assigned to a secret's name. Each is
+described by its length, its character transitions, how much of it dictionary words cover, its path and its neighbouring words. The forest is
 trained on labelled findings; where the caller has none, findings whose format or context decides them
 serve as labels and the forest judges the rest. The dictionary is counted over all distinct texts, outside
 candidates: the copies of a secret don't make it a word.
@@ -20,6 +20,13 @@ CANDIDATE = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{8,}={0,2}
 #: Formats that issuers publish.
 ISSUED = "^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{20,})$"
 KEYWORD = "(pass|pwd|secret|token|api|key|auth|cred|bearer|private)"
+#: A secret's name, the sign that assigns, and a value up to its quote or space.
+_RUN = "[A-Za-z0-9_.\"'\\])-]"
+NAME = f"(?<!{_RUN})(?=(?i:{_RUN}*?{KEYWORD})){_RUN}*+"
+SIGN = "[:=]++>?+[\"'`]*+"
+VALUE = "([^\\s\"'`]+)"
+#: Lines that assign to a secret's name.
+NAMED = f"{NAME}[ \t\r]*[:=]"
 PLACEHOLDER = "(example|sample|dummy|placeholder|changeme|test|xxxx|0000|1234|abcd)"
 #: Texts a word must come in to be in the dictionary, and the share of all texts where that is more.
 COMMON = 20
@@ -41,27 +48,39 @@ def _share(c: Column, kind: str) -> Column:
     return F.regexp_count(c, F.lit(kind)) / F.length(c)
 
 
+def _assigned(token: Column, before: Column) -> Column:
+    """The values in token that are assigned to a secret's name in it or in the words before it."""
+    token = F.regexp_replace(token, "&(?=[A-Za-z0-9_]+=)", " ")  # a URL's query names its values one by one
+    inside = F.regexp_extract_all(token, F.lit(NAME + SIGN + VALUE), 2)
+    begun = F.when(before.rlike(f"{NAME} ?{SIGN}$"), F.regexp_extract(token, f"^[\"'`]*+{VALUE}", 1)).when(before.rlike(f"{NAME}$"), F.regexp_extract(token, f"^{SIGN}{VALUE}", 1)).otherwise("")
+    return F.filter(F.transform(F.concat(F.array(begun), inside), lambda x: F.regexp_replace(x, "[.,;]+$", "")), lambda x: x != "")
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, path, line, word, nth, candidate, before, inside, after of every candidate.
 
-    line and word count from 0; before and after are the words around the candidate's word (before has
+    In a word, values assigned to a secret's name come after the runs of key characters, if they are none of
+    them. line and word count from 0; before and after are the words around the candidate's word (before has
     two), inside is what its own word has in front of it.
     """
-    lines = docs.select("doc_id", "path", F.posexplode(F.split("text", "\n")).alias("line", "at")).where(F.col("at").rlike("[0-9]"))
-    words = lines.select("doc_id", "path", "line", F.split(F.trim("at", F.lit(" \t\r")), "[ \t\r]+").alias("words"))
-    rows = words.select("doc_id", "path", "line", "words", F.posexplode("words").alias("word", "token")).where(F.col("token").rlike(CANDIDATE))
+    lines = docs.select("doc_id", "path", F.posexplode(F.split("text", "\n")).alias("line", "at")).where(F.col("at").rlike("[0-9]") | F.col("at").rlike(NAMED))
+    words = lines.select("doc_id", "path", "line", F.col("at").rlike(NAMED).alias("named"), F.split(F.trim("at", F.lit(" \t\r")), "[ \t\r]+").alias("words"))
+    rows = words.select("doc_id", "path", "line", "named", "words", F.posexplode("words").alias("word", "token"))
     n = F.col("word")
+    values = F.when(F.col("named"), _assigned(F.col("token"), F.concat_ws(" ", F.get("words", n - 2), F.get("words", n - 1)))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("found", F.regexp_extract_all("token", F.lit(CANDIDATE), 0))
+    rows = rows.withColumn("found", F.concat("found", F.array_except(values, "found"))).where(F.size("found") > 0)
     around = rows.select(
         "doc_id", "path", "line", "word", "token",
         F.concat_ws(" ", F.get("words", n - 2), F.get("words", n - 1)).alias("before"), F.coalesce(F.get("words", n + 1), F.lit("")).alias("after"),
-        F.posexplode(F.regexp_extract_all("token", F.lit(CANDIDATE), 0)).alias("nth", "candidate"),
+        F.posexplode("found").alias("nth", "candidate"),
     )
     return around.withColumn("inside", F.expr("substring_index(token, candidate, 1)")).drop("token")
 
 
 def _outside(text: Column) -> Column:
     """text without its candidates."""
-    return F.regexp_replace(text, CANDIDATE, " ")
+    return F.regexp_replace(F.regexp_replace(text, f"{NAME}[ \t\r]*{SIGN}[ \t\r]*[\"'`]*{VALUE}", " "), CANDIDATE, " ")
 
 
 def features(found: DataFrame, docs: DataFrame, common: int = COMMON) -> DataFrame:

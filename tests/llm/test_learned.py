@@ -78,6 +78,20 @@ def test_secret_scan_learns_from_given_labels(spark):
     assert phones and all(phones.values()) and sum(got.values()) == len(phones)
 
 
+def test_values_assigned_to_a_secrets_name_are_candidates(spark):
+    texts = {
+        300: ("password = CorrectHorseBattery", ["CorrectHorseBattery"]), 301: ("PASSWORD=p@ss.w0rd!", ["p@ss.w0rd!"]), 302: ('{"api_key": "abc def", "x": 1}', ["abc"]),
+        303: ("the_secret:hush, and more", ["hush"]), 304: ('{"pwd":"a$b","user":"me"}', ["a$b"]), 305: ("http://h/?user=me&token=q.w&z=2", ["q.w"]), 306: ('apiKey ="Über"', ["Über"]),
+        307: ("a secret place", []), 308: ("token = a1b2c3d4e5f6", ["a1b2c3d4e5f6"]), 309: ("password =", []), 310: ("token: " + "x!" * 3000, None), 311: ("name = CorrectHorse", []),
+    }
+    docs = secret_docs(spark).unionByName(frame(spark, [(k, t, "en", "a.py", 1, 1, "", "", "") for k, (t, _) in texts.items()]))
+    got = {k: [] for k in texts}
+    for r in secrets.scan(docs).where("doc_id >= 300").collect():
+        got[r.doc_id].append(r.candidate)
+        assert r.doc_id != 300 or r.is_secret
+    assert got.pop(310) == ["x!" * 3000] and got == {k: v for k, (_, v) in texts.items() if v is not None}
+
+
 def test_secret_in_a_group_of_copies_is_no_dictionary_word(spark):
     key = "qWmRkzTpVbXnLcJdHsGf4YtKe"
     copies = frame(spark, [(200 + k, f'{words(5, 77)}\ntoken = "{key}"\n{"" if k < 100 else words(3, k)}', "en", "src/app.py", 1, 1, "", "", "") for k in range(150)])
