@@ -45,6 +45,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner", share: int = 1000) -> DataFrame:
+    """left joined (inner or left) with right by the column key, however common a key is.
+
+    right has one row a key, and its column ``rows`` counts left's rows with that key; it is dropped. Keys
+    with over one part in ``share`` of left's rows are broadcast: there can't be more than ``share`` of them. All
+    others are joined by shuffle.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = right.where(F.col(rows) * share > total).drop(rows)
+    cold = right.where(F.col(rows) * share <= total).drop(rows)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return left.join(F.broadcast(hot), key).select(rest.columns).unionByName(rest)
+
+
 def plain(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast to the given types: extra columns of any name cannot clash."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()])

@@ -1,24 +1,25 @@
 """Secret scans: a random forest tells real secrets from false positives, in DataFrame functions only.
 
 Candidates are runs of key characters with a digit, and whatever is assigned to a secret's name. Each is
-described by its length, its character transitions, how much of it dictionary words cover, its path and its neighbouring words. The forest is
-trained on labelled findings; where the caller has none, findings whose format or context decides them
-serve as labels and the forest judges the rest. The dictionary is counted over all distinct texts, outside
-candidates: the copies of a secret don't make it a word.
+described by its length, its character transitions, how much of it dictionary words cover, its path and its neighbouring
+words (what they are by a hash, and whether one is a secret's name). The forest is trained on labelled findings: the
+caller's, or those of ``findings`` that were written and labelled by hand. It alone decides; no rule does.
+
+The dictionary is counted over all texts, from words that stand alone as letters and that nothing assigns:
+candidates and assigned values are no part of it, and a word must come in many different texts, so copies of a secret don't make it a word.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import join_counted, table, written
+from .findings import labelled_texts
 
 CANDIDATE = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{8,}={0,2}"
-#: Formats that issuers publish.
-ISSUED = "^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{20,})$"
 KEYWORD = "(pass|pwd|secret|token|api|key|auth|cred|bearer|private)"
 #: A secret's name, the sign that assigns, and a value up to its quote or space.
 _RUN = "[A-Za-z0-9_.\"'\\])-]"
@@ -28,19 +29,24 @@ VALUE = "([^\\s\"'`]+)"
 #: Lines that assign to a secret's name.
 NAMED = f"{NAME}[ \t\r]*[:=]"
 PLACEHOLDER = "(example|sample|dummy|placeholder|changeme|test|xxxx|0000|1234|abcd)"
+#: A dictionary word: letters alone between white space, with marks around them, to which nothing is assigned.
+WORD = "(?<![^\\s(\"'\\[])(?<![=:>]\\s{0,2}[\"'`]?)[a-z]{3,}(?=[.,;:!?)\"'\\]]*(?:\\s|$))"
 #: Texts a word must come in to be in the dictionary, and the share of all texts where that is more.
 COMMON = 20
 COMMON_SHARE = 1e-4
+#: Different texts are told apart by this many marks: COMMON texts set 17.3 of 64 on average, and a word must set so many.
+MARKS, MARKED = 64, 16
 #: Labelled findings that the forest is fitted on, about.
 SAMPLE = 20_000
-#: Dictionary words looked for that are sent to all tasks at most; more are joined by shuffle.
-BROADCAST = 200_000
 THRESHOLD = 0.5
-TREES, HEIGHT, SEED = 30, 6, 7
+TREES, HEIGHT, SEED = 40, 8, 7
+#: Buckets of the hashed words before a candidate (its own word's begin among them) and after it.
+BEFORE, AFTER = 24, 8
 
 FEATURES = [
     "length", "digits", "uppers", "lowers", "others", "distinct", "turns_case", "turns_digit", "turns_other", "hex", "padded", "coverage",
     "path_test", "path_depth", "path_code", "keyword", "assigned", "quoted", "before_length", "after_length", "placeholder",
+    *[f"before_{k}" for k in range(BEFORE)], *[f"after_{k}" for k in range(AFTER)],
 ]
 
 
@@ -78,29 +84,32 @@ def candidates(docs: DataFrame) -> DataFrame:
     return around.withColumn("inside", F.expr("substring_index(token, candidate, 1)")).drop("token")
 
 
-def _outside(text: Column) -> Column:
-    """text without its candidates."""
-    return F.regexp_replace(F.regexp_replace(text, f"{NAME}[ \t\r]*{SIGN}[ \t\r]*[\"'`]*{VALUE}", " "), CANDIDATE, " ")
+def dictionary(docs: DataFrame, common: int = COMMON) -> DataFrame:
+    """part: the words that ``common`` different texts of docs, about, and COMMON_SHARE of them have.
 
+    Words are counted in each task before any shuffle. Different texts set different bits of a mark of MARKS
+    bits; copies set the same one.
+    """
+    least = max(common, int(COMMON_SHARE * docs.count()) + 1)
+    mark = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(text), {MARKS}) as int))").alias("mark")
+    words = docs.where("text is not null").select(mark, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("part"))
+    words = words.groupBy("part").agg(F.count("*").alias("n"), F.bit_or("mark").alias("marks"))
+    return words.where((F.col("n") >= least) & (F.bit_count("marks") >= min(MARKED, common))).select("part")
 
-def features(found: DataFrame, docs: DataFrame, common: int = COMMON) -> DataFrame:
-    """found with the columns FEATURES.
 
-    The dictionary is the words that ``common`` distinct texts of docs and COMMON_SHARE of them have outside candidates.
-    """
-    found = written(found.withColumn("finding", F.monotonically_increasing_id()))
-    parts = found.select("finding", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit("[a-z]{3,}"), 0)).alias("part"))
-    wanted = parts.select("part").distinct()
-    few = wanted.limit(BROADCAST + 1).count() <= BROADCAST
-    docs = docs.where("text is not null").withColumn("h", F.xxhash64("text"))
-    common = max(common, math.ceil(COMMON_SHARE * docs.select("h").distinct().count()))
-    texts = docs.select("h", F.concat_ws(" ", F.array_distinct(F.split(_outside(F.lower("text")), "[^a-z]+"))).alias("words")).dropDuplicates(["h"])
-    words = texts.select(F.explode(F.split("words", " ")).alias("part"))
-    words = words.join(F.broadcast(wanted), "part", "left_semi") if few else words
-    known = words.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= common).select("part")
-    covered = parts.join(known, "part").groupBy("finding").agg(F.sum(F.length("part")).alias("covered"))
+def _in_bucket(k: int, n: int):
+    return lambda h: F.pmod(h, F.lit(n)) == k
+
+
+def features(found: DataFrame, docs: DataFrame, common: int = COMMON) -> DataFrame:
+    """found with the columns FEATURES; the dictionary is dictionary(docs, common)."""
+    found = written(found)
+    values = found.groupBy("candidate").agg(F.count("*").alias("rows"))
+    parts = values.select("candidate", "rows", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit("[a-z]{3,}"), 0)).alias("part"))
+    known = written(dictionary(docs, common).join(parts.groupBy("part").agg(F.count("*").alias("held")), "part"))
+    covered = join_counted(parts, known, "part", "held").groupBy("candidate").agg(F.sum(F.length("part")).alias("covered"), F.max("rows").alias("rows"))
+    out = join_counted(found, written(covered), "candidate", "rows", "left")
     c, context = F.col("candidate"), F.lower(F.concat_ws(" ", "before", "inside"))
-    out = found.join(covered, "finding", "left")
     made = {
         "length": F.length(c), "digits": _share(c, "[0-9]"), "uppers": _share(c, "[A-Z]"), "lowers": _share(c, "[a-z]"), "others": _share(c, "[^A-Za-z0-9]"),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.length(c),
@@ -110,16 +119,29 @@ def features(found: DataFrame, docs: DataFrame, common: int = COMMON) -> DataFra
         "keyword": context.rlike(KEYWORD), "assigned": F.concat_ws(" ", "before", "inside").rlike("[:=]>?[ \"']*$"), "quoted": F.col("inside").rlike("[\"'`]$"),
         "before_length": F.length("before"), "after_length": F.length("after"), "placeholder": F.lower(c).rlike(PLACEHOLDER),
     }
+    near = F.concat(F.split(F.lower("before"), " "), F.array(F.regexp_extract(F.lower("inside"), "([a-z_]+)[^a-z_]*$", 1)))
+    for name, words, n in (("before", near, BEFORE), ("after", F.array(F.lower("after")), AFTER)):
+        hashes = F.transform(F.filter(F.transform(words, lambda x: F.regexp_replace(x, "[^a-z]", "")), lambda x: x != ""), lambda x: F.xxhash64(x))
+        made |= {f"{name}_{k}": F.exists(hashes, _in_bucket(k, n)) for k in range(n)}
     return out.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in made.items()}).drop("covered")
 
 
-def rule_labels(described: DataFrame) -> DataFrame:
-    """label 1 where an issued format or an assignment to a secret's name decides, 0 where words or digits alone do, else null."""
-    c = F.col("candidate")
-    random = (F.col("coverage") < 0.3) & (F.col("distinct") > 0.2) & (F.col("placeholder") == 0)
-    yes = c.rlike(ISSUED) | ((F.col("keyword") == 1) & (F.col("assigned") == 1) & random & (F.col("length") >= 16))
-    no = (F.col("digits") == 1) | (F.col("coverage") >= 0.6) | ((F.col("keyword") == 0) & (F.col("assigned") == 0) & (F.col("length") < 16)) | c.rlike("^[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}")
-    return described.withColumn("label", F.when(yes, 1.0).when(no, 0.0))
+def labelled_findings(spark: SparkSession, copies: int | None = None) -> DataFrame:
+    """The columns of candidates(), label and place of the findings in labelled_texts()."""
+    texts = labelled_texts(spark, *([] if copies is None else [copies]))
+    known = texts.select("doc_id", "label", "secret", "place")
+    found = candidates(texts.select("doc_id", "text", "path")).join(F.broadcast(known), "doc_id")  # some thousands of rows
+    real = (F.col("label") == 1) & (F.col("candidate").contains(F.col("secret")) | F.col("secret").contains(F.col("candidate")))
+    return found.withColumn("label", F.coalesce(real, F.lit(False)).cast("double")).drop("secret")
+
+
+def measure(described: DataFrame, folds: int = 3) -> tuple[float, float]:
+    """(precision, recall) on labelled lines that are kept aside, each fold of them once. described: FEATURES, label, place."""
+    fold = F.pmod(F.xxhash64("place"), F.lit(folds))
+    got = reduce(DataFrame.unionByName, [score(described.where(fold == k), fit(described.where(fold != k))) for k in range(folds)])
+    right = F.sum((F.col("is_secret") & (F.col("label") == 1)).cast("int"))
+    x = got.agg(right.alias("right"), F.sum(F.col("is_secret").cast("int")).alias("said"), F.sum("label").alias("real")).first()
+    return (x["right"] or 0) / max(1, x["said"] or 0), (x["right"] or 0) / max(1, x["real"] or 0)
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE):
@@ -127,14 +149,15 @@ def fit(labelled: DataFrame, sample: int = SAMPLE):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = labelled.where("label is not null").select("label", *FEATURES)
+    rows = labelled.where("label is not null")
     counts = {x["label"]: x["count"] for x in rows.groupBy("label").count().collect()}  # two rows at most
     if len(counts) < 2:
         return next(iter(counts), 0.5)
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, sample / 2 / n))])
-    rows = rows.where(F.pmod(F.xxhash64(*FEATURES), F.lit(1 << 30)) < share[F.col("label")] * (1 << 30))
-    # the sample is bounded; one ordered partition makes the forest the same each time
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.coalesce(1).sortWithinPartitions("label", *FEATURES)).select("label", "features")
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", "line", "word", "nth"), F.lit(1 << 30)) < share[F.col("label")] * (1 << 30))
+    # the drawn sample is bounded; one ordered partition of it makes the forest the same each time
+    rows = written(rows.select("label", *FEATURES)).repartition(1).sortWithinPartitions("label", *FEATURES)
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("label", "features")
     return RandomForestClassifier(numTrees=TREES, maxDepth=HEIGHT, seed=SEED).fit(rows)
 
 
@@ -154,13 +177,17 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source
     """doc_id, path, line, word, nth, candidate, score, is_secret of every candidate of docs.
 
     docs: doc_id, text and a column with the path (other columns are ignored). labelled: rows with the
-    columns of candidates() and label. Null and empty texts have no candidates; a null path counts as
-    no path; repeated rows are found each; an empty table gives no rows.
+    columns of candidates() and label; without it, labelled_findings(). Null and empty texts have no candidates; a null path
+    counts as no path; repeated rows are found each; an empty table gives no rows. Lines and words may be of any
+    length, since each is read once. A score of the threshold exactly is no secret.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(f"`{path}`").cast("string").alias("path"))
-    described = features(candidates(docs), docs)
-    taught = rule_labels(described) if labelled is None else features(labelled, docs)
-    return score(described, fit(taught)).select("doc_id", "path", "line", "word", "nth", "candidate", "score", "is_secret")
+    labelled = labelled_findings(docs.sparkSession) if labelled is None else labelled
+    columns = ["doc_id", "path", "line", "word", "nth", "candidate", "before", "inside", "after"]
+    both = candidates(docs).select(*columns, F.lit(None).cast("double").alias("label"), F.lit(False).alias("taught"))
+    both = written(features(both.unionByName(labelled.select(*columns, F.col("label").cast("double"), F.lit(True).alias("taught"))), docs))
+    model = fit(both.where("taught"))
+    return score(both.where("not taught"), model).select("doc_id", "path", "line", "word", "nth", "candidate", "score", "is_secret")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

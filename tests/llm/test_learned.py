@@ -69,6 +69,27 @@ def test_secret_scan(spark):
     assert all(0 <= r.score <= 1 for r in got) and secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_secret_forest_on_wordings_kept_aside(spark):
+    docs = secret_docs(spark).selectExpr("doc_id", "text", "source as path")
+    labelled = secrets.labelled_findings(spark, 6)
+    assert 400 < labelled.count() < 2000 and labelled.where("label = 1").count() > 100
+    precision, recall = secrets.measure(secrets.written(secrets.features(labelled, docs)))
+    assert precision > 0.7 and recall > 0.7
+
+
+def test_secret_features_against_plain_counts(spark):
+    docs = secret_docs(spark).selectExpr("doc_id", "text", "source as path")
+    common = frame(spark, [(400 + k, f"{words(3, k)} thing, call today.", "en", "s", 1, 1, "", "", "") for k in range(60)]).selectExpr("doc_id", "text", "source as path")
+    known = {r.part for r in secrets.dictionary(docs.unionByName(common), 20).collect()}
+    assert {"thing", "call", "today"} <= known and "password" not in known
+    for r in secrets.features(secrets.candidates(docs.where("doc_id < 8")), docs.unionByName(common), 20).collect():
+        c = r.candidate
+        assert r.length == len(c) and r.digits == pytest.approx(sum(x.isdigit() for x in c) / len(c)) and r.distinct == pytest.approx(len(set(c)) / len(c))
+        import re
+
+        assert r.coverage == pytest.approx(sum(len(w) for w in re.findall("[a-z]{3,}", c.lower()) if w in known) / len(c))
+
+
 def test_secret_scan_learns_from_given_labels(spark):
     docs = secret_docs(spark)
     plain = docs.selectExpr("doc_id", "text", "source as path")
