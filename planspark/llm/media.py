@@ -65,11 +65,12 @@ def _length(data: memoryview, a: int) -> tuple[int, int]:
 
 
 def _sizes(data: memoryview, a: int, b: int, kind: bytes) -> np.ndarray:
+    """Sample sizes; of one fixed size there are no more than the file has room for, whatever the count says."""
     count = int.from_bytes(data[a + 8 : a + 12])
     if kind == b"stsz":
         fixed = int.from_bytes(data[a + 4 : a + 8])
         if fixed:
-            return np.full(min(count, 1 << 31), fixed, np.int64)
+            return np.full(min(count, len(data) // fixed), fixed, np.int64)
         return np.frombuffer(data[a + 12 : a + 12 + 4 * min(count, (b - a - 12) // 4)], ">u4").astype(np.int64)
     bits = data[a + 7]  # stz2: 4, 8 or 16 bits a size
     raw = np.frombuffer(data[a + 12 : b], np.uint8)
@@ -83,7 +84,10 @@ def _places(sizes: np.ndarray, chunks: np.ndarray, per: np.ndarray) -> np.ndarra
     if not len(chunks) or not len(per):
         return np.zeros(0, np.int64)
     until = np.append(per[1:, 0] - 1, len(chunks))
-    in_chunk = np.repeat(per[:, 1], np.maximum(0, np.minimum(until, len(chunks)) - (per[:, 0] - 1)))[: len(chunks)]
+    turns = np.maximum(0, np.minimum(until, len(chunks)) - (per[:, 0] - 1))
+    turns = np.diff(np.minimum(np.cumsum(turns), len(chunks)), prepend=0)
+    in_chunk = np.repeat(np.minimum(per[:, 1], len(sizes)), turns)
+    in_chunk = np.diff(np.minimum(np.cumsum(in_chunk), len(sizes)), prepend=0)  # chunks hold the samples there are
     first = np.cumsum(in_chunk) - in_chunk
     n = min(len(sizes), int(in_chunk.sum()))
     chunk_of = np.repeat(np.arange(len(in_chunk)), in_chunk)[:n]
@@ -91,59 +95,75 @@ def _places(sizes: np.ndarray, chunks: np.ndarray, per: np.ndarray) -> np.ndarra
     return chunks[chunk_of] + before - before[np.minimum(first, max(0, n - 1))[chunk_of]]
 
 
+def _fields(data: memoryview, a: int, names: list[tuple[int, int]], flags: int) -> tuple[dict[int, int], int]:
+    """The optional fields (flag, bytes) that flags say are there, from a on, and where they end."""
+    out = {}
+    for flag, width in names:
+        if flags & flag:
+            out[flag], a = int.from_bytes(data[a : a + width]), a + width
+    return out, a
+
+
+def _run(data: memoryview, a: int, b: int, part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offset, size, is a keyframe) of the samples of a trun box; part holds what its traf says, and gets where the run ends."""
+    flags, n = int.from_bytes(data[a + 1 : a + 4]), int.from_bytes(data[a + 4 : a + 8])
+    head, at = _fields(data, a + 8, [(1, 4), (4, 4)], flags)
+    columns = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+    if columns:
+        n = min(n, max(0, b - at) // (4 * len(columns)))
+    else:  # no more samples than the file has bytes for
+        n = min(n, len(data) // max(1, part["size"]))
+    rows = np.frombuffer(data[at : at + 4 * len(columns) * n], ">u4").astype(np.int64).reshape(n, len(columns))
+    size = rows[:, columns.index(0x200)] if 0x200 in columns else np.full(n, part["size"], np.int64)
+    mark = rows[:, columns.index(0x400)] if 0x400 in columns else np.full(n, part["flags"], np.int64)
+    if n and 4 in head:
+        mark = np.concatenate([[head[4]], mark[1:]])
+    begin = part["base"] + (head[1] - (1 << 32) * (head[1] >> 31)) if 1 in head else part["next"]
+    offset = begin + np.cumsum(size) - size
+    part["next"] = int(begin + size.sum())
+    return offset, size, (mark & 0x10000) == 0
+
+
 def facts(data: bytes | None) -> dict:
     """codec, duration_s, samples, keyframes [(offset, length)], media [(offset, length)] over all tracks.
 
-    Damaged, cut or empty data give what can be read: null codec and duration, no ranges.
+    Damaged, cut or empty data give what can be read: null codec and duration, no ranges. No table is
+    taken to be longer than the file has bytes for, whatever its count says.
     """
     view = memoryview(data or b"")
     out = {"codec": [], "duration_s": None, "samples": 0, "keyframes": [], "media": []}
     tracks: list[dict] = []
-    base = 0
-    run: dict = {}
+    usual: dict[int, tuple[int, int]] = {}  # track -> size and flags of its samples where a fragment says none
+    moof, after, part = 0, 0, {}
+
+    def take(offset: np.ndarray, size: np.ndarray, key: np.ndarray) -> None:
+        out["samples"] += len(offset)
+        out["media"] += zip(offset.tolist(), size.tolist(), strict=True)
+        out["keyframes"] += zip(offset[key].tolist(), size[key].tolist(), strict=True)
+
     try:
         for path, a, b in walk(view):
             kind = path[-1]
             if kind == b"moof":
-                base = a - 8
+                moof = after = a - 8
+                part = {}
             elif kind == b"trak":
                 tracks.append({})
             elif kind == b"mvhd":
                 scale, length = _length(view, a)
                 out["duration_s"] = length / scale if scale else None
+            elif kind == b"trex":
+                track, _, _, size, flags = (int.from_bytes(view[a + 4 + 4 * k : a + 8 + 4 * k]) for k in range(5))
+                usual[track] = size, flags
             elif kind == b"tfhd":
-                flags, at = int.from_bytes(view[a + 1 : a + 4]), a + 8
-                run = {"base": base, "size": 0, "flags": 0}
-                if flags & 1:
-                    run["base"], at = int.from_bytes(view[at : at + 8]), at + 8
-                at += 4 * bool(flags & 2) + 4 * bool(flags & 8)
-                if flags & 16:
-                    run["size"], at = int.from_bytes(view[at : at + 4]), at + 4
-                if flags & 32:
-                    run["flags"] = int.from_bytes(view[at : at + 4])
-            elif kind == b"trun" and run:
-                flags, n, at = int.from_bytes(view[a + 1 : a + 4]), int.from_bytes(view[a + 4 : a + 8]), a + 8
-                offset = run["base"]
-                if flags & 1:
-                    offset, at = offset + int.from_bytes(view[at : at + 4], signed=True), at + 4
-                special = None
-                if flags & 4:
-                    special, at = int.from_bytes(view[at : at + 4]), at + 4
-                for k in range(n):
-                    if at > b:
-                        break
-                    at += 4 * bool(flags & 0x100)
-                    size, mark = run["size"], special if k == 0 and special is not None else run["flags"]
-                    if flags & 0x200:
-                        size, at = int.from_bytes(view[at : at + 4]), at + 4
-                    if flags & 0x400:
-                        mark, at = int.from_bytes(view[at : at + 4]), at + 4
-                    at += 4 * bool(flags & 0x800)
-                    out["media"].append((offset, size))
-                    if not mark & 0x10000:
-                        out["keyframes"].append((offset, size))
-                    offset += size
-                    out["samples"] += 1
+                flags, track = int.from_bytes(view[a + 1 : a + 4]), int.from_bytes(view[a + 4 : a + 8])
+                said, _ = _fields(view, a + 8, [(1, 8), (2, 4), (8, 4), (16, 4), (32, 4)], flags)
+                after = part.get("next", after)
+                base = said.get(1, moof if flags & 0x20000 else after)
+                size, mark = usual.get(track, (0, 0))
+                part = {"base": base, "next": base, "size": said.get(16, size), "flags": said.get(32, mark)}
+            elif kind == b"trun" and part:
+                take(*_run(view, a, b, part))
             elif tracks:
                 t = tracks[-1]
                 if kind == b"stsd" and b - a >= 16:
@@ -163,19 +183,18 @@ def facts(data: bytes | None) -> dict:
                     t["time"] = _table(view, a, b, 2)
                 elif kind == b"mdhd":
                     t["scale"] = _length(view, a)[0]
+        none = np.zeros(0, np.int64)
         for t in tracks:
-            none = np.zeros(0, np.int64)
             sizes = t.get("size", none)
             at = _places(sizes, t.get("chunk", none), t.get("per", np.zeros((0, 3), np.int64)))
-            sizes = sizes[: len(at)]
-            sync = t.get("sync", np.arange(len(at)))
-            sync = sync[(sync >= 0) & (sync < len(at))]
-            out["samples"] += len(at)
-            out["media"] += zip(at.tolist(), sizes.tolist(), strict=True)
-            out["keyframes"] += zip(at[sync].tolist(), sizes[sync].tolist(), strict=True)
+            key = np.ones(len(at), bool)
+            if "sync" in t:
+                key[:] = False
+                key[t["sync"][(t["sync"] >= 0) & (t["sync"] < len(at))]] = True
+            take(at, sizes[: len(at)], key)
             if out["duration_s"] is None and t.get("scale") and "time" in t:
                 out["duration_s"] = float((t["time"][:, 0] * t["time"][:, 1]).sum()) / t["scale"]
-    except (IndexError, ValueError, RecursionError):
+    except (IndexError, ValueError, RecursionError, OverflowError, MemoryError):
         pass
     return out | {"codec": ",".join(out["codec"]) or None}
 

@@ -172,6 +172,34 @@ def test_media_fragments():
     assert seen["samples"] == 3 and seen["keyframes"] == [(100, 10), (130, 5)]
 
 
+def test_media_fragments_take_defaults_and_follow_on():
+    import struct
+
+    trex = media._box(b"trex", bytes(4), struct.pack(">IIIII", 7, 1, 0, 12, 0x10000))
+    tfhd = media._box(b"tfhd", b"\0\2\0\0", struct.pack(">I", 7))
+    first = media._box(b"trun", b"\0\0\0\x05", struct.pack(">IiI", 3, 80, 0))
+    then = media._box(b"trun", b"\0\0\x02\0", struct.pack(">III", 2, 5, 6))
+    moov = media._box(b"moov", media._box(b"mvex", trex))
+    seen = media.facts(moov + media._box(b"moof", media._box(b"traf", tfhd, first, then)) + media._box(b"mdat", bytes(99)))
+    at = len(moov) + 80
+    assert seen["media"] == [(at, 12), (at + 12, 12), (at + 24, 12), (at + 36, 5), (at + 41, 6)] and seen["keyframes"] == [(at, 12)]
+
+
+def test_media_counts_beyond_the_file_cost_nothing():
+    import struct
+
+    many = struct.pack(">I", 0xFFFFFFFF)
+    stsz = media._full(b"stsz", struct.pack(">I", 1), many)
+    table = lambda *boxes: media._box(b"moov", media._box(b"trak", media._box(b"mdia", media._box(b"minf", media._box(b"stbl", *boxes)))))
+    stco, stsc = media._full(b"stco", struct.pack(">II", 1, 0)), media._full(b"stsc", struct.pack(">IIII", 1, 1, 1 << 31, 1))
+    assert media.facts(table(stsz))["samples"] == 0
+    files = [table(stsz, stco, stsc), table(media._full(b"stsz", struct.pack(">III", 0, 1, 9)), stco, stsc)]
+    assert [media.facts(f)["samples"] for f in files] == [len(files[0]), 1]
+    tfhd = media._box(b"tfhd", b"\0\0\0\0", struct.pack(">I", 1))
+    data = media._box(b"moof", media._box(b"traf", tfhd, media._box(b"trun", bytes(4), many)))
+    assert media.facts(data)["samples"] <= len(data)
+
+
 def test_decontamination(spark):
     rng_items = [(1, words(30, 50)), (2, words(40, 51)), (None, None), (3, "short"), (4, "")]
     leak, other = rng_items[0][1], rng_items[1][1]
