@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, plain, table
+from .common import frugal, plain, table, written
 from .tokens import WORD_BPE, encoder
 
 BLOCK = 1024
@@ -41,7 +41,8 @@ def histogram(sizes: DataFrame) -> DataFrame:
     long, so the quantile q is the least n_tokens with docs_share >= q. Null lengths are left out; an
     empty table gives no rows.
     """
-    counts = sizes.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    # a row a distinct length; read twice below, counted once
+    counts = written(sizes.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("n_docs")))
     counts = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     order = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
