@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, join_counted
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first())
+def _same(edges: DataFrame, before: DataFrame) -> bool:
+    """Both are sets of edges: the same if as many and none is new."""
+    return edges.count() == before.count() and edges.join(before, ["u", "v"], "left_anti").isEmpty()
+
+
+def _hung(both: DataFrame, least: DataFrame) -> DataFrame:
+    """both with the column m of least (u, m, held): nodes with many neighbours are broadcast."""
+    return join_counted(both, least, "u", "held")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,17 +27,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     edges = checkpointed(edges)
-    mark = _mark(edges)
-    while mark[0]:
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = checkpointed(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
-        before, mark = mark, _mark(edges)
-        if mark == before:
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("held")).withColumn("m", F.least("u", "m")))
+        large = _hung(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = checkpointed(large.where("u <> v").distinct())
+        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("held")))
+        small = _hung(large, least).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        before, edges = edges, checkpointed(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
+        if _same(edges, before):
             break
     stars = edges.groupBy("u").agg(F.min("v").alias("component"))
     return stars.select(F.col("u").alias("node"), "component").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

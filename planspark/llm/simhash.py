@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, frugal, plain, table
+from .common import checkpointed, frugal, join_counted, plain, table
 from .components import components
 
 SHINGLE = 4
@@ -177,11 +177,11 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
     twice = made.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("v"), F.max("fp").alias("u")).where("u <> v")
     same = made.join(twice.select("doc_id", "v"), "doc_id").select(F.col("fp").alias("u"), "v")
     reach = components(links(leaves, budget).unionByName(same))
-    first = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = first.join(reach, first["fp"] == reach["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    of = labels.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = labels.join(of, "component").select("fp", "component_id")
-    return made.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    first = made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
+    labels = checkpointed(first.join(reach, first["fp"] == reach["node"], "left").select("fp", "least", "held", F.coalesce("component", "fp").alias("component")))
+    of = labels.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    labels = join_counted(labels.drop("least"), of, "component", "nodes").select("fp", "held", "component_id")
+    return join_counted(made, labels, "fp", "held").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
