@@ -2,14 +2,15 @@
 
 Every window takes from each source queue its share of the target mixture. A share is seldom a whole
 number of tokens; what a queue is owed stays its deficit and is paid in a later window. The credit of
-queue s after r of R windows has the closed form ``r*cum(s) // R - r*cum(s-1) // R``, where cum(s) is
+queue s after T tokens in all has the closed form ``T*cum(s) // total - T*cum(s-1) // total``, where cum(s) is
 the running sum of the queues' tokens, so no queue is ever a whole token behind or ahead, every window
-is full, and any partition finds the windows of its documents from nothing but their places in the
+but the last is full, and any partition finds the windows of its documents from nothing but their places in the
 queues: deficits carry across windows and partitions without a sequential pass.
 
 Without targets the mixture is the corpus's own and all queues end together. With targets, a queue
-that runs dry leaves the round and the others go on in their proportions (a new phase).
-Sources under one token a window share the largest queue, so there are at most ``window`` queues.
+that runs dry leaves the round and the others go on in their proportions (a new phase, which begins a
+window). Sources without a target and under two tokens a window share a queue, so there are at most
+half as many queues as tokens in a window, and those with targets.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -59,29 +61,32 @@ def phases(totals: list[int], shares: list[Fraction], window: int = WINDOW) -> l
         # what stays of a queue that would fill less than a token a window goes along now
         take = [n if n - t < max(1, sum(take) // (window * window)) else t for n, t in zip(left, take, strict=True)]
         windows = -(-sum(take) // window)
-        out.append((first, windows, list(done), np.cumsum([0, *take]).tolist()))
+        out.append((first, windows, list(done), [0, *accumulate(take)]))
         left = [n - t for n, t in zip(left, take, strict=True)]
         done = [d + t for d, t in zip(done, take, strict=True)]
         first += windows
     return out
 
 
-def _credit(r: np.ndarray, cum: int, windows: int) -> np.ndarray:
-    """r * cum // windows without overflow."""
-    if windows < 1 << 31:
-        return r * (cum // windows) + r * (cum % windows) // windows
-    return np.array([int(x) * cum // windows for x in r.tolist()], np.int64)
+def _credit(r: np.ndarray, cum: int, total: int, window: int) -> np.ndarray:
+    """Tokens of the first cum ones of total that are served in r full windows (all of them in the last), without overflow."""
+    if total * total < window << 62:
+        part = r * (window * cum // total) + r * (window * cum % total) // total
+    else:
+        part = np.array([int(x) * window * cum // total for x in r.tolist()], np.int64)
+    return np.where(r * window >= total, cum, part)
 
 
-def cuts(queue: int, at: int, n: int, plan: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def cuts(queue: int, at: int, n: int, plan: list, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(start, length, sequence, offset) of the pieces of ids at..at+n of a queue."""
     for first, windows, done, cum in plan:
-        low, mine = done[queue], cum[queue + 1] - cum[queue]
+        low, mine, total = done[queue], cum[queue + 1] - cum[queue], cum[-1]
         a, b = max(at, low) - low, min(at + n, low + mine) - low
         if a >= b:
             continue
-        r = np.arange(max(0, a * windows // mine - 2), min(windows, b * windows // mine + 2) + 1)
-        under, over = _credit(r, cum[queue], windows), _credit(r, cum[queue + 1], windows)
+        slack = 2 + total // (window * mine)  # a queue is up to a token off its share
+        r = np.arange(max(0, a * total // (window * mine) - slack), min(windows, b * total // (window * mine) + slack) + 1)
+        under, over = _credit(r, cum[queue], total, window), _credit(r, cum[queue + 1], total, window)
         served = over - under
         begin, end = np.maximum(served[:-1], a), np.minimum(served[1:], b)
         keep = np.flatnonzero(begin < end)
@@ -91,8 +96,8 @@ def cuts(queue: int, at: int, n: int, plan: list) -> Iterator[tuple[np.ndarray,
 def pack(docs: DataFrame, window: int = WINDOW, targets: dict[str, float] | None = None, tokenizer: str = WORD_BPE, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most ``window`` tokens.
 
-    docs: doc_id, text, source (other columns are ignored). targets: source -> weight; a source it
-    doesn't name comes after those named. Returns one row per piece: doc_id, start, length,
+    docs: doc_id, text, source (other columns are ignored). targets: source -> weight, however small the source; a
+    source it doesn't name comes after those named. Returns one row per piece: doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset, source.
 
     Null text is the empty text (one end id); null sources form a queue of their own; repeated rows
@@ -104,18 +109,21 @@ def pack(docs: DataFrame, window: int = WINDOW, targets: dict[str, float] | None
     sizes = encoded.select("row", F.shiftright("row", 33).alias("part"), F.coalesce("source", F.lit("\0")).alias("source"), "n")
     by_source = sizes.groupBy("source").agg(F.sum("n").alias("n"))
     total = by_source.agg(F.sum("n")).first()[0] or 0
-    large = sorted(by_source.filter(F.col("n") * window >= total * 2).collect(), key=lambda x: x["source"])  # at most window / 2 rows
-    if not large:
-        large = [x for x in by_source.orderBy(F.desc("n"), "source").limit(1).collect()]
-    names = [x["source"] for x in large]
-    counts = [x["n"] for x in large]
-    pool = max(range(len(counts)), key=counts.__getitem__, default=0)
-    if counts:
+    named = [x for x in targets or {} if x is not None]
+    # at most window / 2 rows, and those with targets
+    large = sorted(by_source.filter((F.col("n") * window >= total * 2) | F.col("source").isin(named)).collect(), key=lambda x: x["source"])
+    names, counts = [x["source"] for x in large], [x["n"] for x in large]
+    open_ = [i for i, x in enumerate(names) if x not in named]
+    pool = max(open_, key=counts.__getitem__, default=len(names))  # the queue of all small sources without a target
+    if pool == len(names) and total > sum(counts):
+        names.append(None)
+        counts.append(0)
+    if total > sum(counts):
         counts[pool] += total - sum(counts)
     shares = [Fraction(targets.get(s, 0)).limit_denominator(10**6) if targets else Fraction(n) for s, n in zip(names, counts, strict=True)]
     plan = phases(counts, shares, window)
 
-    queue = F.coalesce(F.create_map(*[F.lit(x) for i, s in enumerate(names) for x in (s, i)])[F.col("source")], F.lit(pool)) if names else F.lit(0)
+    queue = F.coalesce(F.create_map(*[F.lit(x) for i, s in enumerate(names) if s is not None for x in (s, i)])[F.col("source")], F.lit(pool)) if any(x is not None for x in names) else F.lit(0)
     queued = sizes.select("row", "part", "n", queue.cast("int").alias("queue"))
     bases = queued.groupBy("queue", "part").agg(F.sum("n").alias("held"))
     bases = bases.select("queue", "part", (F.sum("held").over(Window.partitionBy("queue").orderBy("part")) - F.col("held")).alias("base"))
@@ -129,7 +137,7 @@ def pack(docs: DataFrame, window: int = WINDOW, targets: dict[str, float] | None
             rows: list[list] = [[], [], [], [], [], []]
             for k, (q, at, n, ids) in enumerate(zip(pdf["queue"].tolist(), pdf["at"].tolist(), pdf["n"].tolist(), pdf["ids"], strict=True)):
                 wide = memoryview(np.frombuffer(ids, dtype).astype("<u4").tobytes())
-                for start, length, sequence, offset in cuts(q, at, n, plan):
+                for start, length, sequence, offset in cuts(q, at, n, plan, window):
                     s, m = start.tolist(), length.tolist()
                     rows[0] += [k] * len(s)
                     rows[1] += s
