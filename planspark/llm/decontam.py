@@ -6,13 +6,17 @@ and those lie on diagonals (place in text less place in item) at most k apart. S
 q-grams look up the items' q-grams, hits are counted in overlapping bands of diagonals, bands under the
 bound are dropped, and what stays is verified by an alignment that keeps to the band.
 
-Benchmark items are the stated query set: they go to the tasks in blocks of bounded size, each block a
-pass over the documents; documents are never shuffled.
+Items too short for a q-gram are looked up word by word and must stand there as they are.
+
+Benchmark items are the stated query set: they go to the tasks in blocks of bounded size, one block after
+the other, each a pass over the documents whose finds are written before the next block is read; documents
+are never shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, plain, table
+from .common import frugal, plain, table, written
 from .words import BASES, mix, powers
 
 Q = 10
@@ -29,7 +33,7 @@ Q = 10
 EDITS = 0.08
 #: Characters of the benchmark that one pass carries to the tasks.
 BLOCK = 8_000_000
-#: Items shorter than this many characters are too common as prose to tell a leak.
+#: Items shorter than this many characters are found, but a document that holds one is not taken for a leak by clean().
 SHORTEST = 20
 _CHUNK = 500_000
 _OTHER = re.compile(r"[\W_]+")
@@ -56,7 +60,7 @@ def _grams(code: np.ndarray, q: int) -> np.ndarray:
 def alignment(item: str, text: str, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best place of item in text that begins at low..high, within budget edits, or None.
 
-    Rows are the item's characters; only the diagonals low - budget .. high + budget are kept.
+    Rows are the item's characters; only the diagonals low - budget .. high + budget are kept, a row at once.
     """
     first, last = max(0, low), min(high, len(text))
     if first > last:
@@ -65,33 +69,40 @@ def alignment(item: str, text: str, low: int, high: int, budget: int) -> tuple[i
     if at >= 0:
         return 0, at, at + len(item)
     base, width = low - budget, high - low + 2 * budget + 1
-    far = budget + 1
-    cost = [0 if first <= base + d <= last else far for d in range(width)]
-    origin = [base + d for d in range(width)]
-    for i, ch in enumerate(item):
-        new, came, best = [far] * width, [0] * width, far
-        for d in range(width):
-            j = base + d + i  # the character of text this diagonal meets now
-            c, o = far, 0
-            if 0 <= j < len(text) and cost[d] + (text[j] != ch) < c:
-                c, o = cost[d] + (text[j] != ch), origin[d]
-            if d + 1 < width and cost[d + 1] + 1 < c and j + 1 <= len(text):
-                c, o = cost[d + 1] + 1, origin[d + 1]
-            if d and new[d - 1] + 1 < c and 0 <= j < len(text):
-                c, o = new[d - 1] + 1, came[d - 1]
-            new[d], came[d] = c, o
-            best = min(best, c)
-        if best > budget:
+    code = np.zeros(width + len(item), np.int64)  # the characters that the diagonals meet; 0 outside text
+    a, b = max(0, base), min(len(text), base + width + len(item))
+    code[a - base : b - base] = _codes(text[a:b]).astype(np.int64)
+    there = np.arange(base, base + width)
+    far, one = np.int64(budget + 1) << 32, np.int64(1) << 32
+    # cost and where the place begins in one number: the cheapest, then the first
+    value = np.where((there >= first) & (there <= last), np.maximum(there, 0), far)
+    slope = np.arange(width, dtype=np.int64) << 32
+    for i, ch in enumerate(_codes(item).astype(np.int64).tolist()):
+        met = code[i : i + width]
+        new = np.where(met > 0, value + np.where(met == ch, 0, one), far)  # this character met, or another in its place
+        left_out = np.append(value[1:], far) + one  # not in text
+        left_out[there + 1 + i > len(text)] = far
+        new = np.minimum(new, left_out)
+        put_in = np.minimum.accumulate(np.where(met > 0, new, far + slope) - slope) + slope  # more in text, any number
+        new = np.where(met > 0, np.minimum(new, put_in), new)
+        value = np.minimum(new, far)
+        if value.min() >= far:
             return None
-        cost, origin = new, came
-    c, d = min((c, d) for d, c in enumerate(cost))
-    return (c, origin[d], min(len(text), base + d + len(item))) if c <= budget else None
+    d = int(value.argmin())
+    cost, start = int(value[d] >> 32), int(value[d] & ((1 << 32) - 1))
+    return (cost, start, min(len(text), base + d + len(item))) if cost <= budget else None
 
 
 class Index:
     """The q-grams of one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, edits: float):
+    def __init__(self, items: list[tuple[int | None, str]], q: int, edits: float):
+        self.short = defaultdict(list)
+        for i, t in items:
+            if len(t) < q:
+                self.short[t].append(i)
+        self.spans = sorted({t.count(" ") + 1 for t in self.short})
+        items = [(i, t) for i, t in items if len(t) >= q]
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         self.q = q
@@ -113,6 +124,16 @@ class Index:
         """Edits for which the lemma still asks for one shared q-gram at least."""
         return max(0, min(int(edits * n), (n - q) // q))
 
+    def words(self, texts: list[str]) -> Iterator[tuple[int, int | None, int, int, int]]:
+        """(text, item's id, edits, start, end) of items shorter than a q-gram; they begin and end with words."""
+        for t, text in enumerate(texts if self.short else []):
+            begin = [0] + [m.end() for m in re.finditer(" ", text)]
+            end = [b - 1 for b in begin[1:]] + [len(text)]
+            for n in self.spans:
+                for a, b in zip(begin, end[n - 1 :], strict=False):
+                    for i in self.short.get(text[a:b], ()):
+                        yield t, i, 0, a, b
+
     def regions(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, edits, start, end) of verified regions; texts are normal."""
         if not len(self.key):
@@ -151,49 +172,64 @@ class Index:
                     taken = hit[2]
 
 
+def _found(docs: DataFrame, held: list[tuple[int | None, str]], q: int, edits: float) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = Index(held, q, edits)
+        for pdf in batches:
+            ids, row = pdf["doc_id"].astype("Int64").array, pdf["h"].to_numpy()
+            rows, chunk, size = [], [], 0
+            for k, text in enumerate(pdf["text"]):
+                chunk.append((k, normal(text)))
+                size += len(text)
+                if size > _CHUNK or k == len(pdf) - 1:
+                    texts = [t for _, t in chunk]
+                    rows += [(chunk[t][0], index.ids[i], len(index.texts[i]), e, a, b - a, len(texts[t])) for t, i, e, a, b in index.regions(texts)]
+                    rows += [(chunk[t][0], i, b - a, e, a, b - a, len(texts[t])) for t, i, e, a, b in index.words(texts)]
+                    chunk, size = [], 0
+            if rows:
+                k, item, chars, e, a, n, whole = zip(*rows, strict=True)
+                k = list(k)
+                yield pd.DataFrame({"doc_id": ids[k], "h": row[k], "item_id": pd.array(item, "Int64"), "item_chars": chars, "edits": e, "start": a, "length": n, "n_chars": whole})
+
+    return docs.mapInPandas(frugal(run), "doc_id long, h long, item_id long, item_chars long, edits int, start long, length long, n_chars long")
+
+
+def _keyed_regions(docs: DataFrame, items: DataFrame, q: int, edits: float, block: int) -> DataFrame:
+    """regions() with item_chars and h, the xxhash64 of the document's text."""
+    items = plain(items, item_id="long", text="string").where("text is not null")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block))
+    docs = plain(docs, doc_id="long", text="string").where("text is not null and text <> ''").withColumn("h", F.xxhash64("text"))
+
+    def held(n: int) -> list[tuple[int | None, str]]:
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n) if blocks > 1 else items
+        found = {(r["item_id"], normal(r["text"])) for r in mine.toLocalIterator()}
+        return sorted(((i, t) for i, t in found if t), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+    if blocks == 1:
+        return _found(docs, held(0), q, edits)
+    return reduce(DataFrame.unionByName, [written(_found(docs, held(n), q, edits)) for n in range(blocks)])
+
+
 def regions(docs: DataFrame, items: DataFrame, q: int = Q, edits: float = EDITS, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, edits, start, length, n_chars: where a document holds a benchmark item.
 
     docs: doc_id, text; items: item_id, text (other columns are ignored). start, length and n_chars
-    count characters of the normalised text. Null and empty texts hold nothing; items under SHORTEST
-    normalised characters are left out; repeated rows are found each; empty tables give no rows.
-    A document may hold an item several times and then has a row for each; a null item_id comes out as -1.
+    count characters of the normalised text. Null and empty texts hold nothing, and null and empty items (no letter or digit)
+    are held by none; repeated rows are found each; empty tables give no rows. Equal items come out with
+    each of their ids, null too. A document may hold an item several times and then has a row for each.
     """
-    items = plain(items, item_id="long", text="string").where("text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block))
-    docs = plain(docs, doc_id="long", text="string").where("text is not null and text <> ''")
-
-    def passed(n: int) -> DataFrame:
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
-        held = sorted({(r["item_id"] if r["item_id"] is not None else -1, normal(r["text"])) for r in mine.toLocalIterator()})
-        held = [(i, t) for i, t in held if len(t) >= max(q, SHORTEST)]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = Index(held, q, edits)
-            for pdf in batches:
-                ids = pdf["doc_id"].astype("Int64").array
-                rows, chunk, size = [], [], 0
-                for k, text in enumerate(pdf["text"]):
-                    chunk.append((k, normal(text)))
-                    size += len(text)
-                    if size > _CHUNK or k == len(pdf) - 1:
-                        texts = [t for _, t in chunk]
-                        rows += [(chunk[t][0], index.ids[i], e, a, b - a, len(texts[t])) for t, i, e, a, b in index.regions(texts)]
-                        chunk, size = [], 0
-                if rows:
-                    k, item, e, a, n, chars = zip(*rows, strict=True)
-                    yield pd.DataFrame({"doc_id": ids[list(k)], "item_id": item, "edits": e, "start": a, "length": n, "n_chars": chars})
-
-        return docs.mapInPandas(frugal(run), "doc_id long, item_id long, edits int, start long, length long, n_chars long")
-
-    return reduce(DataFrame.unionByName, [passed(n) for n in range(blocks)])
-
-
-def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The rows of docs, all their columns, whose text holds no item; a null doc_id is never dropped."""
-    dirty = regions(docs, items, **how).select("doc_id").distinct().select(F.col("doc_id").alias("_dirty"))
-    return docs.join(dirty, docs["doc_id"] == dirty["_dirty"], "left_anti")
+    return _keyed_regions(docs, items, q, edits, block).drop("h", "item_chars")
+
+
+def clean(docs: DataFrame, items: DataFrame, q: int = Q, edits: float = EDITS, block: int = BLOCK, shortest: int = SHORTEST) -> DataFrame:
+    """The rows of docs, all their columns, whose text holds no item of ``shortest`` normalised characters or more.
+
+    Rows go by their own text, whatever their doc_id (null too): rows with an equal text go together, others
+    with the same doc_id stay.
+    """
+    dirty = _keyed_regions(docs, items, q, edits, block).where(F.col("item_chars") >= shortest).select(F.col("doc_id").alias("d"), F.col("h").alias("g")).distinct()
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["d"]) & (F.xxhash64(docs["text"].cast("string")) == dirty["g"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

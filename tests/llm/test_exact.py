@@ -226,15 +226,52 @@ def test_decontamination(spark):
     rng_items = [(1, words(30, 50)), (2, words(40, 51)), (None, None), (3, "short"), (4, "")]
     leak, other = rng_items[0][1], rng_items[1][1]
     edited = other.replace("the", "teh", 1)[:-1]
-    data = [(100, words(50, 60) + " " + leak.upper() + "!! " + words(50, 61)), (101, edited), (102, words(300, 62)), (103, None), (104, ""), (105, leak), (105, leak), (None, leak), (106, leak[: len(leak) // 2])]
+    data = [(100, words(50, 60) + " " + leak.upper() + "!! " + words(50, 61)), (101, edited), (102, words(300, 62)), (103, None), (104, ""), (105, leak), (105, leak), (None, leak), (106, leak[: len(leak) // 2]), (107, "a Short, one"), (107, "shorter shorts")]
     docs = frame(spark, [(i, t, "en", "s", 1, 1, "", "", "") for i, t in data])
     items = spark.createDataFrame(rng_items, "item_id long, text string")
     for block in (8_000_000, 100):
         got = decontam.regions(docs, items, block=block).collect()
-        assert Counter((r.doc_id, r.item_id) for r in got) == Counter({(100, 1): 1, (101, 2): 1, (105, 1): 2, (None, 1): 1})
+        assert Counter((r.doc_id, r.item_id) for r in got) == Counter({(100, 1): 1, (101, 2): 1, (105, 1): 2, (None, 1): 1, (107, 3): 1})
     assert {r.edits for r in got if r.item_id == 1} == {0} and all(0 < r.edits <= decontam.EDITS * len(other) for r in got if r.item_id == 2)
     kept = decontam.clean(docs, items)
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [102, 103, 104, 106] and kept.columns == docs.columns
+    assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [102, 103, 104, 106, 107, 107] and kept.columns == docs.columns
+    twice = frame(spark, [(108, "plain", "en", "s", 1, 1, "", "", ""), (108, leak + " more", "en", "s", 1, 1, "", "", "")])
+    assert [r.text for r in decontam.clean(twice, items).collect()] == ["plain"]
+    assert decontam.regions(docs.limit(0), items).count() == 0 and decontam.regions(docs, items.limit(0)).count() == 0
+    assert decontam.clean(docs, items.limit(0)).count() == docs.count()
+
+
+def semi_global(item, text):
+    """Least edits of item anywhere in text."""
+    row = [0] * (len(text) + 1)
+    for i, ch in enumerate(item):
+        new = [i + 1]
+        for j, c in enumerate(text):
+            new.append(min(row[j] + (c != ch), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_against_edit_distance_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    items = [(k, words(rng.randint(8, 14), 700 + k)) for k in range(6)] + [(None, words(9, 720))]
+    docs = []
+    for k in range(40):
+        body = list(items[rng.randrange(7)][1])
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randrange(len(body))
+            rng.choice([lambda: body.pop(at), lambda: body.insert(at, "x"), lambda: body.__setitem__(at, "y")])()
+        docs.append((k, words(rng.randint(0, 12), 800 + k) + " " + "".join(body) + " " + words(rng.randint(0, 12), 900 + k)))
+    want = set()
+    for d, t in docs:
+        for i, x in items:
+            n = len(decontam.normal(x))
+            if semi_global(decontam.normal(x), decontam.normal(t)) <= decontam.Index.affordable(n, decontam.Q, decontam.EDITS):
+                want.add((d, i))
+    got = decontam.regions(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and 10 < len(want) < 40
 
 
 def test_alignment_against_edit_distance():
