@@ -319,8 +319,33 @@ def test_line_dedup_equals_sql(spark):
     by = {a: (b, d) for a, b, _, d in mine if a is not None}
     assert by[0] == (lines[0] + "\n" + lines[1], 2) and by[25] == (copies, 0)
     assert linededup.line_dedup(docs.limit(0)).count() == 0
-    shapes = linededup.templates(linededup.candidate_lines(linededup._keyed(docs)))
-    assert {r.pattern for r in linededup.generalised(shapes).collect()} >= {"Posted by <*> at <*>", "All rights reserved."}
+    found = linededup.candidate_lines(linededup._keyed(docs))
+    shapes = linededup.templates(found)
+    assert {r.pattern for r in linededup.generalised(found, shapes).collect()} >= {"Posted by <*> at <*>", "All rights reserved."}
+
+
+def sql_rows(docs):
+    """Rows of linededup.ORACLE_SQL over docs."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+    return con.sql(linededup.ORACLE_SQL).fetchall()
+
+
+def test_line_dedup_holds_several_templates_in_a_leaf(spark):
+    pytest.importorskip("duckdb")
+    names = ["Oslo", "Rome", "Lima", "Bern", "Riga", "Cork", "Bath", "Nice", "Kiel", "Graz"]
+    own = lambda k: "\n".join(words(9, 3000 + 10 * k + j) for j in range(6))
+    data = [(k, f"Read more about our latest news on {x}\n{own(k)}\nRead more about the daily offers from {x}", "en", "s", 1, 1, "", "", "") for k, x in enumerate(names)]
+    docs = frame(spark, data)
+    got = [tuple(r) for r in linededup.line_dedup(docs).collect()]
+    assert sorted(got) == sorted((r[0], own(r[0]), 8, 2) for r in data) == sorted(sql_rows(docs))
+    short = frame(spark, [(k, f"Posted in our public forum\n{words(7, 4000 + k)}", "en", "s", 1, 1, "", "", "") for k in range(9)])
+    assert [r.n_dropped for r in linededup.line_dedup(short).collect()] == [1] * 9  # nearly half of each is the template
+    odd = docs.selectExpr("*", "1 as drop_lines", "2 as drop_id", "3 as drop_key", "4 as n_lines", "5 as doc")
+    kept = linededup.clean(odd)
+    assert kept.columns == odd.columns and {(r.doc_id, r.text, r.drop_lines, r.n_lines) for r in kept.collect()} == {(r[0], own(r[0]), 1, 4) for r in data}
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav>
