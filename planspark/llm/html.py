@@ -1,14 +1,18 @@
 """Main text of HTML pages by nearest-URL page differencing.
 
 Pages are cut into lines of text (blocks), each with what the markup says of it. Pages of a host are put
-in the order of their URL paths; a page is paired with the neighbour whose path begins most like its
-own. The longest common subsequence of their lines is what the template repeats: those lines are
-deleted. Where markup names the article, text outside it goes as well and prose inside it stays even if
-the neighbour has it, since pages often carry the same paragraph or the same article; pairs that share
-most of their characters are copies of one page and tell nothing of the template.
-
-Only line keys are compared across pages. The order over all pages is made by range partitions, so a
-host with a third of the pages is many partitions' work.
+in the order of their URL paths. A page is paired with the nearest page around it, by the path that begins most like its
+own, that is no copy: pages that share clearly more with it than another neighbour does share an article, not the
+template alone. The longest common subsequence of the pair's lines is what the template repeats, and is deleted:
+
+* outside articles that markup names, every shared line;
+* inside such an article, where pages often carry the same paragraph, the lines that all neighbours share
+  (four at least) if those are the lesser part of the article.
+
+Markup then takes what is left of menus, sidebars, notices and the like, which differ from page to page.
+
+Only line keys are compared across pages. The order over all pages is made by range partitions and cut in
+blocks of pages that overlap, so a host with a third of the pages is many blocks' work.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed, frugal, plain, table
 
 #: Fixed names. Elements whose content is never text.
-NO_TEXT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "head", "title", "textarea", "select", "datalist", "map"}
+NO_TEXT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "audio", "video", "head", "title", "textarea", "select", "datalist", "map"}
 #: Elements that hold no article text.
-ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "label", "fieldset"}
+ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
 #: Elements that end a block.
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -38,44 +42,157 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Elements whose end tags are often left out, and what closes them.
 LOOSE = {"p": BLOCK - {"hr"} | {"hr"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
-#: Words in class or id that name what is not the article.
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner\w*|promo\w*|sponsor\w*|sidebar\w*|side-?bar|nav|navbar|navigation|menu\w*|breadcrumb\w*|header|masthead|footer|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|"
-    r"newsletter|subscribe|signup|login|share|sharing|social|comment|comments|comment-?list|disqus|respond|reply|replies|related\w*|recommend\w*|widget\w*|pager|pagination|toolbar|skip|hidden)(?:$|[\s_-])",
-    re.I,
-)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+#: Words that name, as a whole class or id or as its words, what is not the article.
+NOTICE = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "promo", "promotion", "sponsor", "sponsored", "sidebar", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay",
+    "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "related", "recommended", "recommendations", "widget", "widgets",
+    "pager", "pagination", "toolbar", "skip", "hidden", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs",
+}
+#: Words that do so outside articles only.
+FRAME = {"header", "masthead", "footer"}
+#: Words of a class or id that is about the layout around the article: whatever else it names is not this element.
+LAYOUT = {"with", "has", "no", "without", "content", "main", "page", "layout", "wrapper", "container", "body", "article", "post", "entry"}
+#: Elements that hold an end tag's reach, and elements whose end tags reach out of any.
+WALLS = {"td", "th", "table", "article", "main", "body"}
+REACH = {"table", "tr", "tbody", "article", "main", "body", "html", "section", "div"}
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {k: re.compile(rf"</{k}\b[^>]*>", re.I) for k in ("script", "style", "textarea", "title", "iframe", "noscript", "template")}
-#: Characters from which a line outside any article is prose.
-PROSE = 40
-#: Share of its characters, outside what markup marks, from which a page that shares them is a copy.
-COPY = 0.8
-
-
-def _aside(name: str, attributes: str, in_article: bool) -> bool:
+#: Link-only lines in a row, outside any article, that are a menu.
+MENU = 3
+#: Neighbours on each side that a page is compared with, and how many must share a line inside an article.
+NEAR, ALL = 4, 4
+#: A neighbour that shares so many times the characters that another shares is a copy, in part at least.
+MORE = 1.25
+#: Characters by which neighbours may differ in any case.
+SLACK = 80
+#: Pages in a block.
+BLOCK_PAGES = 256
+
+
+def _named(value: str, in_article: bool) -> bool:
+    """A class or id that names what is not the article."""
+    names = [set(re.split(r"[^a-z0-9]+", re.sub("([a-z])([A-Z])", r"\1-\2", name).lower())) for name in value.split()]
+    if any(x & LAYOUT for x in names):
+        names = [x for x in names if x & NOTICE and not x & LAYOUT and len(x) == 1]
+        return bool(names) and len(value.split()) == 1
+    return any(x & NOTICE or (x & FRAME and not in_article) for x in names)
+
+
+def _aside(name: str, attributes: str, in_article: bool) -> str:
+    """What an element is: ``aside`` for certain, ``maybe`` by its class or id, or ``plain``."""
     if name in ASIDE or (name == "header" and not in_article):
-        return True
-    if not attributes:
-        return False
-    for key, a, b, c in _ATTRIBUTE.findall(attributes):
+        return "aside"
+    what = "plain"
+    for key, a, b, c in _ATTRIBUTE.findall(attributes or ""):
         key, value = key.lower(), a or b or c
-        if key in ("class", "id") and _HINT.search(value) and name not in ("html", "body", "article", "main"):
-            return True
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return "aside"
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "aside"
+        if key in ("class", "id") and name not in ("html", "body", "article", "main") and _named(value, in_article):
+            what = "maybe"
+    return what
+
+
+class _Open:
+    """Open elements; the place of the last one of a name, or of a kind, is found without going through all."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str]] = []  # element and what it is
+        self.of: dict[str, list[int]] = defaultdict(list)
+        self.block: list[int] = []  # elements that end a block
+        self.wall: list[int] = []  # elements that end tags of others don't reach out of
+
+    def push(self, name: str, what: str) -> None:
+        at = len(self.stack)
+        self.stack.append((name, what))
+        self.of[name].append(at)
+        if name in BLOCK or name == "option":
+            self.block.append(at)
+        if name in WALLS:
+            self.wall.append(at)
+
+    def pop(self) -> tuple[str, str]:
+        name, what = self.stack.pop()
+        for places in (self.of[name], self.block, self.wall):
+            if places and places[-1] == len(self.stack):
+                places.pop()
+        return name, what
+
+    def closed_by(self, name: str) -> int | None:
+        """Where the element stands that a new one ends, whose end tag was left out."""
+        for k in reversed(self.block):
+            top = self.stack[k][0]
+            if top in LOOSE and name in LOOSE[top]:
+                return k
+            if top not in LOOSE or top != "p" and name in ("ul", "ol", "table", "dl"):
+                return None
+        return None
+
+
+def _tags(html: str) -> Iterator[tuple[str, int, int, str, str]]:
+    """(kind, begin, end, name, attributes): text, open or close; what is neither is left out. Each character is read a few times at most."""
+    at, n, last = 0, len(html), {q: html.rfind(q) for q in ("\"", "'", ">", "-->")}
+    while at < n:
+        if html[at] != "<":
+            end = html.find("<", at)
+            end = n if end < 0 else end
+            yield "text", at, end, "", ""
+            at = end
+            continue
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4) if last["-->"] >= at + 4 else -1
+            at = n if end < 0 else end + 3
+            continue
+        if html.startswith("<![CDATA[", at):
+            end = html.find("]]>", at)
+            end = n if end < 0 else end
+            yield "text", at + 9, end, "", ""
+            at = end + 3
+            continue
+        if html.startswith(("<!", "<?"), at):
+            end = html.find(">", at)
+            at = n if end < 0 else end + 1
+            continue
+        m = _NAME.match(html, at)
+        if not m or at > last[">"]:
+            yield "text", at, at + 1, "", ""
+            at += 1
+            continue
+        k = m.end()
+        while True:  # to the > outside quotes
+            q = _QUOTE.search(html, k)
+            if not q:
+                k = html.find(">", m.end())  # a quote that nothing ends is no quote
+                break
+            k = q.end()
+            if q.group() == ">":
+                k -= 1
+                break
+            if last[q.group()] < k:
+                k = html.find(">", m.end())
+                break
+            k = html.find(q.group(), k) + 1
+        end = n if k < 0 else k + 1
+        yield ("close" if m.group(1) else "open"), at, end, m.group(2).lower(), html[m.end() : end - 1]
+        at = end
 
 
 def blocks(html: str | None) -> list[tuple[str, bool, bool, float]]:
-    """(text, in the article, in something that is not the article, share of link text) of each line of a page, in order."""
-    out: list[tuple[str, bool, bool, float]] = []
-    stack: list[tuple[str, str]] = []  # element and what it is: article, aside, none, link or plain
+    """(text, in the article, in something that is not the article, share of link text) of each line of a page, in order.
+
+    An element that only its class or id calls something else than the article is taken at its word
+    unless it holds over half of the page's text. Damaged markup is read as far as it goes: end tags of nothing are
+    left out, quotes that nothing ends are no quotes, and a < that begins no tag is text.
+    """
+    lines: list[tuple[str, bool, bool, float, tuple]] = []
+    opened = _Open()
     depth = {"article": 0, "aside": 0, "none": 0, "link": 0}
+    maybe: list[int] = []  # open elements that may not be the article
     held: list[str] = []
-    linked = 0
+    linked = count = 0
     html = html or ""
 
     def end_block() -> None:
@@ -84,43 +201,38 @@ def blocks(html: str | None) -> list[tuple[str, bool, bool, float]]:
             raw = "".join(held)
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append((text, depth["article"] > 0, depth["aside"] > 0, linked / max(1, len(raw))))
+                lines.append((text, depth["article"] > 0, depth["aside"] > 0, linked / max(1, len(raw)), tuple(maybe)))
             held.clear()
         linked = 0
 
     def close(until: int) -> None:
-        while len(stack) > until:
-            name, what = stack.pop()
-            if name in BLOCK or name in NO_TEXT or what in ("article", "aside"):
+        while len(opened.stack) > until:
+            name, what = opened.pop()
+            if name in BLOCK or name in NO_TEXT or what in ("article", "aside", "maybe"):
                 end_block()
             if what in depth:
                 depth[what] -= 1
+            elif what == "maybe":
+                maybe.pop()
 
-    at, n = 0, len(html)
-    while at < n:
-        m = _TOKEN.match(html, at)
-        if not m:
-            text, at = html[at], at + 1
-            name = None
-        else:
-            at = m.end()
-            cdata, slash, name, attributes, text = m.groups()
-            text = text or cdata
-        if name is None:
-            if text and not depth["none"]:
+    skip, unclosed = 0, set()
+    for kind, begin, end, name, attributes in _tags(html):
+        if begin < skip:
+            if end <= skip:
+                continue
+            begin = skip if kind == "text" else begin
+        if kind == "text":
+            text = html[begin:end]
+            if not depth["none"]:
                 held.append(text)
                 if depth["link"]:
                     linked += len(text)
             continue
-        name = name.lower()
-        if slash:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                # an end tag doesn't reach out of the cell, list or section it stands in
-                if stack[k][0] in ("td", "th", "table", "article", "main", "body") and name not in ("table", "tr", "tbody", "article", "main", "body", "html", "section", "div"):
-                    break
+        if kind == "close":
+            places = opened.of[name]
+            # an end tag doesn't reach out of the cell, list or section it stands in
+            if places and not (name not in REACH and opened.wall and opened.wall[-1] > places[-1]):
+                close(places[-1])
             if name == "p" or name in BLOCK:
                 end_block()
             continue
@@ -131,41 +243,46 @@ def blocks(html: str | None) -> list[tuple[str, bool, bool, float]]:
             if name == "hr":
                 end_block()
             continue
-        # what a new element closes: open p, li, cells
-        for k in range(len(stack) - 1, -1, -1):
-            top = stack[k][0]
-            if top in LOOSE and name in LOOSE[top]:
-                close(k)
-                break
-            if top in BLOCK and top not in LOOSE or top in LOOSE and top != "p" and name in ("ul", "ol", "table", "dl"):
-                break
+        ended = opened.closed_by(name)
+        if ended is not None:
+            close(ended)
         if name in BLOCK:
             end_block()
-        if attributes and attributes.endswith("/") and name not in BLOCK and name not in _RAW:
+        if attributes.endswith("/") and name not in BLOCK and name not in _RAW:
             continue
         if name in _RAW:
-            closing = _RAW[name].search(html, at)
+            closing = None if name in unclosed else _RAW[name].search(html, end)
+            if not closing:
+                unclosed.add(name)
             if name in ("noscript", "template", "iframe") or closing or name in ("script", "style"):
-                end = closing.end() if closing else n
-                at = end
+                skip = closing.end() if closing else len(html)
                 continue
         what = "plain"
         if name in NO_TEXT:
             what = "none"
         elif name in ("article", "main") or attributes and re.search(r"itemprop\s*=\s*[\"']?articleBody|role\s*=\s*[\"']?main", attributes, re.I):
             what = "article"
-        elif _aside(name, attributes, depth["article"] > 0):
-            what = "aside"
         elif name == "a":
             what = "link"
-        if what in ("article", "aside"):
+        if what in ("plain", "link"):
+            called = _aside(name, attributes, depth["article"] > 0)
+            what = called if called != "plain" else what
+        if what in ("article", "aside", "maybe"):
             end_block()
-        stack.append((name, what))
+        opened.push(name, what)
         if what in depth:
             depth[what] += 1
+        elif what == "maybe":
+            maybe.append(count)
+            count += 1
     close(0)
     end_block()
-    return out
+    size: dict[int, int] = defaultdict(int)
+    for text, *_, inside in lines:
+        for k in inside:
+            size[k] += len(text)
+    whole = sum(len(x[0]) for x in lines)
+    return [(text, article, aside or any(2 * size[k] <= whole for k in inside), links) for text, article, aside, links, inside in lines]
 
 
 def common(a: list, b: list) -> list[int]:
@@ -197,17 +314,45 @@ def common(a: list, b: list) -> list[int]:
     return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
+def differing(path: str, mine: list[int], sizes: list[int], inside: list[int], near: list[tuple[str, list[int]]]) -> list[int]:
+    """Places of the lines of a page that its template repeats.
+
+    mine, sizes and inside: key, characters, and whether it is inside an article of each line. near: paths and keys of pages around
+    it, in any order.
+    """
+    met = []
+    for other, keys in near:
+        places = common(mine, keys)
+        if len(places) < len(mine) and len(places) < len(keys):  # one that has no line of its own is a copy
+            same = next((i for i, (c, d) in enumerate(zip(path, other, strict=False)) if c != d), min(len(path), len(other)))
+            met.append((-same, sum(sizes[k] for k in places), places))
+    if not met:
+        return []
+    least = min(x[1] for x in met)
+    _, _, places = min((x for x in met if x[1] <= MORE * least + SLACK), key=lambda x: x[0])
+    out = [k for k in places if not inside[k]]
+    if len(met) >= ALL:
+        every = set(places).intersection(*(x[2] for x in met))
+        often = [k for k in sorted(every) if inside[k]]
+        if 2 * sum(sizes[k] for k in often) < sum(n for n, i in zip(sizes, inside, strict=True) if i):
+            out += often
+    return sorted(out)
+
+
 def article(page: list[tuple[str, bool, bool, float]], shared: set[int]) -> list[str]:
-    """The lines that stay: shared holds the places of lines that the nearest page has as well."""
-    marked = any(inside and not aside for _, inside, aside, _ in page)
-    out = []
-    for k, (text, inside, aside, links) in enumerate(page):
-        prose = inside and not aside and links < 0.5
-        if aside or (marked and not inside) or (k in shared and not prose):
+    """The lines that stay: shared holds the places of lines that the template repeats."""
+    left = [x for k, x in enumerate(page) if k not in shared]
+    if any(inside and not aside for _, inside, aside, _ in left):
+        return [text for text, inside, aside, _ in left if inside and not aside]
+    out: list[str] = []
+    run: list[str] = []
+    for text, _, aside, links in [*left, ("", False, True, 0.0)]:
+        if links > 0.8 and not aside:
+            run.append(text)
             continue
-        if not marked and links > 0.8 and len(text) < PROSE:
-            continue  # a bare link outside any article
-        out.append(text)
+        out += run if len(run) < MENU else []  # bare links in a row are a menu
+        out += [] if aside else [text]
+        run = []
     return out
 
 
@@ -220,25 +365,21 @@ def _key(lines: list) -> list[int]:
 def _line_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         pages = [blocks(x) for x in pdf["html"]]
-        sizes = [[0 if aside else len(text) for text, _, aside, _ in page] for page in pages]
-        yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "h": pdf["h"], "host": pdf["host"], "path": pdf["path"], "keys": [_key(page) for page in pages], "sizes": sizes})
+        sizes = [[len(text) for text, *_ in page] for page in pages]
+        inside = [[bool(article and not aside) for _, article, aside, _ in page] for page in pages]
+        yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "h": pdf["h"], "host": pdf["host"], "path": pdf["path"], "keys": [_key(page) for page in pages], "sizes": sizes, "inside": inside})
 
 
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for path, keys, sizes, *near in zip(pdf["path"], pdf["keys"], pdf["sizes"], pdf["path_b"], pdf["keys_b"], pdf["path_a"], pdf["keys_a"], strict=True):
-            mine, best = list(keys), []
-            pairs = [(p, list(k)) for p, k in ((near[0], near[1]), (near[2], near[3])) if p is not None and k is not None]
-            # the nearest URL first: the path that begins most like this one
-            pairs.sort(key=lambda x: -next((i for i, (c, d) in enumerate(zip(path, x[0], strict=False)) if c != d), min(len(path), len(x[0]))))
-            for _, other in pairs:
-                places = common(mine, other)
-                if sum(sizes[k] for k in places) <= COPY * sum(sizes):
-                    best = places
-                    break
-            out.append(best)
-        yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "h": pdf["h"], "shared": out})
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The lines to delete of the pages of a block; pages of the blocks beside it are there to be compared with."""
+    pdf = pdf.sort_values("at", ignore_index=True)
+    host, path, keys = pdf["host"].tolist(), pdf["path"].tolist(), [x.tolist() for x in pdf["keys"]]
+    own = pdf.index[pdf["own"]].tolist()
+    out = []
+    for k in own:
+        near = [j for j in range(max(0, k - NEAR), min(len(pdf), k + NEAR + 1)) if j != k and host[j] == host[k]]
+        out.append(differing(path[k], keys[k], pdf["sizes"][k].tolist(), pdf["inside"][k].tolist(), [(path[j], keys[j]) for j in near]))
+    return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64").iloc[own].array, "h": pdf["h"].iloc[own].array, "shared": pd.Series(out, dtype=object)})
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,32 +388,41 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page.
-
-    pages: page_id, url, html (other columns are ignored). Null html is empty and gives an empty text;
-    a null URL or one without a host is compared with other such pages; pages alone on their host, and
-    copies of their neighbours, lose only what markup marks; repeated rows come each; an empty table
-    gives no rows. Ties of equal paths go by page_id.
-    """
-    pages = plain(pages, page_id="long", url="string", html="string")
-    url = F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 1)
-    path = F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 2)
-    pages = pages.withColumn("host", F.lower(F.regexp_replace(url, "^(www|m)\\.", ""))).withColumn("path", path).withColumn("h", F.xxhash64("url", "html"))
-    keyed = pages.select("page_id", "h", "host", "path", "html").mapInPandas(frugal(_line_keys), "page_id long, h long, host string, path string, keys array<long>, sizes array<int>")
+def template_lines(pages: DataFrame) -> DataFrame:
+    """page_id, h (hash of URL and html), shared: the places of the lines that differencing deletes, of every page. pages: from _keyed()."""
+    keyed = pages.select("page_id", "h", "host", "path", "html").mapInPandas(frugal(_line_keys), "page_id long, h long, host string, path string, keys array<long>, sizes array<int>, inside array<boolean>")
     order = ["host", "path", "page_id", "h"]
     keyed = checkpointed(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     parts = keyed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
+    # a row a partition
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    placed = keyed.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(parts), "part").withColumn("at", F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1))
-    other = placed.select("at", "host", "path", "keys")
+    placed = keyed.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(parts), "part").withColumn("at", F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("part", "base")
+    block = lambda at: F.floor(at / BLOCK_PAGES)
+    mine = block(F.col("at"))
+    # a page at a block's edge goes to the block beside it as well
+    to = F.array_distinct(F.array(mine, block(F.col("at") - NEAR), block(F.col("at") + NEAR)))
+    met = placed.select("*", mine.alias("home"), F.explode(to).alias("block")).withColumn("own", F.col("block") == F.col("home")).drop("home")
+    return met.groupBy("block").applyInPandas(_shared, "page_id long, h long, shared array<int>")
+
+
+def _keyed(pages: DataFrame) -> DataFrame:
+    pages = plain(pages, page_id="long", url="string", html="string")
+    url = F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 1)
+    path = F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 2)
+    return pages.withColumn("host", F.lower(F.regexp_replace(url, "^(www|m)\\.", ""))).withColumn("path", path).withColumn("h", F.xxhash64("url", "html"))
 
-    def beside(step: int, mark: str) -> DataFrame:
-        return other.select((F.col("at") + step).alias("at"), "host", F.col("path").alias("path" + mark), F.col("keys").alias("keys" + mark))
 
-    met = placed.join(beside(1, "_b"), ["at", "host"], "left").join(beside(-1, "_a"), ["at", "host"], "left")
-    shared = met.select("page_id", "h", "path", "keys", "sizes", "path_b", "keys_b", "path_a", "keys_a").mapInPandas(frugal(_shared), "page_id long, h long, shared array<int>")
-    shared = shared.where(F.size("shared") > 0).dropDuplicates(["page_id", "h"]).select(F.col("page_id").alias("p"), F.col("h").alias("g"), "shared")
+def main_text(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every page.
+
+    pages: page_id, url, html (other columns are ignored). Null html is empty and gives an empty text;
+    a null URL or one without a host is compared with other such pages; pages alone on their host, and
+    those among copies of themselves, lose only what markup marks; repeated rows come each; an empty table
+    gives no rows. Ties of equal paths go by page_id; of equally near pages the first is taken. Html of any length and depth is read in
+    time that grows with its length.
+    """
+    pages = _keyed(pages)
+    shared = template_lines(pages).where(F.size("shared") > 0).dropDuplicates(["page_id", "h"]).select(F.col("page_id").alias("p"), F.col("h").alias("g"), "shared")
     out = pages.join(shared, pages["page_id"].eqNullSafe(shared["p"]) & (pages["h"] == shared["g"]), "left")
     return out.select("page_id", "url", "html", "shared").mapInPandas(frugal(_texts), "page_id long, url string, text string, n_chars long")
 

@@ -367,6 +367,81 @@ def test_html_differencing_and_structure(spark):
     assert all(r.n_chars == len(r.text) for r in got) and html.main_text(pages.limit(0)).count() == 0
 
 
+LAYOUT = """<body><div class="content sidebar-right"><div id="page-with-sidebar"><div class="article-header"><h1>Title %d</h1></div>
+<p>Text %d with <math><mi>x</mi></math> and a <label>label</label></p><p><a>Figure 3</a></p><div class="sidebar"><p>Side %d</p></div>
+<ul><li><a>One %d</a><li><a>Two %d</a><li><a>Three %d</a></ul></div></div></body>"""
+
+
+def test_html_layout_classes_never_empty_a_page(spark):
+    pages = spark.createDataFrame([(k, f"http://layout{k}.example/", LAYOUT % ((k,) * 6)) for k in range(3)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.main_text(pages).collect()} == {k: f"Title {k}\nText {k} with x and a label\nFigure 3" for k in range(3)}
+    whole = "<div class='post-entry'><div class='comments'><p>%s</p></div><p>end</p></div>" % ("long text " * 20)
+    assert [x[2] for x in html.blocks(whole)] == [False, False]  # what holds most of a page is no comment
+
+
+def plain_main_text(pages):
+    """Main texts by the rule said plainly, over pages (page_id, url, html) of one host in order of their paths."""
+    made = [html.blocks(h) for _, _, h in pages]
+    out = {}
+    for k, mine in enumerate(made):
+        near = [j for j in range(len(pages)) if j != k and abs(j - k) <= html.NEAR]
+        met = []
+        for j in near:
+            a, b = [x[0] for x in mine], [x[0] for x in made[j]]
+            best = [[[] for _ in range(len(b) + 1)] for _ in range(len(a) + 1)]
+            for i in range(len(a)):
+                for m in range(len(b)):
+                    best[i + 1][m + 1] = best[i][m] + [i] if a[i] == b[m] else max(best[i][m + 1], best[i + 1][m], key=len)
+            places = best[-1][-1]
+            if len(places) < min(len(a), len(b)):
+                p, q = pages[k][1], pages[j][1]
+                same = next((i for i, (c, d) in enumerate(zip(p, q)) if c != d), min(len(p), len(q)))
+                met.append((same, sum(len(a[i]) for i in places), places))
+        gone = set()
+        if met:
+            least = min(x[1] for x in met)
+            places = max((x for x in met if x[1] <= html.MORE * least + html.SLACK), key=lambda x: x[0])[2]
+            gone = {i for i in places if not (mine[i][1] and not mine[i][2])}
+            if len(met) >= html.ALL:
+                often = {i for i in places if mine[i][1] and not mine[i][2] and all(i in x[2] for x in met)}
+                if 2 * sum(len(mine[i][0]) for i in often) < sum(len(t) for t, ins, aside, _ in mine if ins and not aside):
+                    gone |= often
+        out[pages[k][0]] = "\n".join(html.article(mine, gone))
+    return out
+
+
+def test_html_differencing_decides_inside_and_outside_articles(spark):
+    def page(k, tag):
+        body = f"<h2>{words(4, 60 + k)}</h2><p>{words(30, 70 + k)}</p><p>{words(20, 5)}</p>" if k % 3 else f"<p>{words(25, 70 + k)}</p>"
+        return f"<body><div>Top of the site</div><{tag}><p>Written for our readers</p>{body}<p>Support us today</p></{tag}><div>Our network of sites</div><div>{'Page'} {k}</div></body>"
+
+    pages = [(k, f"http://d.example/{k:02}", page(k, "main")) for k in range(20)] + [(100 + k, f"http://e.example/{k:02}", page(k, "div")) for k in range(20)]
+    pages += [(200 + k, f"http://f.example/{k:02}", page(7, "main").replace("Page 7", f"Page {k}")) for k in range(12)]
+    frame_ = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(frame_).collect()}
+    want = plain_main_text(pages[:20]) | plain_main_text(pages[20:40]) | plain_main_text(pages[40:])
+    assert got == want
+    assert not any("Support us" in t or "Written for" in t for k, t in got.items() if k < 200)
+    assert all(words(20, 5) in got[k] for k in range(20) if k % 3)  # a paragraph that several articles carry stays
+    assert all(words(30, 77) in got[k] for k in range(200, 212))  # copied articles stay
+
+
+def test_html_short_article_under_a_long_template(spark):
+    page = "<body>" + "".join(f"<div>{words(20, 40 + j)}</div>" for j in range(8)) + "<div>%s</div></body>"
+    pages = spark.createDataFrame([(k, f"http://s.example/{k}", page % words(6, 90 + k)) for k in range(7)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.main_text(pages).collect()} == {k: words(6, 90 + k) for k in range(7)}
+
+
+def test_html_damage_takes_time_in_proportion():
+    import time
+
+    n = 40_000
+    began = time.time()
+    for text in ("<div>" * n + "</span>" * n, "<b>" * n + "<p>x</p>" * n, '<a "' * n, '<a ">' * n, "<p><b>" * n, "<!--" * n, "<" * n, "<textarea>" * n):
+        html.blocks(text)
+    assert time.time() - began < 20
+
+
 def test_common_subsequence_is_longest():
     import random
 
