@@ -50,7 +50,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def candidate_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, own: float = OWN) -> DataFrame:
     """doc_id, h, ln, masked, shape (its MD5), evidence of the lines in leaves that enough documents of their own share; docs: from _keyed()."""
-    docs = docs.dropDuplicates(["doc_id", "h"])
     lines = docs.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("ln", "line")).where(F.trim("line", F.lit(" \t\r")) != "")
     lines = lines.select("doc_id", "h", "ln", _masked(F.col("line")).alias("m"))
     # texts are cut and read once: what follows needs two keys a line
@@ -70,7 +69,7 @@ def candidate_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     met = met.select("doc_id", "h", "evidence", "lns", F.split("text", "\n").alias("all"))
     met = met.select("doc_id", "h", "evidence", F.explode(F.transform("lns", lambda i: F.struct(i.alias("ln"), F.get("all", i).alias("line")))).alias("x"))
     met = met.select("doc_id", "h", F.col("x.ln").alias("ln"), "evidence", _masked(F.col("x.line")).alias("masked"))
-    return written(met.withColumn("shape", F.md5("masked")))
+    return written(met.withColumn("shape", F.md5("masked"))).dropDuplicates(["doc_id", "h", "ln"])
 
 
 def _bands(tokens: Column, depth: int, similar: float) -> Column:
