@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_counted
+from .common import checkpointed
 
 
 def _same(edges: DataFrame, before: DataFrame) -> bool:
@@ -13,11 +13,6 @@ def _same(edges: DataFrame, before: DataFrame) -> bool:
     return edges.count() == before.count() and edges.join(before, ["u", "v"], "left_anti").isEmpty()
 
 
-def _hung(both: DataFrame, least: DataFrame) -> DataFrame:
-    """both with the column m of least (u, m, held): nodes with many neighbours are broadcast."""
-    return join_counted(both, least, "u", "held")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of edges (u, v: long).
 
@@ -29,11 +24,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = checkpointed(edges)
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("held")).withColumn("m", F.least("u", "m")))
-        large = _hung(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = checkpointed(large.where("u <> v").distinct())
-        least = checkpointed(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("held")))
-        small = _hung(large, least).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # rows are two numbers; of a node with many neighbours Spark splits the join by its skew rule
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         before, edges = edges, checkpointed(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
         if _same(edges, before):
             break
