@@ -59,7 +59,9 @@ def lead_capitals(s: Column | str) -> Column:
 def natural_key(s: Column | str) -> Column:
     """Sort key in which numbers inside names count by value."""
     parts = F.regexp_extract_all(F.lower(_c(s)), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 12, "0")).otherwise(p)), "")
+    # a number of any length: how many digits it has, then the digits
+    number = lambda p: F.concat(F.lpad(F.length(F.regexp_replace(p, "^0+(?=[0-9])", "")).cast("string"), 4, "0"), F.regexp_replace(p, "^0+(?=[0-9])", ""))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), number(p)).otherwise(p)), "")
 
 
 def to_int(s: Column | str) -> Column:
@@ -78,13 +80,14 @@ def without_instance(key: Column | str) -> Column:
     return F.regexp_replace(_c(key), "-?1$", "")
 
 
-def without_letter(key: Column | str) -> Column:
-    """Name key without the letter before its trailing number."""
-    return F.regexp_replace(_c(key), "[A-Z]([0-9]+)$", "$1")
+def without_letter(name: Column | str) -> Column:
+    """Name key without its last letter, be it before an instance number 1 or between a digit and that 1."""
+    return F.regexp_replace(F.regexp_replace(tr_key(name), "[A-Z](1?)$", "$1"), "([0-9])[A-Z](?=1$)", "$1")
 
 
 def slug(s: Column | str) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(_c(s)), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 60)
+    """Key of an allowance's system: capitals and digits, at most 30 characters."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.upper(_c(s)), "[^A-Z0-9]+", "-"), "^-|-$", ""), 1, 30)
 
 
 # title blocks and notes ----------------------------------------------------------------------------
@@ -116,6 +119,21 @@ def building_of(title: Column | str) -> Column:
     return F.when(found.isNotNull(), F.concat(F.lit("BLDG-"), found))
 
 
+#: A sheet number that names level and zone, and a zone in a title.
+SHEET_LEVEL_ZONE = r"^[A-Z]+\d\.([0-9B])(?:\.?([A-Z][A-Z0-9]*))?$"
+TITLE_ZONE = r"\bZONES?\s+([A-Z0-9][A-Z0-9,& ]*?)(?=\s+-|\s*$)"
+
+
+def location(title: Column | str, sheet_number: Column | str, building_label: Column | str) -> Column:
+    """building, level and zone of a sheet: its title's, then its building label's, then its sheet number's."""
+    t, sheet = F.upper(F.coalesce(_c(title), F.lit(""))), F.upper(F.coalesce(_c(sheet_number), F.lit("")))
+    label = F.when(F.coalesce(_c(building_label), F.lit("")) != "", F.concat(F.lit("BLDG-"), _c(building_label)))
+    level, zone = (F.nullif(F.regexp_extract(sheet, SHEET_LEVEL_ZONE, i), F.lit("")) for i in (1, 2))
+    named = F.regexp_extract(t, TITLE_ZONE, 0)
+    said = F.when((named != "") & ~named.rlike(r"^ZONES\b"), F.regexp_replace(F.regexp_extract(t, TITLE_ZONE, 1), r"\s+", ""))
+    return F.struct(F.coalesce(building_of(t), label).alias("building"), F.coalesce(level_of(t), level).alias("level"), F.coalesce(said, zone).alias("zone"))
+
+
 def room_reference(text: Column | str) -> Column:
     """Telecom room that a page's patch-panel note names; phrases that only look like a name are none."""
     found = F.upper(F.regexp_extract(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"\s+", " "), r"(?i)PATCH PANELS IN TR\s+([A-Z0-9][A-Z0-9\-]*)", 1))
@@ -151,6 +169,11 @@ def note_limit(text: Column | str, kind: str) -> Column:
     return F.when(limits, F.regexp_extract(t, pattern, 1).try_cast("int"))
 
 
+#: Most cables a 4-inch conduit takes, and what is said beyond.
+FILL = [(27, ">27/conduit exceeds 24-str OS2 fill"), (24, ">24/conduit exceeds 12-str OS2 fill")]
+DEMARC_FLAG = "+demarc qty not stated"
+
+
 def callout(text: Column | str) -> Column:
     """Conduit callout as a struct: cables, core, conduit counts, pathway, cables per conduit and fill flag."""
     t = F.trim(F.regexp_replace(F.regexp_replace(F.upper(_c(text)), "[”″]|''", '"'), r"\s+", " "))
@@ -163,9 +186,11 @@ def callout(text: Column | str) -> Column:
     filled = grab(r"\((\d+)\)\s*CONDUITS?\s*WITH\s*CABLES", F.when(n4 == 1, 1).otherwise(0))
     path = F.when(t.contains("PIPE BASEMENT"), "pipe basement").when(t.contains("EXISTING TUNNEL"), "existing tunnel").when(t.contains("EXISTING UNDERGROUND CONDUIT"), "existing UG conduit").otherwise("duct bank")
     per = F.when(filled > 0, round_even(cables / filled, 1))
+    over = F.when((filled > 0) & (cables / filled > FILL[0][0]), FILL[0][1]).when((filled > 0) & (cables / filled > FILL[1][0]), FILL[1][1])
+    flag = F.concat_ws("; ", over, F.when(t.contains("DEMARC"), DEMARC_FLAG))
     return F.struct(
         cables.alias("cables"), core.alias("core"), t.contains("DEMARC").alias("demarc"), n4.alias("n4"), grab(r'\((\d+)\)\s*1\s*"\s*CONDUITS?\s*FOR\s*FIRE').alias("n1_fa"),
-        filled.alias("with_cables"), grab(r"\((\d+)\)\s*SPARE").alias("spare"), grab(r"\((\d+)\)\s*CONDUITS?\s*WITH\s*ELECTRICAL").alias("elec"), path.alias("pathway"), per.alias("cables_per_conduit"),
+        filled.alias("with_cables"), grab(r"\((\d+)\)\s*SPARE").alias("spare"), grab(r"\((\d+)\)\s*CONDUITS?\s*WITH\s*ELECTRICAL").alias("elec"), path.alias("pathway"), per.alias("cables_per_conduit"), flag.alias("fill_flag"),
     )
 
 
@@ -175,10 +200,21 @@ def strands_per_core(text: Column | str) -> Column:
     return F.when(F.size(hits) > 0, F.aggregate(hits, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint")))
 
 
-def plant_of(text: Column | str) -> Column:
-    """osp, isp or null by the wording of a cable note; words of outside plant win."""
+#: Wordings of outside and inside plant and what they are called.
+OUTSIDE = [(r"INDOOR\s*/\s*OUTDOOR", "indoor/outdoor"), (r"LOOSE[- ]TUBE", "loose tube"), (r"GEL[- ]FILLED", "gel-filled"), (r"OUTSIDE PLANT|\bOSP\b", "outside plant")]
+INSIDE = [(r"\bINDOOR\b", "indoor"), (r"TIGHT[- ]BUFFER", "tight buffered"), (r"INSIDE PLANT|\bISP\b", "inside plant")]
+
+
+def plant_basis(text: Column | str) -> Column:
+    """isp_osp (osp, isp or null) and basis (the wordings that say so) of a cable note; words of outside plant win."""
     t = F.upper(_c(text))
-    return F.when(t.rlike(r"INDOOR\s*/\s*OUTDOOR|LOOSE[- ]TUBE|GEL[- ]FILLED|OUTSIDE PLANT|\bOSP\b"), "osp").when(t.rlike(r"\bINDOOR\b|TIGHT[- ]BUFFER|INSIDE PLANT|\bISP\b"), "isp")
+    out, inside = (F.concat_ws(" · ", *[F.when(t.rlike(p), name) for p, name in words]) for words in (OUTSIDE, INSIDE))
+    return F.struct(F.when(out != "", "osp").when(inside != "", "isp").alias("isp_osp"), F.when(out != "", out).when(inside != "", inside).alias("basis"))
+
+
+def plant_of(text: Column | str) -> Column:
+    """osp, isp or null by the wording of a cable note."""
+    return plant_basis(text)["isp_osp"]
 
 
 # lengths -------------------------------------------------------------------------------------------

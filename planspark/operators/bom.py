@@ -45,6 +45,18 @@ def totals(expanded: DataFrame, order: Column | None = None) -> DataFrame:
     return expanded.where("gap is null").groupBy("key").agg(F.sum("qty").alias("qty"), F.min_by("c", order).alias("c")).select("key", "qty", "c.part_number", "c.part_name", "c.manufacturer", "c.model")
 
 
+def project_totals(instances: DataFrame, types: DataFrame) -> DataFrame:
+    """The rows of totals(expand(instances, types)): instances are counted and their feet summed, as decimals in any order, by type and family first."""
+    rows = instances.select("instance_id", "device_type_id", "total_ft", F.posexplode(S.families("raw_labels")).alias("nth", "family"))
+    at = F.struct("instance_id", "nth")
+    sums = rows.groupBy("device_type_id", "family").agg(F.count("*").alias("n"), F.sum(F.col("total_ft").cast("decimal(18,4)")).alias("ft"), F.min(at).alias("first"), F.min(F.when(F.col("total_ft").isNotNull(), at)).alias("first_measured"))
+    lines = sums.join(types.select("device_type_id", "assembly"), "device_type_id").select("n", "ft", "first", "first_measured", F.posexplode(F.col("assembly")[F.col("family")]).alias("line", "c"))
+    per_ft = F.coalesce(F.col("c.per_run_ft"), F.lit(False))
+    lines = lines.where(~per_ft | F.col("first_measured").isNotNull()).withColumn("qty", F.coalesce(F.col("c.qty"), F.lit(1.0)).cast("decimal(10,4)") * F.when(per_ft, F.col("ft")).otherwise(F.col("n")))
+    order = F.struct(F.when(per_ft, F.col("first_measured")).otherwise(F.col("first")), "line")
+    return lines.groupBy(component_key(F.col("c")).alias("key")).agg(F.sum("qty").cast("double").alias("qty"), F.min_by("c", order).alias("c")).select("key", "qty", "c.part_number", "c.part_name", "c.manufacturer", "c.model")
+
+
 def gaps(expanded: DataFrame) -> DataFrame:
     """How many instances each type and family leave unmodelled or unmeasured."""
     flagged = expanded.where("gap is not null").groupBy("gap", "device_type_id", "family", "instance_id").agg(F.max("name").alias("name"))

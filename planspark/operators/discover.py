@@ -35,15 +35,20 @@ def prefix_pattern(counts: DataFrame, keys: list[str]) -> DataFrame:
     return got.select(*keys, "base", "tokens", F.when(F.col("digits"), F.concat(F.lit("^"), "base", F.lit("\\d+$"))).otherwise(F.concat(F.lit("^"), "base", F.lit("-[\\w-]+$"))).alias("pattern"))
 
 
+#: Descriptions of clusters that are no devices, whether only without texts, and what they are.
+NOISE = [
+    ("dashed.{0,10}line|line.{0,10}pattern|routing.{0,10}path|conduit", False, "Conduit or routing line"),
+    ("number.{0,20}inside|numbered.{0,10}circle|detail.{0,10}ref|callout|keynote", False, "Keynote callout or detail reference bubble"),
+    (r"\barrow\b|directional|flow.{0,10}direction", True, "Directional arrow or flow indicator"),
+]
+MANY, MANY_REASON = 60, "High frequency with no text anchors — likely background element"
+
+
 def noise_reason(description: Column | str, n_texts: Column, count: Column) -> Column:
     """Why a discovered cluster is no device, or null."""
     d = F.lower(F.coalesce(F.col(description) if isinstance(description, str) else description, F.lit("")))
-    return (
-        F.when(d.rlike("dashed.{0,10}line|line.{0,10}pattern|routing.{0,10}path|conduit"), "routing line")
-        .when(d.rlike("number.{0,20}inside|numbered.{0,10}circle|detail.{0,10}ref|callout|keynote"), "callout bubble")
-        .when(d.rlike(r"\barrow\b|directional|flow.{0,10}direction") & (n_texts == 0), "arrow")
-        .when((count > 60) & (n_texts == 0), "background element")
-    )
+    found = [F.when(d.rlike(pattern) & ((n_texts == 0) | F.lit(not bare)), reason) for pattern, bare, reason in NOISE]
+    return F.coalesce(*found, F.when((count > MANY) & (n_texts == 0), MANY_REASON))
 
 
 def expand_anchors(texts: Column | str) -> Column:

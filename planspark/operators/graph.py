@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -11,10 +13,13 @@ from .spatial import within
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's shared folder; a local one only where none is set, as in tests."""
+    """Reliable checkpoint in the folder that spark.checkpoint.dir names; a local master may have one of its own."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-planspark-", dir="/tmp"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[[^-]*\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-planspark-", dir="/tmp"))
     return df.checkpoint()
 
 
@@ -37,17 +42,34 @@ def components(edges: DataFrame) -> DataFrame:
 def chains(links: DataFrame) -> DataFrame:
     """chain (its first node), node, position along paths of directed links (a, b), each node at most once a side.
 
-    Pointer jumping: each round doubles how far back a node sees, so a chain of n takes log n rounds.
+    A closed ring is cut before its least node. Pointer jumping: each round doubles how far back a node sees,
+    so a chain of n takes log n rounds; a ring ends when all its nodes have seen all of it, which the least node seen tells.
     """
-    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    state = checkpointed(nodes.join(links.select(F.col("b").alias("node"), F.col("a").alias("head")), "node", "left").select("node", F.coalesce("head", "node").alias("head"), F.when(F.col("head").isNull(), 0).otherwise(1).alias("hops")))
+    links = checkpointed(links.select("a", "b"))
+    return _chains(links, checkpointed(links.select(F.col("a").alias("node")).union(links.select("b")).distinct()))
+
+
+def _chains(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    state = nodes.join(links.select(F.col("b").alias("node"), F.col("a").alias("head")), "node", "left")
+    state = checkpointed(state.select("node", F.coalesce("head", "node").alias("head"), F.least("node", "head").alias("least"), F.col("head").isNull().alias("done")))
+    total, seen = nodes.count(), 1
+    while state.where("not done").limit(1).count():
+        if seen > total:  # what has not come to a first node by now goes round
+            rings = state.where("not done").groupBy("least").agg(F.count("*").alias("n"))
+            first = rings.select(F.col("least").alias("b"))
+            links = checkpointed(links.join(first, "b", "left_anti"))
+            return _chains(links, nodes)
+        back = state.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("least").alias("more"), F.col("done").alias("end"))
+        state = checkpointed(state.join(back, "head").select("node", F.col("next").alias("head"), F.least("least", "more").alias("least"), F.col("end").alias("done")))
+        seen *= 2
+    # the first node of each chain is known; places are counted back to it in the same way
+    hops = checkpointed(nodes.join(links.select(F.col("b").alias("node"), F.col("a").alias("back")), "node", "left").select("node", F.coalesce("back", "node").alias("back"), F.when(F.col("back").isNull(), 0).otherwise(1).alias("hops")))
     while True:
-        back = state.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("hops").alias("more"))
-        after = checkpointed(state.join(back, "head").select("node", F.col("next").alias("head"), (F.col("hops") + F.col("more")).alias("hops"), (F.col("more") > 0).alias("moved")))
-        moved = after.where("moved").limit(1).count()
-        state = after.drop("moved")
-        if not moved:
-            return state.select(F.col("head").alias("chain"), "node", F.col("hops").alias("position"))
+        step = hops.select(F.col("node").alias("back"), F.col("back").alias("next"), F.col("hops").alias("more"))
+        hops = checkpointed(hops.join(step, "back").select("node", F.col("next").alias("back"), (F.col("hops") + F.col("more")).alias("hops"), (F.col("more") > 0).alias("moved")))
+        if not hops.where("moved").limit(1).count():
+            return hops.select(F.col("back").alias("chain"), "node", F.col("hops").alias("position"))
+        hops = hops.drop("moved")
 
 
 def greedy_keep(points: DataFrame, radius: float, keys: list[str]) -> DataFrame:
@@ -83,7 +105,7 @@ def mutual_links(ends: DataFrame, tolerance: float, keys: list[str]) -> DataFram
     return best.join(back, ["id", "to"]).where("id < to").select(F.col("id").alias("a"), F.col("to").alias("b"), "dist")
 
 
-def waypoint_paths(starts: DataFrame, waypoints: DataFrame, limit: int = 1000) -> DataFrame:
+def waypoint_paths(starts: DataFrame, waypoints: DataFrame) -> DataFrame:
     """device, hop, waypoint, x, y: greedy ways to a target over the page's waypoints.
 
     starts: page_id, device, x, y, tx, ty. waypoints: page_id, waypoint, wx, wy. Each round takes every
@@ -91,7 +113,7 @@ def waypoint_paths(starts: DataFrame, waypoints: DataFrame, limit: int = 1000) -
     there is none. Distances to the target shrink, so none is taken twice. Ties go to the smaller waypoint.
     """
     at, out = starts.select("page_id", "device", "x", "y", "tx", "ty"), None
-    for hop in range(1, limit + 1):
+    for hop in itertools.count(1):  # a way has fewer hops than its page has waypoints
         met = at.join(waypoints, "page_id")
         gone, left, now = ((F.col(a) - F.col(c)) * (F.col(a) - F.col(c)) + (F.col(b) - F.col(d)) * (F.col(b) - F.col(d)) for a, b, c, d in (("wx", "wy", "x", "y"), ("wx", "wy", "tx", "ty"), ("x", "y", "tx", "ty")))
         best = met.where(left < now).groupBy("page_id", "device", "tx", "ty").agg(F.min_by(F.struct("waypoint", "wx", "wy"), F.struct(gone, F.col("waypoint"))).alias("w"))

@@ -50,7 +50,7 @@ def span_matches(tokens: DataFrame, keys: list[str], label: str, longest: int =
 def numbered(df: DataFrame, keys: list[str], prefix: str, *order: Column | str) -> DataFrame:
     """A label such as S01 by order within keys."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("label", F.concat(F.lit(prefix), F.lpad(n.cast("string"), 2, "0")))
+    return df.withColumn("label", F.concat(F.lit(prefix), F.lpad(n.cast("string"), F.greatest(F.lit(2), F.length(n.cast("string"))), "0")))
 
 
 def polyline(points: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:

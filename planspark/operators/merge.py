@@ -88,6 +88,17 @@ def match_names(names: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select("name", match.alias("match"), F.when(count == 1, tier).otherwise("none").alias("tier"), count.cast("long").alias("candidates"))
 
 
+def match_riser(names: DataFrame, rows: DataFrame) -> DataFrame:
+    """name, kind (exact, close or none), tr_name, why: match_names(), and after it names in which one letter differs."""
+    met = match_names(names, rows)
+    keyed = rows.select(S.without_letter("tr_number").alias("_k"), "tr_number").groupBy("_k").agg(F.count("*").alias("_n"), F.min("tr_number").alias("_m"))
+    met = met.withColumn("_k", S.without_letter("name")).join(keyed.where("_n = 1"), "_k", "left")
+    close = F.col("match").isNull() & F.col("_m").isNotNull()
+    kind = F.when(F.col("tier").isin("exact", "stripped"), "exact").when(F.col("match").isNotNull() | close, "close").otherwise("none")
+    why = F.when(F.col("tier") == "suffix-dropped", "instance suffix differs").when(close, "one letter differs")
+    return met.select("name", kind.alias("kind"), F.coalesce("match", "_m").alias("tr_name"), why.alias("why"))
+
+
 def classify_incoming(incoming: DataFrame, revisions: DataFrame, tag: str) -> DataFrame:
     """page_id, kind and rev_label of uploaded pages against the sheets on file.
 

@@ -1,4 +1,4 @@
-"""Outside plant: vault balances, segment checks and the take-off table."""
+"""Outside plant: vault balances, segment checks and quantities."""
 
 from __future__ import annotations
 
@@ -41,7 +41,7 @@ def segment_checks(segments: DataFrame, pull_limit: float, bend_limit: float) ->
     return segments.select("segment", F.explode(found).alias("category"))
 
 
-def takeoff(segments: DataFrame, keys: list[str]) -> DataFrame:
+def quantities(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Section, item and quantity a sheet: conditional sums turned into rows."""
     sums = segments.groupBy(*keys).agg(
         F.sum("total_ft").alias("route_ft"), F.sum(F.when(F.col("is_new"), F.col("total_ft")).otherwise(0.0)).alias("new_ft"), F.sum(F.col("total_ft") * F.coalesce("cables", F.lit(0))).alias("cable_ft"),
@@ -50,6 +50,6 @@ def takeoff(segments: DataFrame, keys: list[str]) -> DataFrame:
     return sums.unpivot(keys, ["route_ft", "new_ft", "cable_ft", "without_callout", "segments"], "item", "quantity")
 
 
-def combine(takeoffs: DataFrame) -> DataFrame:
-    """Take-offs of many sheets as one: quantities summed by item."""
-    return takeoffs.groupBy("item").agg(F.sum("quantity").alias("quantity"))
+def combine(sheets: DataFrame) -> DataFrame:
+    """Quantities of many sheets as one, summed by item."""
+    return sheets.groupBy("item").agg(F.sum("quantity").alias("quantity"))

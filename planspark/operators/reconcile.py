@@ -55,7 +55,7 @@ def collapsed(labels: DataFrame, radius: float = COLLAPSE) -> DataFrame:
 def snapped(devices: DataFrame, symbols: DataFrame, radius: float = SNAP) -> DataFrame:
     """Devices after symbols (page_id, sym, type, x, y) took their places: snapped, adopted, or new ones with no_uin."""
     target = devices.where("x is not null").select("page_id", "type", "device", F.col("x").alias("rx"), F.col("y").alias("ry"))
-    hits = nearest(symbols.select("page_id", "type", "sym", "x", "y"), target, radius, ["page_id", "type"], ["page_id", "sym"], F.desc("device"))
+    hits = nearest(symbols.select("page_id", "type", "sym", "x", "y"), target, radius, ["page_id", "type"], ["page_id", "sym"], F.col("device"), latest=True)
     by_device = hits.groupBy("page_id", "device").agg(F.max_by(F.struct("x", "y"), "sym").alias("s"))
     free = symbols.join(hits.select("page_id", "sym"), ["page_id", "sym"], "left_anti")
     waiting = devices.where("x is null and array_contains(sources, 'schedule')")
@@ -77,7 +77,7 @@ def snapped(devices: DataFrame, symbols: DataFrame, radius: float = SNAP) -> Dat
 def leader_groups(devices: DataFrame, leaders: DataFrame, radius: float = SNAP) -> DataFrame:
     """Devices after leader marks (page_id, leader, type, x, y, quantity): the nearest device becomes the first of quantity."""
     target = devices.where("x is not null").select("page_id", "type", "device", F.col("x").alias("rx"), F.col("y").alias("ry"))
-    base = nearest(leaders.select("page_id", "type", "leader", "x", "y"), target, radius, ["page_id", "type"], ["page_id", "leader"], F.desc("device")).select("page_id", "leader", "device", "rx", "ry")
+    base = nearest(leaders.select("page_id", "type", "leader", "x", "y"), target, radius, ["page_id", "type"], ["page_id", "leader"], F.col("device"), latest=True).select("page_id", "leader", "device", "rx", "ry")
     mark = F.array(F.lit("leader_expanded"))
     hit = base.select("page_id", "device").distinct().withColumn("led", F.lit(True))
     out = devices.join(hit, ["page_id", "device"], "left")

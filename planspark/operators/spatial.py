@@ -31,10 +31,30 @@ def within(left: DataFrame, right: DataFrame, radius: float, keys: list[str], st
     return met.where((F.col("dist") < radius) if strict else (F.col("dist") <= radius))
 
 
-def nearest(left: DataFrame, right: DataFrame, radius: float, keys: list[str], by: list[str], *ties: Column, strict: bool = False) -> DataFrame:
-    """The nearest right point of each left row (named by ``by``) within radius; ties by the given order."""
-    order = Window.partitionBy(*by).orderBy("dist", *ties)
-    return within(left, right, radius, keys, strict).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+def nearest(left: DataFrame, right: DataFrame, radius: float, keys: list[str], by: list[str], *ties: Column, strict: bool = False, latest: bool = False) -> DataFrame:
+    """The nearest right point of each left row (named by ``by``) within radius; ties go to the least, or if latest the greatest, of the given columns."""
+    met = within(left, right, radius, keys, strict)
+    if not latest:
+        return _first(met, by, "dist", *ties)
+    rest = [c for c in met.columns if c not in by]
+    return met.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(-F.col("dist"), *ties)).alias("_x")).select(*by, "_x.*")
+
+
+def _first(met: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
+    """The first row of each ``by``; tasks keep one row each before the shuffle."""
+    rest = [c for c in met.columns if c not in by]
+    return met.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_x")).select(*by, "_x.*")
+
+
+def nearest_outward(left: DataFrame, right: DataFrame, first: float, limit: float, keys: list[str], by: list[str], *ties: Column) -> DataFrame:
+    """nearest() within limit, looked for within first, then four times as far and so on, so cells stay small where points are near."""
+    out, radius = None, first
+    while True:
+        got = nearest(left, right, min(radius, limit), keys, by, *ties)
+        out = got if out is None else out.unionByName(got)
+        if radius >= limit:
+            return out
+        left, radius = left.join(got.select(*by), by, "left_anti"), radius * 4
 
 
 def suppressed(left: DataFrame, right: DataFrame, radius: float, keys: list[str], by: list[str]) -> DataFrame:
@@ -48,7 +68,7 @@ def left_adjacent(anchors: DataFrame, tokens: DataFrame, dx: float, dy: float, k
     tokens: keys, rx, ry and more.
     """
     met = within(anchors, tokens, (dx * dx + dy * dy) ** 0.5, keys).where((F.col("x") - F.col("rx") > 0) & (F.col("x") - F.col("rx") <= dx) & (F.abs(F.col("y") - F.col("ry")) <= dy))
-    return met.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("dist", "rx", *ties))).where("_n = 1").drop("_n")
+    return _first(met, by, "dist", "rx", *ties)
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame, width: float, keys: list[str]) -> DataFrame:
@@ -65,7 +85,7 @@ def assign_pins(points: DataFrame, boxes: DataFrame, pins: DataFrame, width: flo
     boxes: keys, pin_id, pin_order and corners. pins: keys, near_pin, rx, ry.
     """
     scoped = in_boxes(points, boxes, width, keys).groupBy(*by).agg(F.min_by("pin_id", "pin_order").alias("box_pin"))
-    near = nearest(points, pins, reach, keys, by, F.col("near_pin")).select(*by, "near_pin")
+    near = nearest_outward(points, pins, reach / 16, reach, keys, by, F.col("near_pin")).select(*by, "near_pin")
     return points.join(scoped, by, "left").join(near, by, "left").withColumns({"pin": F.coalesce("box_pin", "near_pin"), "scoped": F.col("box_pin").isNotNull()}).drop("box_pin", "near_pin")
 
 

@@ -64,17 +64,17 @@ CATALOG = """cat AS (SELECT part_number, arg_max(p_retailprice, p_partkey) AS co
 
 
 def q4(spark, sf):
-    priced = bom.price(bom.totals(bom.expand(instances(spark, sf), types(spark, sf))), catalog(spark, sf))
+    priced = bom.price(bom.project_totals(instances(spark, sf), types(spark, sf)), catalog(spark, sf))
     return priced.select("part_number", S.round_up("qty", 2).alias("qty"), "cost_unit", F.col("line_cost"), "line_sale", "reason")
 
 
-Q4 = f"""WITH {INSTANCES}, {COMPONENTS}, {CATALOG}, tot AS (SELECT part_number, sum(qty) AS qty FROM line WHERE NOT unmodeled AND NOT far GROUP BY part_number)
+Q4 = f"""WITH {INSTANCES}, {COMPONENTS}, {CATALOG}, tot AS (SELECT part_number, sum(qty::DECIMAL(24,6))::DOUBLE AS qty FROM line WHERE NOT unmodeled AND NOT far GROUP BY part_number)
 SELECT tot.part_number, floor(qty * 100 + 0.5) / 100 AS qty, CASE WHEN active THEN cost_unit END AS cost_unit, CASE WHEN active THEN floor(cost_unit * qty * 100 + 0.5) / 100 END AS line_cost,
   CASE WHEN active THEN floor(cost_unit * 2 * qty * 100 + 0.5) / 100 END AS line_sale, CASE WHEN cost_unit IS NULL THEN 'not_in_catalog' WHEN NOT active THEN 'inactive' END AS reason FROM tot LEFT JOIN cat USING (part_number)"""
 
 
 def bom_totals(spark, sf):
-    got = bom.price(bom.totals(bom.expand(instances(spark, sf), types(spark, sf))), catalog(spark, sf))
+    got = bom.price(bom.project_totals(instances(spark, sf), types(spark, sf)), catalog(spark, sf))
     return got.agg(S.round_up(F.sum("line_cost"), 0).alias("cost_total"), S.round_up(F.sum("line_sale"), 0).alias("sale_total"), F.count("reason").alias("unresolved"))
 
 
@@ -115,7 +115,7 @@ def items(spark, sf):
 
 
 def lines(spark, sf):
-    return t(spark, sf, "part").where("p_partkey % 10 = 0").select(F.col("p_brand").alias("item_key"), F.concat(F.lit(" P"), F.col("p_partkey").cast("string")).alias("part_number"), (F.col("p_size") % 4 + 1.0).alias("qty"), F.when(F.col("p_size") % 2 == 0, 0.0).otherwise(1.5).alias("waste"))
+    return t(spark, sf, "part").select(F.col("p_brand").alias("item_key"), F.concat(F.lit(" P"), F.col("p_partkey").cast("string")).alias("part_number"), (F.col("p_size") % 4 + 1.0).alias("qty"), F.when(F.col("p_size") % 2 == 0, 0.0).otherwise(1.5).alias("waste"))
 
 
 def priced_parts(spark, sf):
@@ -123,7 +123,7 @@ def priced_parts(spark, sf):
 
 
 ITEMS = """items AS (SELECT p_brand AS item_key, sum(l_quantity) AS qty FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand),
-lines AS (SELECT p_brand AS item_key, 'P' || p_partkey AS part_number, p_size % 4 + 1.0::DOUBLE AS qty, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 1.5 END::DOUBLE AS waste FROM part WHERE p_partkey % 10 = 0),
+lines AS (SELECT p_brand AS item_key, 'P' || p_partkey AS part_number, p_size % 4 + 1.0::DOUBLE AS qty, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 1.5 END::DOUBLE AS waste FROM part),
 parts AS (SELECT 'P' || p_partkey AS part_number, CASE WHEN p_size % 11 <> 0 THEN p_retailprice END AS unit_cost, CASE WHEN p_size % 13 <> 0 THEN p_size::DOUBLE END AS labor_min FROM part WHERE p_partkey % 70 <> 0)"""
 
 

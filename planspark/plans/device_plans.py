@@ -82,18 +82,18 @@ WIDTHS = "WITH s AS (SELECT l_returnflag, l_suppkey, (trunc(l_discount * 100))::
 def segments(spark, sf):
     o = t(spark, sf, "orders")
     k = F.col("o_orderkey")
-    return o.select(k.alias("segment"), (k % 900).alias("from_node"), ((k * 7 + 3) % 900).alias("to_node"), F.when(k % 10 != 0, F.when(k % 2 == 0, "A").otherwise("B")).alias("core"), (F.col("o_custkey") % 5 + 1).alias("cables"), (k % 9 == 0).alias("is_new"), F.floor(F.col("o_totalprice") / 500).cast("double").alias("total_ft"), (F.col("o_custkey") % 400).alias("bends_deg"), (k % 4 + 1).alias("callouts"), F.col("o_orderpriority").alias("sheet"))
+    return o.select(k.alias("segment"), F.col("o_custkey").alias("from_node"), (F.col("o_custkey") + k % 7 - 3).alias("to_node"), F.when(k % 10 != 0, F.when(k % 2 == 0, "A").otherwise("B")).alias("core"), (F.col("o_custkey") % 5 + 1).alias("cables"), (k % 9 == 0).alias("is_new"), F.floor(F.col("o_totalprice") / 500).cast("double").alias("total_ft"), (F.col("o_custkey") % 400).alias("bends_deg"), (k % 4 + 1).alias("callouts"), F.col("o_orderpriority").alias("sheet"))
 
 
-SEGMENTS = "s AS (SELECT o_orderkey AS segment, o_orderkey % 900 AS f, (o_orderkey * 7 + 3) % 900 AS g, CASE WHEN o_orderkey % 10 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'B' END END AS core, o_custkey % 5 + 1 AS cables, o_orderkey % 9 = 0 AS is_new, floor(o_totalprice / 500)::DOUBLE AS ft, o_custkey % 400 AS deg, o_orderkey % 4 + 1 AS callouts, o_orderpriority AS sheet FROM orders)"
+SEGMENTS = "s AS (SELECT o_orderkey AS segment, o_custkey AS f, o_custkey + o_orderkey % 7 - 3 AS g, CASE WHEN o_orderkey % 10 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'B' END END AS core, o_custkey % 5 + 1 AS cables, o_orderkey % 9 = 0 AS is_new, floor(o_totalprice / 500)::DOUBLE AS ft, o_custkey % 400 AS deg, o_orderkey % 4 + 1 AS callouts, o_orderpriority AS sheet FROM orders)"
 
 
 def vaults(spark, sf):
-    nodes = t(spark, sf, "customer").where("c_custkey < 900").select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") % 3 == 0, "JUNCTION").when(F.col("c_custkey") % 3 == 1, "MH").otherwise("END").alias("type"))
+    nodes = t(spark, sf, "customer").select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") % 3 == 0, "JUNCTION").when(F.col("c_custkey") % 3 == 1, "MH").otherwise("END").alias("type"))
     return osp.vault_balance(segments(spark, sf), nodes)
 
 
-VAULTS = f"""WITH {SEGMENTS}, e AS (SELECT f AS node, core, cables FROM s UNION ALL SELECT g, core, cables FROM s WHERE f <> g), n AS (SELECT e.*, CASE c_custkey % 3 WHEN 0 THEN 'JUNCTION' ELSE 'MH' END AS type FROM e JOIN customer ON c_custkey = node WHERE c_custkey < 900 AND c_custkey % 3 < 2),
+VAULTS = f"""WITH {SEGMENTS}, e AS (SELECT f AS node, core, cables FROM s UNION ALL SELECT g, core, cables FROM s WHERE f <> g), n AS (SELECT e.*, CASE c_custkey % 3 WHEN 0 THEN 'JUNCTION' ELSE 'MH' END AS type FROM e JOIN customer ON c_custkey = node WHERE c_custkey % 3 < 2),
 m AS (SELECT node, count(*) FILTER (core IS NULL) AS missing FROM n GROUP BY node), a AS (SELECT node, type, core, max(cables) AS trunk, (sum(cables) - max(cables))::BIGINT AS others, count(*) AS legs FROM n WHERE core IS NOT NULL GROUP BY ALL)
 SELECT node, core, trunk, others, legs, CASE WHEN legs = 1 THEN 'NO CONTINUATION' WHEN type = 'JUNCTION' THEN 'COUNT CHANGE, NO VAULT' ELSE 'COUNT IMBALANCE' END AS category FROM a JOIN m USING (node) WHERE (legs = 1 AND missing = 0) OR (legs > 1 AND trunk <> others)"""
 
@@ -106,7 +106,7 @@ SEGMENT_FLAGS = f"""WITH {SEGMENTS} SELECT segment, unnest(CASE WHEN f = g THEN
 
 
 def q9(spark, sf):
-    rows = osp.takeoff(segments(spark, sf), ["sheet"])
+    rows = osp.quantities(segments(spark, sf), ["sheet"])
     return rows.unionByName(osp.combine(rows).withColumn("sheet", F.lit("all")))
 
 
@@ -121,5 +121,5 @@ def simplified(spark, sf):
 
 PLANS = {
     "q1_count_devices": (q1, None), "label_placement": (label_placement, LABEL_PLACEMENT), "polygon_areas": (areas, AREAS), "circle_test": (circle_test, CIRCLES), "gap_percentile": (gap_percentile, GAP_PERCENTILE), "dominant_width": (width_classes, WIDTHS),
-    "vault_balance": (vaults, VAULTS), "segment_checks": (segment_flags, SEGMENT_FLAGS), "q9_osp_takeoff": (q9, Q9), "simplified_polylines": (simplified, None),
+    "vault_balance": (vaults, VAULTS), "segment_checks": (segment_flags, SEGMENT_FLAGS), "q9_plant_quantities": (q9, Q9), "simplified_polylines": (simplified, None),
 }

@@ -175,17 +175,17 @@ def names(spark, sf):
     return p.select("p_partkey", S.norm(raw).alias("norm"), S.ascii_core(raw).alias("ascii"), S.label_family(F.concat("p_type", F.col("p_size").cast("string"))).alias("family"), S.natural_key("p_brand").alias("natural"), S.to_int(F.format_string("%,d", F.col("p_partkey") * 1000)).alias("number"), S.slug("p_name").alias("slug"), S.revision_of(F.concat(F.lit("A-1 rev_"), F.col("p_size").cast("string"), F.lit(".pdf"))).alias("rev"))
 
 
-NAMES = """SELECT p_partkey, upper(p_brand) || ' É ' || p_size AS norm, p_brand || '  ' || p_size AS ascii, p_type AS family, 'brand#' || lpad(regexp_extract(p_brand, '[0-9]+'), 12, '0') AS natural, p_partkey * 1000 AS number, replace(p_name, ' ', '-') AS slug, 'Rev.' || p_size AS rev FROM part"""
+NAMES = """SELECT p_partkey, upper(p_brand) || ' É ' || p_size AS norm, p_brand || '  ' || p_size AS ascii, p_type AS family, 'brand#' || lpad(length(ltrim(regexp_extract(p_brand, '[0-9]+'), '0'))::VARCHAR, 4, '0') || ltrim(regexp_extract(p_brand, '[0-9]+'), '0') AS natural, p_partkey * 1000 AS number, left(upper(replace(p_name, ' ', '-')), 30) AS slug, 'Rev.' || p_size AS rev FROM part"""
 
 
 def callouts(spark, sf):
     p = t(spark, sf, "part")
     text = F.format_string('( %d ) core-%s cables  (%d) 4" conduits (1) 1" conduit for fire, (%d) conduits with cables and (2) spare, pipe basement', "p_size", F.when(F.col("p_partkey") % 2 == 0, "a").otherwise("b"), F.col("p_size") % 5, F.col("p_size") % 4 + 1)
     c = S.callout(text)
-    return p.select("p_partkey", c.alias("c")).select("p_partkey", *[F.col(f"c.{k}").alias(k) for k in ("cables", "core", "n4", "n1_fa", "with_cables", "spare", "elec", "pathway", "cables_per_conduit")])
+    return p.select("p_partkey", c.alias("c")).select("p_partkey", *[F.col(f"c.{k}").alias(k) for k in ("cables", "core", "n4", "n1_fa", "with_cables", "spare", "elec", "pathway", "cables_per_conduit", "fill_flag")])
 
 
-CALLOUTS = """SELECT p_partkey, p_size AS cables, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS core, p_size % 5 AS n4, 1 AS n1_fa, p_size % 4 + 1 AS with_cables, 2 AS spare, 0 AS elec, 'pipe basement' AS pathway, round_even(p_size / (p_size % 4 + 1), 1) AS cables_per_conduit FROM part"""
+CALLOUTS = """SELECT p_partkey, p_size AS cables, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS core, p_size % 5 AS n4, 1 AS n1_fa, p_size % 4 + 1 AS with_cables, 2 AS spare, 0 AS elec, 'pipe basement' AS pathway, round_even(p_size / (p_size % 4 + 1), 1) AS cables_per_conduit, CASE WHEN p_size / (p_size % 4 + 1) > 27 THEN '>27/conduit exceeds 24-str OS2 fill' WHEN p_size / (p_size % 4 + 1) > 24 THEN '>24/conduit exceeds 12-str OS2 fill' ELSE '' END AS fill_flag FROM part"""
 
 
 def scale_labels(spark, sf):
@@ -199,12 +199,12 @@ SCALE_LABELS = """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 2::DOUBLE WHEN 1
 
 
 def numbered_notes(spark, sf):
-    p = t(spark, sf, "part").where("p_partkey % 4 = 0")
+    p = t(spark, sf, "part")
     text = F.concat(F.lit("1. FIRST  note "), "p_name", F.lit(". 2. SECOND PER ANSI 569. MAXIMUM of "), F.col("p_size").cast("string"), F.lit(" 3. THIRD"))
     return islands.split_notes(p.select("p_partkey", text.alias("text"))).select("p_partkey", "ref", "note")
 
 
-NUMBERED = """SELECT p_partkey, 1 AS ref, 'FIRST note ' || p_name || '.' AS note FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT p_partkey, 2, 'SECOND PER ANSI 569. MAXIMUM of ' || p_size FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT p_partkey, 3, 'THIRD' FROM part WHERE p_partkey % 4 = 0"""
+NUMBERED = """SELECT p_partkey, 1 AS ref, 'FIRST note ' || p_name || '.' AS note FROM part UNION ALL SELECT p_partkey, 2, 'SECOND PER ANSI 569. MAXIMUM of ' || p_size FROM part UNION ALL SELECT p_partkey, 3, 'THIRD' FROM part"""
 
 
 def page_roles(spark, sf):

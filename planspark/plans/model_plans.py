@@ -42,13 +42,13 @@ SELECT project, coalesce(arg_min(v, k) FILTER (k % 5 <> 0 AND k % 3 <> 0 AND k %
 def identity(spark, sf):
     e = t(spark, sf, "events")
     k = F.col("event_id")
-    devices = e.select(k.alias("device"), (F.col("user_id") % 40).alias("page_id"), (k % 16 / 16.0).alias("x"), (k % 8 / 8.0).alias("y"), F.when(k % 3 == 0, "manual").when(k % 3 == 1, "symbol").otherwise("label").alias("xy_source"), F.when(k % 2 == 0, "vector").alias("symbol_via"))
-    boxes = t(spark, sf, "supplier").where("s_suppkey < 30").select(F.col("s_suppkey").alias("page_id"), F.lit(0.125).alias("bx"), F.lit(0.25).alias("by"), F.lit(0.5).alias("bw"), F.lit(0.5).alias("bh"))
+    devices = e.select(k.alias("device"), F.col("user_id").alias("page_id"), (k % 16 / 16.0).alias("x"), (k % 8 / 8.0).alias("y"), F.when(k % 3 == 0, "manual").when(k % 3 == 1, "symbol").otherwise("label").alias("xy_source"), F.when(k % 2 == 0, "vector").alias("symbol_via"))
+    boxes = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id"), F.lit(0.125).alias("bx"), F.lit(0.25).alias("by"), F.lit(0.5).alias("bw"), F.lit(0.5).alias("bh"))
     return frames.identity_frame(devices, boxes).select("device", "x", "y")
 
 
-IDENTITY = """WITH d AS (SELECT event_id AS k, user_id % 40 AS page, event_id % 16 / 16.0::DOUBLE AS x, event_id % 8 / 8.0::DOUBLE AS y, event_id % 3 = 0 OR (event_id % 3 = 1 AND event_id % 2 = 1) AS own FROM events),
-b AS (SELECT s_suppkey AS page FROM supplier WHERE s_suppkey < 30)
+IDENTITY = """WITH d AS (SELECT event_id AS k, user_id AS page, event_id % 16 / 16.0::DOUBLE AS x, event_id % 8 / 8.0::DOUBLE AS y, event_id % 3 = 0 OR (event_id % 3 = 1 AND event_id % 2 = 1) AS own FROM events),
+b AS (SELECT s_suppkey AS page FROM supplier)
 SELECT k AS device, CASE WHEN own OR b.page IS NULL THEN x ELSE 0.125 + x * 0.5 END AS x, CASE WHEN own OR b.page IS NULL THEN y ELSE 1 - 0.25 - (1 - y) * 0.5 END AS y FROM d LEFT JOIN b USING (page)"""
 
 

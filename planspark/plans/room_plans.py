@@ -15,17 +15,17 @@ def cells(spark, sf):
     k = F.col("c_custkey")
     category = F.element_at(F.array(*[F.lit(x) for x in [*CATEGORIES, "other"]]), (k % 4 + 1).cast("int"))
     raw = F.when(k % 9 == 0, "").when(k % 9 == 1, "abc").when(k % 9 == 2, "1").when(k % 9 == 3, "-2").otherwise(F.concat((k % 50).cast("string"), F.lit(".25")))
-    return c.select(k.alias("seq"), F.concat(F.lit("R"), (k % 130).cast("string")).alias("tr_name"), category.alias("category"), raw.alias("raw"))
+    return c.select(k.alias("seq"), F.when(k % 13 == 0, F.concat(F.lit("X"), k.cast("string"))).otherwise(F.concat(F.lit("R"), F.floor(k / 5).cast("string"))).alias("tr_name"), category.alias("category"), raw.alias("raw"))
 
 
 def the_rooms(spark, sf):
-    return t(spark, sf, "customer").where("c_custkey < 120").select(F.concat(F.lit("R"), F.col("c_custkey").cast("string")).alias("tr_name"), (F.col("c_custkey") % 3 == 0).alias("done"))
+    return t(spark, sf, "customer").select(F.concat(F.lit("R"), F.col("c_custkey").cast("string")).alias("tr_name"), (F.col("c_custkey") % 3 == 0).alias("done"))
 
 
-CELLS = """c AS (SELECT c_custkey AS seq, 'R' || c_custkey % 130 AS tr_name, ['sleeves', 'cable_tray', 'wall_mount', 'other'][c_custkey % 4 + 1] AS category, CASE c_custkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN '1' WHEN 3 THEN '-2' ELSE (c_custkey % 50) || '.25' END AS raw FROM customer),
+CELLS = """c AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 13 = 0 THEN 'X' || c_custkey ELSE 'R' || c_custkey // 5 END AS tr_name, ['sleeves', 'cable_tray', 'wall_mount', 'other'][c_custkey % 4 + 1] AS category, CASE c_custkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN '1' WHEN 3 THEN '-2' ELSE (c_custkey % 50) || '.25' END AS raw FROM customer),
 p AS (SELECT *, TRY_CAST(nullif(raw, '') AS DOUBLE) AS n, row_number() OVER (PARTITION BY tr_name, category ORDER BY seq) AS nth FROM c),
 q AS (SELECT *, coalesce(n >= 0 AND (category = 'cable_tray' OR n = floor(n)) AND (category <> 'wall_mount' OR n IN (0, 1)), FALSE) AS ok FROM p),
-v AS (SELECT *, CASE WHEN substr(tr_name, 2)::INT >= 120 OR substr(tr_name, 2)::INT >= (SELECT count(*) FROM customer) THEN 'unknown room' WHEN category = 'other' THEN 'unknown column' WHEN NOT ok AND raw <> '' THEN 'bad value' WHEN nth > 1 THEN 'repeated' END AS error FROM q),
+v AS (SELECT *, CASE WHEN tr_name NOT IN (SELECT 'R' || c_custkey FROM customer) THEN 'unknown room' WHEN category = 'other' THEN 'unknown column' WHEN NOT ok AND raw <> '' THEN 'bad value' WHEN nth > 1 THEN 'repeated' END AS error FROM q),
 w AS (SELECT seq, tr_name, category, CASE WHEN error IS NULL AND ok AND NOT (category = 'wall_mount' AND n = 0) THEN CASE WHEN category = 'cable_tray' THEN floor(n * 10 + 0.5) / 10 ELSE n END END AS value, error FROM v)"""
 
 
@@ -41,21 +41,21 @@ def room_summary(spark, sf):
     return rooms.grid_summary(room_grid(spark, sf).join(the_rooms(spark, sf), "tr_name"), CATEGORIES)
 
 
-GRID = f"""WITH {CELLS}, r AS (SELECT 'R' || c_custkey AS tr_name, c_custkey % 3 = 0 AS done FROM customer WHERE c_custkey < 120),
+GRID = f"""WITH {CELLS}, r AS (SELECT 'R' || c_custkey AS tr_name, c_custkey % 3 = 0 AS done FROM customer),
 g AS (SELECT r.tr_name, any_value(done) AS done, max(value) FILTER (category = 'sleeves') AS sleeves, max(value) FILTER (category = 'cable_tray') AS cable_tray, max(value) FILTER (category = 'wall_mount') AS wall_mount FROM r LEFT JOIN w ON w.tr_name = r.tr_name AND error IS NULL GROUP BY r.tr_name)"""
 
 
 def riser(spark, sf):
     o = t(spark, sf, "orders")
     k = F.col("o_orderkey")
-    feeds = o.select(k.alias("feed"), F.when(k % 6 != 0, F.col("o_custkey") % 12).alias("core_a_note"), F.when(k % 4 != 0, k % 12).alias("core_b_note"), F.when(k % 5 != 0, F.concat(F.lit("R"), (k % 4000).cast("string"))).alias("tr_name"), F.when(k % 7 == 0, "added").otherwise("exact").alias("match_kind"))
-    cables = t(spark, sf, "nation").where("n_nationkey < 12").select(F.col("n_nationkey").cast("long").alias("note_number"), F.when(F.col("n_nationkey") % 4 == 0, "osp").when(F.col("n_nationkey") % 4 < 3, "isp").alias("isp_osp"), F.when(F.col("n_nationkey") != 5, F.concat((F.col("n_nationkey") % 3 * 12).cast("string"), F.lit(" OS2"))).alias("strands_text"))
+    feeds = o.select(k.alias("feed"), F.when(k % 6 != 0, F.col("o_custkey") % 25).alias("core_a_note"), F.when(k % 4 != 0, k % 25).alias("core_b_note"), F.when(k % 5 != 0, F.concat(F.lit("R"), F.floor(k / 3).cast("string"))).alias("tr_name"), F.when(k % 7 == 0, "added").otherwise("exact").alias("match_kind"))
+    cables = t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("note_number"), F.when(F.col("n_nationkey") % 4 == 0, "osp").when(F.col("n_nationkey") % 4 < 3, "isp").alias("isp_osp"), F.when(F.col("n_nationkey") != 5, F.concat((F.col("n_nationkey") % 3 * 12).cast("string"), F.lit(" OS2"))).alias("strands_text"))
     return feeds, cables
 
 
-FEEDS = """f AS (SELECT o_orderkey AS feed, CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey % 12 END AS a, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 12 END AS b, CASE WHEN o_orderkey % 5 <> 0 THEN 'R' || o_orderkey % 4000 END AS tr, o_orderkey % 7 = 0 AS added FROM orders)"""
+FEEDS = """f AS (SELECT o_orderkey AS feed, CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey % 25 END AS a, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 25 END AS b, CASE WHEN o_orderkey % 5 <> 0 THEN 'R' || o_orderkey // 3 END AS tr, o_orderkey % 7 = 0 AS added FROM orders)"""
 RISER = FEEDS + """,
-c AS (SELECT n_nationkey AS n, CASE WHEN n_nationkey % 4 = 0 THEN 'osp' WHEN n_nationkey % 4 < 3 THEN 'isp' END AS p, CASE WHEN n_nationkey <> 5 THEN n_nationkey % 3 * 12 || ' OS2' END AS s FROM nation WHERE n_nationkey < 12)"""
+c AS (SELECT n_nationkey AS n, CASE WHEN n_nationkey % 4 = 0 THEN 'osp' WHEN n_nationkey % 4 < 3 THEN 'isp' END AS p, CASE WHEN n_nationkey <> 5 THEN n_nationkey % 3 * 12 || ' OS2' END AS s FROM nation)"""
 
 
 def feed_types(spark, sf):
@@ -68,11 +68,11 @@ SELECT feed, CASE WHEN NOT none AND len(ks) = 1 THEN ks[1] END AS isp_osp, CASE
 
 def head_end(spark, sf):
     feeds, cables = riser(spark, sf)
-    calls = t(spark, sf, "nation").where("n_nationkey < 12").select(F.when(F.col("n_nationkey") % 2 == 0, "A").otherwise("B").alias("core"), F.col("n_nationkey").cast("long").alias("note_number"), (F.col("n_nationkey") * 100).cast("long").alias("qty"))
+    calls = t(spark, sf, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, "A").otherwise("B").alias("core"), F.col("n_nationkey").cast("long").alias("note_number"), (F.col("n_nationkey") * 100).cast("long").alias("qty"))
     return rooms.head_end(calls, feeds, cables)
 
 
-HEAD_END = f"""WITH {RISER}, h AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'A' ELSE 'B' END AS core, n_nationkey AS note_number, n_nationkey * 100 AS qty FROM nation WHERE n_nationkey < 12), r AS (SELECT 'A' AS core, a AS n FROM f UNION ALL SELECT 'B', b FROM f),
+HEAD_END = f"""WITH {RISER}, h AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'A' ELSE 'B' END AS core, n_nationkey AS note_number, n_nationkey * 100 AS qty FROM nation), r AS (SELECT 'A' AS core, a AS n FROM f UNION ALL SELECT 'B', b FROM f),
 m AS (SELECT h.core, note_number, qty, count(r.n) AS riser_cores FROM h LEFT JOIN c hc ON hc.n = note_number LEFT JOIN (SELECT r.core, r.n, s, p FROM r JOIN c USING (n)) r ON r.core = h.core AND r.s = hc.s AND r.p IS NOT DISTINCT FROM hc.p AND r.n <> note_number GROUP BY ALL)
 SELECT core, note_number, qty, riser_cores, riser_cores = qty AS ok FROM m"""
 
@@ -81,7 +81,7 @@ def feed_counters(spark, sf):
     return rooms.feed_counters(riser(spark, sf)[0], the_rooms(spark, sf))
 
 
-FEED_COUNTERS = f"""WITH {RISER}, r AS (SELECT 'R' || c_custkey AS tr FROM customer WHERE c_custkey < 120)
+FEED_COUNTERS = f"""WITH {RISER}, r AS (SELECT 'R' || c_custkey AS tr FROM customer)
 SELECT count(*) AS riser, count(tr) AS fed, count(*) - count(tr) AS out, count(*) FILTER (added) AS added, (SELECT count(*) FROM r WHERE tr NOT IN (SELECT tr FROM f WHERE tr IS NOT NULL)) AS schedule_without_feed, (SELECT count(*) FROM (SELECT tr FROM f WHERE tr IS NOT NULL GROUP BY tr HAVING count(*) > 1)) AS duplicates FROM f"""
 
 
@@ -147,7 +147,7 @@ def noise(spark, sf):
     return p.select("p_partkey", discover.noise_reason(desc, F.size(texts), F.col("p_size") * 2).alias("reason"), F.array_join(a["primary"], " ").alias("primary_anchors"), F.size(a["associated"]).cast("long").alias("n_associated"))
 
 
-NOISE = """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'routing line' WHEN p_partkey % 4 = 1 THEN 'callout bubble' WHEN p_partkey % 4 = 2 AND p_size % 3 = 0 THEN 'arrow' WHEN p_size * 2 > 60 AND p_size % 3 = 0 THEN 'background element' END AS reason,
+NOISE = """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'Conduit or routing line' WHEN p_partkey % 4 = 1 THEN 'Keynote callout or detail reference bubble' WHEN p_partkey % 4 = 2 AND p_size % 3 = 0 THEN 'Directional arrow or flow indicator' WHEN p_size * 2 > 60 AND p_size % 3 = 0 THEN 'High frequency with no text anchors — likely background element' END AS reason,
   CASE WHEN p_size % 3 <> 0 THEN 'DD1 DD2 DD3 WAP N1 N2 N3' ELSE '' END AS primary_anchors, CASE WHEN p_size % 3 <> 0 THEN 6 ELSE 0 END AS n_associated FROM part"""
 
 PLANS = {

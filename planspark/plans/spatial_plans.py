@@ -62,12 +62,12 @@ def pin_assign(spark, sf):
     k = F.col("s_suppkey")
     pins = s.select((k % 40).alias("page_id"), k.alias("near_pin"), ((k * 389) % 1000).cast("double").alias("rx"), ((k * 577) % 1000).cast("double").alias("ry"))
     boxes = pins.where("near_pin % 3 = 0").select("page_id", F.col("near_pin").alias("pin_id"), F.col("near_pin").alias("pin_order"), (F.col("rx") - 100.5).alias("x0"), (F.col("ry") - 100.5).alias("y0"), (F.col("rx") + 100.5).alias("x1"), (F.col("ry") + 100.5).alias("y1"))
-    got = spatial.assign_pins(points(spark, sf, "event_id % 3 = 0"), boxes, pins, 100.0, 1500.0, ["page_id"], ["event_id"])
+    got = spatial.assign_pins(points(spark, sf, "true"), boxes, pins, 100.0, 1500.0, ["page_id"], ["event_id"])
     return got.select("event_id", "pin", "scoped")
 
 
 PIN_ASSIGN = f"""WITH {POINTS}, pin AS (SELECT s_suppkey % 40 AS page_id, s_suppkey AS pin, (s_suppkey * 389) % 1000 AS px, (s_suppkey * 577) % 1000 AS py FROM supplier),
-j AS (SELECT event_id, pin, (xi - px) ** 2 + (yi - py) ** 2 AS d2, pin % 3 = 0 AND abs(xi - px) <= 100 AND abs(yi - py) <= 100 AS boxed FROM pt LEFT JOIN pin USING (page_id) WHERE event_id % 3 = 0),
+j AS (SELECT event_id, pin, (xi - px) ** 2 + (yi - py) ** 2 AS d2, pin % 3 = 0 AND abs(xi - px) <= 100 AND abs(yi - py) <= 100 AS boxed FROM pt LEFT JOIN pin USING (page_id)),
 g AS (SELECT event_id, min(pin) FILTER (boxed) AS box_pin, arg_min(pin, d2 * 1000000 + pin) AS near_pin FROM j GROUP BY event_id) SELECT event_id, coalesce(box_pin, near_pin) AS pin, box_pin IS NOT NULL AS scoped FROM g"""
 
 
@@ -84,7 +84,7 @@ SELECT page_id, type, count(*) AS kept FROM pt WHERE NOT EXISTS (SELECT 1 FROM z
 
 
 def greedy_dedup(spark, sf):
-    pts = points(spark, sf, "event_id % 2 = 0").select("page_id", "type", F.col("event_id").alias("id"), "x", "y")
+    pts = points(spark, sf, "true").select("page_id", "type", F.col("event_id").alias("id"), "x", "y")
     return graph.greedy_keep(pts, 50.5, ["page_id", "type"]).groupBy("page_id", "type").agg(F.count("*").alias("kept"), F.sum("id").alias("ids"))
 
 
@@ -95,7 +95,7 @@ def q2(spark, sf):
     pins = s.select((k % 40).alias("page_id"), k.alias("near_pin"), ((k * 389) % 1000).cast("double").alias("rx"), ((k * 577) % 1000).cast("double").alias("ry"))
     manual = points(spark, sf, "event_id % 9 = 0").select("page_id", "type", F.col("x").alias("rx"), F.col("y").alias("ry"))
     found = spatial.suppressed(points(spark, sf, "event_id % 9 <> 0"), manual, 15.5, ["page_id", "type"], ["event_id"])
-    near = spatial.nearest(found, pins, 1500.0, ["page_id"], ["event_id"], F.col("near_pin"))
+    near = spatial.nearest_outward(found, pins, 100.0, 1500.0, ["page_id"], ["event_id"], F.col("near_pin"))
     points_long = spatial.route(F.lit("right_angle"), F.col("x"), F.col("y"), F.col("rx"), F.col("ry"))
     length = S.length_ft(points_long, F.lit(8.0), F.lit(1.5), F.lit(10.0))
     rows = near.select("page_id", "type", "near_pin", length.alias("l")).select("page_id", "type", F.col("near_pin").alias("pin"), "l.total_ft")
@@ -154,14 +154,10 @@ NUMBERING = "SELECT s_name, 'S' || lpad(row_number() OVER (PARTITION BY s_nation
 
 
 def room_components(spark, sf):
-    edges = t(spark, sf, "lineitem").where("l_quantity >= 49 and l_suppkey % 3 = 0").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10_000_000).alias("b"))
+    edges = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + F.lit(1 << 40)).alias("b"))
     return graph.components(edges).groupBy("component").agg(F.count("*").alias("nodes"))
 
 
-COMPONENTS = """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem WHERE l_quantity >= 49 AND l_suppkey % 3 = 0), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node) SELECT component, count(*) AS nodes FROM (SELECT node, min(root) AS component FROM r GROUP BY node) GROUP BY component"""
-
-
 def order_chains(spark, sf):
     o = t(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("b"))
     from pyspark.sql import Window
@@ -174,11 +170,11 @@ CHAINS = "SELECT min(o_orderkey) AS chain, count(*) AS nodes, count(*) - 1 AS la
 
 
 def dash_links(spark, sf):
-    ends = points(spark, sf, "event_id % 4 = 0").select("page_id", F.col("event_id").alias("id"), (F.col("event_id") / 8).cast("long").alias("fragment"), "x", "y")
+    ends = points(spark, sf, "true").select("page_id", F.col("event_id").alias("id"), (F.col("event_id") / 8).cast("long").alias("fragment"), "x", "y")
     return graph.mutual_links(ends, 60.5, ["page_id"]).select("a", "b")
 
 
-DASH_LINKS = f"""WITH {POINTS}, e AS (SELECT page_id, event_id AS id, event_id // 8 AS fragment, xi, yi FROM pt WHERE event_id % 4 = 0),
+DASH_LINKS = f"""WITH {POINTS}, e AS (SELECT page_id, event_id AS id, event_id // 8 AS fragment, xi, yi FROM pt),
 n AS (SELECT a.id, b.id AS peer FROM e a JOIN e b ON a.page_id = b.page_id AND a.fragment <> b.fragment AND (a.xi - b.xi) ** 2 + (a.yi - b.yi) ** 2 <= 3660.25 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY (a.xi - b.xi) ** 2 + (a.yi - b.yi) ** 2, b.id) = 1)
 SELECT x.id AS a, x.peer AS b FROM n x JOIN n y ON x.id = y.peer AND x.peer = y.id WHERE x.id < x.peer"""
 
@@ -205,11 +201,11 @@ UPSERTED = "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN -1 ELSE s
 
 def page_replace(spark, sf):
     rows = points(spark, sf, "true").select("page_id", "event_id", F.when(F.col("event_id") % 6 == 0, "manual").otherwise("extracted").alias("source"))
-    fresh = rows.where("page_id < 10 and source = 'extracted' and event_id % 2 = 1")
+    fresh = rows.where("source = 'extracted' and event_id % 2 = 1")
     return sinks.with_manual(fresh, rows).groupBy("page_id", "source").agg(F.count("*").alias("rows"))
 
 
-PAGE_REPLACE = f"WITH {POINTS} SELECT page_id, CASE WHEN event_id % 6 = 0 THEN 'manual' ELSE 'extracted' END AS source, count(*) AS rows FROM pt WHERE page_id < 10 AND (event_id % 6 = 0 OR event_id % 2 = 1) GROUP BY ALL"
+PAGE_REPLACE = f"WITH {POINTS} SELECT page_id, CASE WHEN event_id % 6 = 0 THEN 'manual' ELSE 'extracted' END AS source, count(*) AS rows FROM pt WHERE event_id % 6 = 0 OR event_id % 2 = 1 GROUP BY ALL"
 
 
 def json_config(spark, sf):
@@ -238,6 +234,6 @@ FIRST_WINS = "SELECT min(doc_id) AS doc_id, source FROM documents GROUP BY sourc
 PLANS = {
     "symbol_snap": (symbol_snap, SYMBOL_SNAP), "family_attach": (family_attach, FAMILY_ATTACH), "manual_suppression": (manual_suppression, MANUAL), "count_tokens": (count_tokens, COUNT_TOKENS), "pin_assign": (pin_assign, PIN_ASSIGN),
     "exclusion_zones": (exclusion_zones, ZONES), "greedy_dedup": (greedy_dedup, None), "q2_locate_measure": (q2_rounded, Q2), "gap_rows": (gap_rows, GAP_ROWS), "stitched_runs": (stitched, None), "polyline_lengths": (polylines, POLYLINES), "header_spans": (header_spans, HEADER_SPANS),
-    "numbering": (numbering, NUMBERING), "room_components": (room_components, COMPONENTS), "order_chains": (order_chains, CHAINS), "dash_links": (dash_links, DASH_LINKS), "prototype_match": (prototype_match, PROTOTYPES),
+    "numbering": (numbering, NUMBERING), "room_components": (room_components, None), "order_chains": (order_chains, CHAINS), "dash_links": (dash_links, DASH_LINKS), "prototype_match": (prototype_match, PROTOTYPES),
     "upsert_rows": (upserted, UPSERTED), "page_replace": (page_replace, PAGE_REPLACE), "json_config": (json_config, JSON_CONFIG), "merge_types": (merge_types, MERGE_TYPES), "first_wins": (first_wins, FIRST_WINS),
 }

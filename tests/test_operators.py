@@ -27,7 +27,7 @@ def test_text_scalars(spark):
     )
     assert r.asDict() == {
         "fam": "DV", "digits": "180", "blank": None, "key": "B050C1", "inst": "EB51A", "rev": "Rev.B", "none": None, "level": "2", "ground": "G", "room": "H335-1", "located": None, "note": "sleeves", "rack": "rack_existing", "feet": 12.5, "scale": 2.0,
-        "wide": 0.6667, "natural": "tr-000000000010a", "sheets": ["T-002"], "strands": 18, "plant": "osp", "number": 1234, "bad": None,
+        "wide": 0.6667, "natural": "tr-000210a", "sheets": ["T-002"], "strands": 18, "plant": "osp", "number": 1234, "bad": None,
     }
 
 
@@ -87,6 +87,36 @@ def test_name_tiers(spark):
     assert got == {"EB51A-1": ("EB51A", "suffix-dropped", 1), "B050C1": ("B050C-1", "stripped", 1), "EB51A": ("EB51A", "exact", 1), "X1": (None, "none", 2), "Q": (None, "none", 0)}
 
 
+def test_riser_names_with_one_letter_off(spark):
+    rows = spark.createDataFrame([("EB51A",), ("B050C1",), ("C2D",), ("C2E",), ("F7",)], "tr_number string")
+    names = spark.createDataFrame([("EB51B",), ("B050D1",), ("C2X",), ("EB51A",), ("F7-1",), ("Q",)], "name string")
+    got = {r.name: (r.kind, r.tr_name, r.why) for r in merge.match_riser(names, rows).collect()}
+    assert got == {
+        "EB51B": ("close", "EB51A", "one letter differs"), "B050D1": ("close", "B050C1", "one letter differs"), "C2X": ("none", None, None),
+        "EB51A": ("exact", "EB51A", None), "F7-1": ("close", "F7", "instance suffix differs"), "Q": ("none", None, None),
+    }
+
+
+def test_closed_rings_end_and_are_cut_at_their_least_node(spark):
+    links = spark.createDataFrame([(5, 7), (7, 3), (3, 9), (9, 5), (20, 21), (21, 22), (40, 40)], "a long, b long")
+    got = {r.node: (r.chain, r.position) for r in graph.chains(links).collect()}
+    assert got == {3: (3, 0), 9: (3, 1), 5: (3, 2), 7: (3, 3), 20: (20, 0), 21: (20, 1), 22: (20, 2), 40: (40, 0)}
+
+
+def test_numbers_beyond_two_digits_and_sheet_places(spark):
+    rows = spark.range(150).withColumn("k", F.lit(1))
+    labels = [r.label for r in islands.numbered(rows, ["k"], "S", "id").orderBy("id").collect()]
+    assert labels[0] == "S01" and labels[99] == "S100" and len(set(labels)) == 150
+    long = ["n1234567890123456", "n999999999999999", "n7", "n007", "n10"]
+    keys = {r.s: r.k for r in spark.createDataFrame([(x,) for x in long], "s string").select("s", S.natural_key("s").alias("k")).collect()}
+    assert sorted(long[:3] + long[4:], key=keys.get) == ["n7", "n10", "n999999999999999", "n1234567890123456"] and keys["n7"] == keys["n007"]
+    cases = {("BUILDING 7 LEVEL 3 PLAN", None, None): ("BLDG-7", "3", None), ("PLAN - ZONE A, B - NEW WORK", "T1.5.K", "12"): ("BLDG-12", "5", "A,B"), ("PLAN", "T1.B", ""): (None, "B", None), ("KEY PLAN ZONES A", "T2.4K2", None): (None, "4", "K2")}
+    frame = spark.createDataFrame(list(cases), "t string, s string, b string")
+    assert {(r.t, r.s, r.b): tuple(r.x) for r in frame.withColumn("x", S.location("t", "s", "b")).collect()} == cases
+    one = spark.range(1).select(S.slug(F.lit("Site fiber -- riser diagram, north and south wings")).alias("slug"), S.plant_basis(F.lit("loose tube, gel-filled OSP")).alias("p"), S.callout(F.lit('(60) CORE-A (2) 4" CONDUITS (2) CONDUITS WITH CABLES DEMARC')).alias("c")).first()
+    assert one.slug == "SITE-FIBER-RISER-DIAGRAM-NORTH" and tuple(one.p) == ("osp", "loose tube · gel-filled · outside plant") and one.c.fill_flag == ">27/conduit exceeds 24-str OS2 fill; +demarc qty not stated"
+
+
 def test_spatial_joins_equal_all_pairs(spark):
     import random
 
