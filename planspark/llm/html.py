@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, frugal, plain, table
+from .common import checkpointed, frugal, plain, table, written
 
 #: Fixed names. Elements whose content is never text.
 NO_TEXT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "audio", "video", "head", "title", "textarea", "select", "datalist", "map"}
@@ -391,6 +391,7 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def template_lines(pages: DataFrame) -> DataFrame:
     """page_id, h (hash of URL and html), shared: the places of the lines that differencing deletes, of every page. pages: from _keyed()."""
     keyed = pages.select("page_id", "h", "host", "path", "html").mapInPandas(frugal(_line_keys), "page_id long, h long, host string, path string, keys array<long>, sizes array<int>, inside array<boolean>")
+    keyed = written(keyed)  # range partitions read their input twice
     order = ["host", "path", "page_id", "h"]
     keyed = checkpointed(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     parts = keyed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
