@@ -109,13 +109,25 @@ def settings_change(devices: DataFrame) -> DataFrame:
     return out.select("id", "page_id", "action", "route_ft", (F.coalesce(F.col("route_ft") > F.col("limit_ft"), F.lit(False))).alias("tia_flag"))
 
 
+#: Rows of a settings table (rules, prototypes) that are sent to all tasks at most.
+SETTINGS = 10_000
+
+
+def with_settings(rows: DataFrame, settings: DataFrame, name: str) -> DataFrame:
+    """rows with all settings as one array, broadcast; over SETTINGS of them is an error, as such a table is no settings table."""
+    packed = settings.agg(F.collect_list(F.struct(*settings.columns)).alias(name)).withColumn("_one", F.lit(1))
+    packed = packed.where(F.assert_true(F.size(name) <= SETTINGS, f"over {SETTINGS} rows of settings").isNull())
+    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(packed), "_one").drop("_one")
+
+
 def size_racks(rooms: DataFrame, rules: DataFrame) -> DataFrame:
     """Quantity of each counted rule in each room, or a note on what is missing.
 
     rooms: tr_name, racks, panels, terminations, wall_mount, plant. rules: rule_key, qty_rule, each, ports,
-    fibers, cores, strands_isp, strands_osp. rules is a short list, and every room needs every rule.
+    fibers, cores, strands_isp, strands_osp. Every room needs every rule; rules go to the rooms as one array of SETTINGS at most.
     """
-    both = rooms.crossJoin(rules.where(~F.col("qty_rule").isin("layout", "none")))
+    both = with_settings(rooms, rules.where(~F.col("qty_rule").isin("layout", "none")), "_rule")
+    both = both.select(*rooms.columns, F.explode("_rule").alias("_r")).select(*rooms.columns, "_r.*")
     r, kind = F.col("racks"), F.col("qty_rule")
     each = F.coalesce("each", F.lit(1.0))
     strands = F.when(F.col("plant") == "osp", F.col("strands_osp")).when(F.col("plant") == "isp", F.col("strands_isp"))
@@ -150,10 +162,10 @@ def prototypes(signatures: DataFrame, label: str, features: list[str]) -> DataFr
 def nearest_prototype(items: DataFrame, protos: DataFrame, features: list[str], key: str, label: str, tolerance: float) -> DataFrame:
     """The label of the nearest prototype by summed absolute differences, or no_match beyond the tolerance.
 
-    protos is a short list, a row a label, sent to all tasks as one array.
+    protos is a settings table, a row a label (SETTINGS at most), sent to all tasks as one array.
     """
-    packed = protos.agg(F.collect_list(F.struct(F.col(label).alias("label"), F.array(*[F.col(f).cast("double") for f in features]).alias("v"))).alias("protos"))
-    rows = items.select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("v")).crossJoin(F.broadcast(packed))
+    packed = protos.select(F.col(label).alias("label"), F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
+    rows = with_settings(items.select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("v")), packed, "protos")
     scored = F.transform("protos", lambda p: F.struct(F.aggregate(F.zip_with("v", p["v"], lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, d: s + d).alias("distance"), p["label"].alias("label")))
     rows = rows.withColumn("best", F.array_min(scored))
     return rows.select(key, F.when(F.col("best.distance") <= tolerance, F.col("best.label").cast("string")).otherwise("no_match").alias("match"), F.col("best.distance").alias("distance"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,14 +23,18 @@ def upsert(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return stored.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
+def replace_graph(tables: list[tuple[DataFrame, str]], page: str = "page_id") -> None:
+    """replace_pages() of tables that refer to one another, children (what refers) first: no row is left that points to one that is gone for good."""
+    for df, path in tables:
+        replace_pages(df, path, page)
+
+
 def append_snapshot(df: DataFrame, path: str, snapshot_id: str) -> None:
-    """Append a snapshot under its id; one that exists is never changed."""
-    spark: SparkSession = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    if there and spark.read.parquet(path).where(F.col("snapshot_id") == snapshot_id).limit(1).count():
-        raise ValueError(f"snapshot {snapshot_id} exists")
-    df.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("append").partitionBy("snapshot_id").parquet(path)
+    """Write a snapshot under its id, in a folder of its own that must not be there: one that exists is never changed."""
+    try:
+        df.write.mode("errorifexists").parquet(f"{path}/snapshot_id={snapshot_id}")
+    except AnalysisException as e:
+        raise ValueError(f"snapshot {snapshot_id} exists") from e
 
 
 def import_template(items: DataFrame, lines: DataFrame) -> DataFrame:
