@@ -121,3 +121,31 @@ def bom_sections(sized: DataFrame, counts: DataFrame, cells: DataFrame, feeds: D
     out = out.unionByName(line(cores, F.concat(F.lit("wf7:cable:"), F.col("note").cast("string")), F.concat(F.lit("Backbone cable CN "), F.col("note").cast("string")), "runs", F.col("cores"), "WF7"))
     given = allowances.where("confirmed and per_unit_qty is not null and unit_count is not null")
     return out.unionByName(line(given, F.concat(F.lit("wf7:allow:"), "allowance_key"), F.col("item"), "ea", F.col("per_unit_qty") * F.col("unit_count"), "WF7"))
+
+
+def rack_totals(sized: DataFrame, rooms: DataFrame) -> DataFrame:
+    """rule_key, qty, missing: the sum of a rule over rooms, and how many rooms with a rack count have no quantity for it. sized: rule_key, tr_name, qty; rooms: tr_name, racks."""
+    met = sized.join(rooms.select("tr_name", "racks"), "tr_name", "left")
+    return met.groupBy("rule_key").agg(S.round_up(F.sum(F.coalesce("qty", F.lit(0.0))), 1).alias("qty"), F.count_if(F.col("racks").isNotNull() & F.col("qty").isNull()).alias("missing"))
+
+
+def floor_assemblies(counts: DataFrame, ports: DataFrame) -> DataFrame:
+    """type, faceplates, jacks: a faceplate a device, and its ports in jacks (null where they are not known). counts: type, devices; ports: type, ports."""
+    return counts.join(ports, "type", "left").select("type", F.col("devices").alias("faceplates"), (F.col("devices") * F.col("ports")).alias("jacks"))
+
+
+def room_items(cells: DataFrame) -> DataFrame:
+    """category, qty, rooms: the sum of each category and in how many different rooms it stands. cells: tr_name, category, quantity."""
+    return cells.where("category <> 'wall_mount'").groupBy("category").agg(S.round_up(F.sum(F.coalesce("quantity", F.lit(0.0))), 1).alias("qty"), F.count_distinct("tr_name").alias("rooms"))
+
+
+def unit_colour(rgb: Column | str) -> Column:
+    """Channels of 0 to 255 as shares."""
+    return F.transform(F.col(rgb) if isinstance(rgb, str) else rgb, lambda v: v / 255.0)
+
+
+def in_any_region(devices: DataFrame, regions: DataFrame) -> DataFrame:
+    """devices (page_id, device, x, y) with in_region: some region (page_id, x0, y0, x1, y1) of the page holds it; true on pages without regions, false without a place."""
+    held = regions.groupBy("page_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("_rs"))
+    inside = F.exists("_rs", lambda r: F.col("x").between(r["x0"], r["x1"]) & F.col("y").between(r["y0"], r["y1"]))
+    return devices.join(held, "page_id", "left").withColumn("in_region", F.when(F.col("_rs").isNull(), True).otherwise(F.coalesce(inside, F.lit(False)))).drop("_rs")

@@ -320,3 +320,12 @@ def test_frames_and_guards(spark):
     assert (r.scale, r.bare, r.zero, r.unset) == (True, False, 0.0, 295.0) and r.raster.raster_only and r.hit and not r.miss
     rows = frames.expand_counts(spark.createDataFrame([(1, "A", 2), (1, "B", 0)], "page_id long, type string, quantity int"), spark.createDataFrame([("A", "Alpha")], "type string, alias string"))
     assert [(x.type, x.matrix_type, x.nth) for x in rows.orderBy("nth").collect()] == [("Alpha", "A", 1), ("Alpha", "A", 2)]
+
+
+def test_first_ever_pages_by_batch(spark, tmp_path):
+    path = str(tmp_path / "seen")
+    rows = lambda *x: spark.createDataFrame(list(x), "sheet_number string, content_hash string, page int")
+    assert usage_stream.first_ever(rows(("A", "1", 1), ("A", "1", 2), ("B", "1", 3)), 0, path).count() == 2
+    for _ in range(2):  # a batch that is run again
+        assert {r.sheet_number for r in usage_stream.first_ever(rows(("A", "1", 4), ("C", "1", 5)), 1, path).collect()} == {"C"}
+    assert usage_stream.first_ever(rows(("C", "1", 6)), 2, path).count() == 0
