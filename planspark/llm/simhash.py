@@ -26,6 +26,8 @@ SHINGLE = 4
 BUDGET = 4
 #: Fingerprints a walk starts from at most, before its start is cut in chunks.
 CROWD = 1500
+#: Bits that all fingerprints of a start share at least.
+SHARED = 12
 _LOW = {c: c + 32 for c in range(65, 91)}
 
 
@@ -118,7 +120,8 @@ def links(fps: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> DataFrame
     """(u, v) links that connect all fingerprints within budget of each other. fps: fp, distinct."""
     count = fps.count()
     m = budget + 1
-    while m < 2 * budget and count >> (64 * (m - budget) // m) > crowd // 8:
+    # starts share SHARED bits at least, whatever the count, and then as many as leave few fingerprints in each
+    while m < 2 * budget and (64 * (m - budget) // m < SHARED or count >> (64 * (m - budget) // m) > crowd // 8):
         m += 1
     edges = [64 * i // m for i in range(m + 1)]
     masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen) for chosen in combinations(range(m), m - budget)]
