@@ -75,22 +75,18 @@ def _chains(links: DataFrame, nodes: DataFrame) -> DataFrame:
 def greedy_keep(points: DataFrame, radius: float, keys: list[str]) -> DataFrame:
     """points (id, x, y, keys) that stay when each is dropped that has a kept one with a smaller id within radius.
 
-    Rounds decide all points at once whose earlier neighbours are decided, which gives the rows of the
-    one-by-one pass: a point stays if all its earlier neighbours went, and goes if one of them stays.
+    A round decides all points at once that have an earlier neighbour that stays, or none that is open, which gives
+    the rows of the one-by-one pass: a point stays if all its earlier neighbours went, and goes if one of them stays.
     """
     other = points.select(*keys, F.col("id").alias("by"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     before = checkpointed(within(points.select(*keys, "id", "x", "y"), other, radius, keys).where("by < id").select("id", "by"))
-    open_ = checkpointed(points.select("id"))
-    kept, gone = None, None
+    state = points.select("id", F.lit(None).cast("boolean").alias("stays"))
     while True:
-        waiting = before.join(open_, "id").join(open_.select(F.col("id").alias("by")), "by").select("id").distinct()
-        keep = checkpointed(open_.join(waiting, "id", "left_anti"))
-        if keep.limit(1).count() == 0:
-            break
-        kept = keep if kept is None else checkpointed(kept.unionByName(keep))
-        gone = before.join(keep.select(F.col("id").alias("by")), "by").select("id").distinct()
-        open_ = checkpointed(open_.join(keep, "id", "left_anti").join(gone, "id", "left_anti"))
-    return points.limit(0) if kept is None else points.join(kept, "id", "left_semi")
+        met = before.join(state.withColumnRenamed("id", "by"), "by").groupBy("id").agg(F.bool_or("stays").alias("hit"), F.bool_or(F.col("stays").isNull()).alias("wait"))
+        decided = F.when(F.col("hit"), False).when(~F.coalesce("wait", F.lit(False)), True)
+        state = checkpointed(state.join(met, "id", "left").select("id", F.coalesce("stays", decided).alias("stays")))
+        if state.where("stays is null").isEmpty():
+            return points.join(state.where("stays"), "id", "left_semi")
 
 
 def mutual_links(ends: DataFrame, tolerance: float, keys: list[str]) -> DataFrame:

@@ -129,6 +129,12 @@ def stitched(spark, sf):
     return islands.stitch(runs, ["page_id"], 0.5, 0.15, 1.0).select("page_id", F.col("line").cast("long").alias("line"), "s", "n")
 
 
+STITCHED = """WITH r AS (SELECT o_orderkey % 300 AS page_id, substr(o_orderpriority, 3, 3) AS s, o_orderkey // 3000 AS cy, o_orderkey // 300 % 10 * 8.0 + CASE WHEN o_orderkey % 7 = 0 THEN 5 ELSE 0 END AS x0, o_orderkey // 300 % 10 * 8.0 + 7.5 AS x1 FROM orders),
+g AS (SELECT *, x0 - max(x1) OVER (PARTITION BY page_id, cy ORDER BY x0, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap, dense_rank() OVER (PARTITION BY page_id ORDER BY cy) - 1 AS line FROM r),
+b AS (SELECT *, sum(CASE WHEN gap <= 4 THEN 0 ELSE 1 END) OVER (PARTITION BY page_id, cy ORDER BY x0, s ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT page_id, line, string_agg(CASE WHEN gap <= 4 AND gap > 0.6 THEN ' ' ELSE '' END || s, '' ORDER BY x0, s) AS s, count(*) AS n FROM b GROUP BY page_id, line, run"""
+
+
 def polylines(spark, sf):
     e = t(spark, sf, "events").select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") % 8 * 3.0).alias("x"), (F.col("event_id") % 8 * 4.0).alias("y"))
     return islands.polyline(e, ["user_id"]).groupBy("user_id").agg(F.max("run").alias("points"), S.round_up(F.max("run") / 72 * 8, 1).alias("feet"))
@@ -233,7 +239,7 @@ FIRST_WINS = "SELECT min(doc_id) AS doc_id, source FROM documents GROUP BY sourc
 
 PLANS = {
     "symbol_snap": (symbol_snap, SYMBOL_SNAP), "family_attach": (family_attach, FAMILY_ATTACH), "manual_suppression": (manual_suppression, MANUAL), "count_tokens": (count_tokens, COUNT_TOKENS), "pin_assign": (pin_assign, PIN_ASSIGN),
-    "exclusion_zones": (exclusion_zones, ZONES), "greedy_dedup": (greedy_dedup, None), "q2_locate_measure": (q2_rounded, Q2), "gap_rows": (gap_rows, GAP_ROWS), "stitched_runs": (stitched, None), "polyline_lengths": (polylines, POLYLINES), "header_spans": (header_spans, HEADER_SPANS),
+    "exclusion_zones": (exclusion_zones, ZONES), "greedy_dedup": (greedy_dedup, None), "q2_locate_measure": (q2_rounded, Q2), "gap_rows": (gap_rows, GAP_ROWS), "stitched_runs": (stitched, STITCHED), "polyline_lengths": (polylines, POLYLINES), "header_spans": (header_spans, HEADER_SPANS),
     "numbering": (numbering, NUMBERING), "room_components": (room_components, None), "order_chains": (order_chains, CHAINS), "dash_links": (dash_links, DASH_LINKS), "prototype_match": (prototype_match, PROTOTYPES),
     "upsert_rows": (upserted, UPSERTED), "page_replace": (page_replace, PAGE_REPLACE), "json_config": (json_config, JSON_CONFIG), "merge_types": (merge_types, MERGE_TYPES), "first_wins": (first_wins, FIRST_WINS),
 }
