@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .classify import ROOM_KEY, table_archetype
+from .graph import checkpointed
 from .islands import gap_islands
 
 #: Header words of a room schedule's columns, the first that fits each.
@@ -74,7 +75,7 @@ def candidates(items: DataFrame, band: float = 0.010, column: float = 0.012, row
     keys = ["page_id", "title"]
     region = regions(items)
     page = Window.partitionBy(*keys)
-    region = region.withColumn("top", F.min("y").over(page))
+    region = checkpointed(region.withColumn("top", F.min("y").over(page)))
     heads = column_heads(region.where(F.col("y") <= F.col("top") + band), keys, column)
     order = Window.partitionBy(*keys).orderBy("cx")
     heads = heads.withColumn("gap", F.col("cx") - F.lag("cx").over(order))
@@ -125,11 +126,15 @@ def read_rooms(items: DataFrame, config: DataFrame, column_tol: float = 0.012) -
     A header is the first band in which all required labels stand; rows lie below it between its outermost columns, and are those
     with exactly one text for each column found, from the left, whose numbers are whole.
     """
-    region = regions_of(items, config)
+    region = checkpointed(regions_of(items, config))
     tops = region.select("page_id", F.col("y").alias("top")).distinct()
     band = region.join(tops, "page_id").where((F.col("y") >= F.col("top")) & (F.col("y") <= F.col("top") + F.col("band_tol")))
-    heads = column_heads(band.select("page_id", "top", "seq", "str", "x", "y"), ["page_id", "top"], column_tol)
     names = config.select("page_id", *[F.col(f"columns.{c}").alias(c) for c in COLUMNS])
+    # a band can only be the header if a text in it begins each required label
+    begun = [F.bool_or(F.startswith(F.col(c), S.norm("str"))) for c in REQUIRED]
+    likely = band.join(names, "page_id").groupBy("page_id", "top").agg((begun[0] & begun[1] & begun[2]).alias("ok")).where("ok").select("page_id", "top")
+    band = checkpointed(band.join(likely, ["page_id", "top"]))
+    heads = checkpointed(column_heads(band.select("page_id", "top", "seq", "str", "x", "y"), ["page_id", "top"], column_tol))
     named = heads.join(names, "page_id").withColumn("name", F.coalesce(*[F.when(F.col("head") == F.col(c), c) for c in COLUMNS])).where("name is not null")
     firsts = named.groupBy("page_id", "top", "name").agg(F.min("cx").alias("cx"))
     bands = firsts.groupBy("page_id", "top").agg(F.array_sort(F.collect_list(F.struct(F.col("cx").alias("x"), "name"))).alias("cols"), F.count_if(F.col("name").isin(REQUIRED)).alias("required"))
@@ -150,7 +155,7 @@ def read_rooms(items: DataFrame, config: DataFrame, column_tol: float = 0.012) -
 
 def schedule_rows(items: DataFrame) -> DataFrame:
     """Rooms of every page that has one room schedule: found, measured and read in one go."""
-    config = proposals(candidates(items)).where("reason is null").drop("reason")
+    config = checkpointed(proposals(candidates(items)).where("reason is null").drop("reason"))
     return read_rooms(items, config)
 
 
