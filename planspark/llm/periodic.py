@@ -236,9 +236,11 @@ def periodic_runs(docs: DataFrame, words: int = WORDS, times: int = TIMES) -> Da
             size = np.cumsum([len(t or "") // 6 for t in pdf["text"]])
             for _, part in pdf.groupby(size // BATCH, sort=False):
                 found = _found(part["text"].tolist(), words, times)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n_words": [x[0] for x in found], "runs": [x[1] for x in found], "collapsed": [x[2] for x in found]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_words": [x[0] for x in found], "runs": [x[1] for x in found], "collapsed": [x[2] for x in found]})
 
-    return plain(docs, doc_id="long", text="string").mapInPandas(frugal(run), "doc_id long, n_words long, runs array<struct<start: long, length: long, period: long>>, collapsed string")
+    # ids travel as text: numbers beside nulls would become floating
+    found = plain(docs, doc_id="string", text="string").mapInPandas(frugal(run), "doc_id string, n_words long, runs array<struct<start: long, length: long, period: long>>, collapsed string")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def damaged(docs: DataFrame) -> DataFrame:
@@ -250,8 +252,8 @@ def damaged(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for k, doc in enumerate(pdf["doc_id"].astype("Int64")):
-                h = zlib.crc32(b"" if doc is pd.NA else str(doc).encode())
+            for k, doc in enumerate(pdf["doc_id"]):
+                h = zlib.crc32((doc or "").encode())
                 if h % 10 or not texts[k]:
                     continue
                 words = texts[k].encode("utf-8", "surrogatepass").split()
@@ -260,9 +262,10 @@ def damaged(docs: DataFrame) -> DataFrame:
                     a = g % n
                     p = 1 + (n - a) // (3 + g % 8)
                     texts[k] = b" ".join(words[:a] + [words[a + (i - a) % p] for i in range(a, n)]).decode("utf-8", "surrogatepass")
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": pd.Series(texts, dtype=object)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": pd.Series(texts, dtype=object)})
 
-    return plain(docs, doc_id="long", text="string").mapInPandas(run, "doc_id long, text string")
+    found = plain(docs, doc_id="string", text="string").mapInPandas(run, "doc_id string, text string")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def strongest(found: Column) -> Column:
