@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, lengths, linededup, media, packing, periodic, repair, secrets, simhash, substring
+from . import cosine, decontam, html, langid, lengths, linededup, media, packing, periodic, repair, secrets, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": langid.query,
         "op10_token_lengths": lengths.query,
         "op11_conversation_repair": repair.query,
+        "op12_embedding_near_dedup": cosine.query,
         "op13_periodic_runs": periodic.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": linededup.ORACLE_SQL, "op11_conversation_repair": repair.ORACLE_SQL}
+    return {"op3_line_dedup": linededup.ORACLE_SQL, "op11_conversation_repair": repair.ORACLE_SQL, "op12_embedding_near_dedup": cosine.ORACLE_SQL}
