@@ -89,18 +89,6 @@ def greedy_keep(points: DataFrame, radius: float, keys: list[str]) -> DataFrame:
             return points.join(state.where("stays"), "id", "left_semi")
 
 
-def mutual_links(ends: DataFrame, tolerance: float, keys: list[str]) -> DataFrame:
-    """Pairs of ends (a < b) of different fragments that are each other's nearest within tolerance.
-
-    ends: keys, id, fragment, x, y.
-    """
-    other = ends.select(*keys, F.col("id").alias("to"), F.col("fragment").alias("to_fragment"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    near = within(ends, other, tolerance, keys).where("fragment <> to_fragment")
-    best = near.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("dist", "to"))).where("_n = 1").select("id", "to", "dist")
-    back = best.select(F.col("id").alias("to"), F.col("to").alias("id"))
-    return best.join(back, ["id", "to"]).where("id < to").select(F.col("id").alias("a"), F.col("to").alias("b"), "dist")
-
-
 def waypoint_paths(starts: DataFrame, waypoints: DataFrame) -> DataFrame:
     """device, hop, waypoint, x, y: greedy ways to a target over the page's waypoints.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cells(df: DataFrame, x: str, y: str, width: float, around: bool) -> DataFrame:
+def _cells(df: DataFrame, x: str, y: str, width: float | Column, around: bool) -> DataFrame:
     cx, cy = F.floor(F.col(x) / width), F.floor(F.col(y) / width)
     if not around:
         return df.withColumns({"_cx": cx, "_cy": cy})
@@ -19,8 +19,8 @@ def _cells(df: DataFrame, x: str, y: str, width: float, around: bool) -> DataFra
     return df.withColumn("_c", F.explode(near)).select(*df.columns, F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
 
 
-def within(left: DataFrame, right: DataFrame, radius: float, keys: list[str], strict: bool = False) -> DataFrame:
-    """Pairs of points of equal keys at most radius apart (less than radius if strict), with dist.
+def within(left: DataFrame, right: DataFrame, radius: float | Column, keys: list[str], strict: bool = False) -> DataFrame:
+    """Pairs of points of equal keys at most radius apart (less than radius if strict), with dist; radius may be one of the keys.
 
     left: keys, x, y and more; right: keys, rx, ry and more, no names in common but the keys.
     """

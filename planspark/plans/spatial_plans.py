@@ -175,16 +175,6 @@ def order_chains(spark, sf):
 CHAINS = "SELECT min(o_orderkey) AS chain, count(*) AS nodes, count(*) - 1 AS last_position FROM orders GROUP BY o_custkey HAVING count(*) > 1"
 
 
-def dash_links(spark, sf):
-    ends = points(spark, sf, "true").select("page_id", F.col("event_id").alias("id"), (F.col("event_id") / 8).cast("long").alias("fragment"), "x", "y")
-    return graph.mutual_links(ends, 60.5, ["page_id"]).select("a", "b")
-
-
-DASH_LINKS = f"""WITH {POINTS}, e AS (SELECT page_id, event_id AS id, event_id // 8 AS fragment, xi, yi FROM pt),
-n AS (SELECT a.id, b.id AS peer FROM e a JOIN e b ON a.page_id = b.page_id AND a.fragment <> b.fragment AND (a.xi - b.xi) ** 2 + (a.yi - b.yi) ** 2 <= 3660.25 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY (a.xi - b.xi) ** 2 + (a.yi - b.yi) ** 2, b.id) = 1)
-SELECT x.id AS a, x.peer AS b FROM n x JOIN n y ON x.id = y.peer AND x.peer = y.id WHERE x.id < x.peer"""
-
-
 def prototype_match(spark, sf):
     v = t(spark, sf, "embeddings").select("vec_id", "label", *[F.floor(F.element_at("embedding", i + 1) * 1000 + 0.5).cast("double").alias(f"f{i}") for i in range(4)])
     protos = classify.prototypes(v, "label", [f"f{i}" for i in range(4)]).select("label", *[F.floor(F.col(f"f{i}") + 0.5).cast("double").alias(f"f{i}") for i in range(4)])
@@ -240,6 +230,6 @@ FIRST_WINS = "SELECT min(doc_id) AS doc_id, source FROM documents GROUP BY sourc
 PLANS = {
     "symbol_snap": (symbol_snap, SYMBOL_SNAP), "family_attach": (family_attach, FAMILY_ATTACH), "manual_suppression": (manual_suppression, MANUAL), "count_tokens": (count_tokens, COUNT_TOKENS), "pin_assign": (pin_assign, PIN_ASSIGN),
     "exclusion_zones": (exclusion_zones, ZONES), "greedy_dedup": (greedy_dedup, None), "q2_locate_measure": (q2_rounded, Q2), "gap_rows": (gap_rows, GAP_ROWS), "stitched_runs": (stitched, STITCHED), "polyline_lengths": (polylines, POLYLINES), "header_spans": (header_spans, HEADER_SPANS),
-    "numbering": (numbering, NUMBERING), "room_components": (room_components, None), "order_chains": (order_chains, CHAINS), "dash_links": (dash_links, DASH_LINKS), "prototype_match": (prototype_match, PROTOTYPES),
+    "numbering": (numbering, NUMBERING), "room_components": (room_components, None), "order_chains": (order_chains, CHAINS), "prototype_match": (prototype_match, PROTOTYPES),
     "upsert_rows": (upserted, UPSERTED), "page_replace": (page_replace, PAGE_REPLACE), "json_config": (json_config, JSON_CONFIG), "merge_types": (merge_types, MERGE_TYPES), "first_wins": (first_wins, FIRST_WINS),
 }

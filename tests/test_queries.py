@@ -1,5 +1,6 @@
 """Every query of the registry against its SQL on the smallest driver tables."""
 
+import decimal
 import math
 import os
 
@@ -12,11 +13,16 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
-        return ""
-    if isinstance(v, (int, float)) and not isinstance(v, bool) and float(v).is_integer():
-        return str(int(v))
-    return str(v)
+    """A value with its kind, so that NULL, NaN, text and numbers are never taken for one another."""
+    if v is None:
+        return ("null", "")
+    if isinstance(v, bool):
+        return ("bool", str(v))
+    if isinstance(v, (int, float, decimal.Decimal)):
+        return ("number", "nan" if math.isnan(v) else str(int(v)) if v == v // 1 else repr(float(v)))
+    if isinstance(v, (list, tuple)):
+        return ("list", str([plain(x) for x in v]))
+    return (type(v).__name__, str(v))
 
 
 @pytest.fixture(scope="module")
