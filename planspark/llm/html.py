@@ -32,7 +32,9 @@ from .common import checkpointed, frugal, plain, table, written
 #: Fixed names. Elements whose content is never text.
 NO_TEXT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "audio", "video", "head", "title", "textarea", "select", "datalist", "map"}
 #: Elements that hold no article text.
-ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
+ASIDE = {"nav", "footer", "aside", "menu", "dialog", "button", "fieldset"}
+#: Elements that hold none unless they hold most of the page: some systems put whole pages in a form.
+MAYBE = {"form"}
 #: Elements that end a block.
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -48,6 +50,12 @@ NOTICE = {
     "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "related", "recommended", "recommendations", "widget", "widgets",
     "pager", "pagination", "toolbar", "skip", "hidden", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs",
 }
+#: Of these, words that subjects of articles have too, and the words beside which they name a part of the page.
+SUBJECTS = {"share", "social", "reply"}
+PARTS = {
+    "bar", "bars", "box", "boxes", "button", "buttons", "link", "links", "list", "icon", "icons", "media", "tool", "tools", "block", "area", "wrap", "wrapper", "section", "row", "item", "items", "group", "top", "bottom", "left", "right", "inner", "outer",
+    "site", "js", "follow", "this", "to", "network", "networks", "strip", "panel", "count", "counts", "form", "title", "post", "page", "article", "container", "content", "footer", "header", "fixed", "sticky", "floating", "inline", "on", "us", "m", "c", "b",
+}
 #: Words that do so outside articles only.
 FRAME = {"header", "masthead", "footer"}
 #: Words of a class or id that is about the layout around the article: whatever else it names is not this element.
@@ -77,20 +85,31 @@ def _named(value: str, in_article: bool) -> bool:
     if any(x & LAYOUT for x in names):
         names = [x for x in names if x & NOTICE and not x & LAYOUT and len(x) == 1]
         return bool(names) and len(value.split()) == 1
-    return any(x & NOTICE or (x & FRAME and not in_article) for x in names)
+    return any(_notice(x) or (x & FRAME and not in_article) for x in names)
+
+
+def _notice(words: set[str]) -> bool:
+    """Words of a name that is no article's; those that a subject may have too only beside words of a page's parts."""
+    found = words & NOTICE
+    return bool(found) and (not found <= SUBJECTS or all(w in PARTS or w in SUBJECTS or not w.isalpha() for w in words))
 
 
 def _aside(name: str, attributes: str, in_article: bool) -> str:
     """What an element is: ``aside`` for certain, ``maybe`` by its class or id, or ``plain``."""
     if name in ASIDE or (name == "header" and not in_article):
         return "aside"
-    what = "plain"
+    whole = name in ("html", "body")
+    what = "maybe" if name in MAYBE else "plain"
     for key, a, b, c in _ATTRIBUTE.findall(attributes or ""):
         key, value = key.lower(), a or b or c
-        if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return "aside"
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return "aside"
+        if key == "role" and value.lower() in ROLES and not whole:
+            if value.lower() != "form":
+                return "aside"
+            what = "maybe"
+        # hidden until a script shows it: what holds most of a page is the page
+        hidden = key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)
+        if hidden and not whole:
+            what = "maybe"
         if key in ("class", "id") and name not in ("html", "body", "article", "main") and _named(value, in_article):
             what = "maybe"
     return what

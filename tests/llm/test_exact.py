@@ -460,3 +460,17 @@ def test_common_subsequence_is_longest():
 @pytest.mark.parametrize("operator", [packing.pack, simhash.near_duplicates, substring.substring_dedup, media.stored, lambda d: lengths.histogram(lengths.lengths(d))])
 def test_empty_tables(spark, operator):
     assert operator(frame(spark).limit(0)).count() == 0
+
+
+ARTICLE = "<article><h1>T</h1><p>The story of the river and its many bridges goes on here.</p><p>And then a second part.</p></article>"
+WHOLE = "T\nThe story of the river and its many bridges goes on here.\nAnd then a second part."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f'<body><form id="aspnetForm"><nav>menu</nav>{ARTICLE}<input></form></body>', WHOLE),
+    (f'<html style="display:none"><body style="visibility:hidden" aria-hidden="true">{ARTICLE}</body></html>', WHOLE),
+    (f"<body>{ARTICLE}<form>Subscribe now</form><div style='display:none'>hidden</div></body>", WHOLE),
+    ('<body><article><p>Long text that goes on.</p><section class="social-history">One.</section><div class="share-price">Two.</div><div class="reply-brief">Three.</div><div class="share-buttons">Share</div><div class="social">Follow</div></article></body>', "Long text that goes on.\nOne.\nTwo.\nThree."),
+])
+def test_whole_pages_in_forms_or_hidden_and_subjects_named_like_widgets_stay(page, text):
+    assert "\n".join(html.article(html.blocks(page), set())) == text
