@@ -18,8 +18,11 @@ def with_manual(fresh: DataFrame, stored: DataFrame, page: str = "page_id") -> D
     return fresh.unionByName(manual, allowMissingColumns=True)
 
 
-def upsert(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """stored with rows put in by key: the new row where there is one."""
+def upsert(stored: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """stored with rows put in by key: the new row where there is one. Of new rows with one key the last by ``order`` counts."""
+    if order:
+        rest = [c for c in rows.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(*keys, "_r.*").select(*rows.columns)
     return stored.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
