@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,14 +14,21 @@ from .spatial import within
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that spark.checkpoint.dir names; a local master may have one of its own."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.match(r"local(\[[^-]*\])?$", sc.master):
+    """df as a table in the folder that spark.checkpoint.dir names, read back; a local master may have a folder of its own.
+
+    A table has its own size, where checkpoint() keeps the estimate of the plan before: products of products of sizes
+    that the optimizer takes ever longer to multiply, and small tables that it never takes for small.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("planspark.tables", None)
+    if not folder:
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-planspark-", dir="/tmp"))
-    return df.checkpoint()
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-planspark-", dir="/tmp")
+        spark.conf.set("planspark.tables", folder)
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -269,6 +269,7 @@ def take_off(points: DataFrame, zones: DataFrame, lines: DataFrame, leaders: Dat
     y1: the tag's outline. lines: page_id, block, seq, text and a box. leaders: page_id, leader, x0, y0, x1, y1. sheets: page_id, sheet, bridge,
     per_ft (null: no scale). words: as border_labels() takes them. osp, interior and bend: the limits.
     """
+    sheets, points = checkpointed(sheets), checkpointed(points)
     scaled = sheets.where("per_ft is not null")
     grown = zones.join(scaled.select(PAGE, "bridge"), PAGE).select(PAGE, "zone", "kind", *[(F.col(c) + s * F.col("bridge")).alias(c) for c, s in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))])
     made = routes(points.join(scaled.select(PAGE), PAGE, "left_semi"), grown, scaled)
@@ -279,12 +280,15 @@ def take_off(points: DataFrame, zones: DataFrame, lines: DataFrame, leaders: Dat
     tags = end_tags(nodes.where("type = 'END'").select(PAGE, F.col("node").alias("end"), "x", "y"), blocks).select(F.col("end").alias("node"), "note")
     nodes = checkpointed(nodes.join(tags, "node", "left").withColumn("note", F.when(F.col("type") == "END", F.col("note")).when(F.startswith("node", F.lit("T:")), "tee").otherwise("")))
     numbered = said.withColumn("seq", F.substring("callout", 4, 9).cast("int"))
-    rows = segment_rows(made.segments.drop("edges"), numbered, osp, interior, bend)
+    # cut here: constraints on so many columns that follow from one another take the optimizer minutes
+    rows = checkpointed(segment_rows(made.segments.drop("edges"), numbered, osp, interior, bend))
     of_callouts = said.groupBy("segment").agg(F.array_join(F.array_sort(F.collect_list("callout")), " ").alias("callouts"))
     label = lambda side: nodes.select(F.col("node").alias(side), F.col("label").alias(f"_{side}"), F.col("type").alias(side.replace("node", "type")))
     rows = rows.join(label("from_node"), "from_node").join(label("to_node"), "to_node").join(of_callouts, "segment", "left")
-    rows = rows.withColumns({"segment_id": F.col("segment"), "segment": F.col("label"), "from_node": F.col("_from_node"), "to_node": F.col("_to_node"), "callouts": F.coalesce("callouts", F.lit(""))} | {c: round_even(F.col(c), 1) for c in ("total_ft", "new_ft", "existing_ft")})
-    rows = checkpointed(rows.drop("label", "_from_node", "_to_node"))
+    feet = ("total_ft", "new_ft", "existing_ft")
+    kept = [c for c in rows.columns if c not in ("segment", "label", "from_node", "to_node", "_from_node", "_to_node", "callouts", *feet)]
+    rows = rows.select(F.col("segment").alias("segment_id"), F.col("label").alias("segment"), F.col("_from_node").alias("from_node"), F.col("_to_node").alias("to_node"), F.coalesce("callouts", F.lit("")).alias("callouts"), *[round_even(F.col(c), 1).alias(c) for c in feet], *kept)
+    rows = checkpointed(rows)
     said = said.withColumnRenamed("segment", "segment_id").join(rows.select("segment_id", "segment"), "segment_id")
     columns, up = border_labels(words)
     spots = nodes.select(PAGE, F.col("label").alias("id"), "x", "y").unionByName(rows.select(PAGE, F.col("segment").alias("id"), "x", "y"))
@@ -293,11 +297,11 @@ def take_off(points: DataFrame, zones: DataFrame, lines: DataFrame, leaders: Dat
     places = described_places(spots.join(scale, PAGE), columns, up, marks, F.col("per_ft")).select(PAGE, F.col("id").alias("at"), F.col("place").alias("location"))
     found, balance = discrepancies(rows, nodes, said, bend, places)
     found = checkpointed(found)
-    nodes = nodes.join(balance, [PAGE, "label"], "left").withColumn("balance", F.coalesce("balance", F.lit("")))
+    nodes = nodes.join(checkpointed(balance), [PAGE, "label"], "left").withColumn("balance", F.coalesce("balance", F.lit("")))
     table = quantities(rows, nodes, said, found, [PAGE])
     asked = found.join(sheets.select(PAGE, "sheet"), PAGE)
     asked = asked.withColumn("rfi", request_text(F.col("category"), F.col("sheet"), F.col("location"), F.col("legs"), F.col("expected"), F.col("found"), F.col("whats_off"))).drop("sheet")
-    return TakeOff(rows, nodes, said, asked, table, _problems(sheets, points, zones, rows, said))
+    return TakeOff(rows, checkpointed(nodes), checkpointed(said), checkpointed(asked), checkpointed(table), checkpointed(_problems(sheets, points, zones, rows, said)))
 
 
 def _problems(sheets: DataFrame, points: DataFrame, zones: DataFrame, rows: DataFrame, said: DataFrame) -> DataFrame:
