@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,40 @@ def stitch(runs: DataFrame, keys: list[str], y_tolerance: float = 1.0, space: fl
     return rows.groupBy(*keys, "line", "run").agg(text.alias("s"), ((F.min("x0") + F.max("x1")) / 2).alias("cx"), F.min("cy").alias("cy"), F.count("*").alias("n"))
 
 
+RUN = "struct<s:string,cy:double,left:double,right:double,fs:double,n:int>"
+
+
+def folded(items: Column, breaks: Callable[[Column, Column], Column], spaced: Callable[[Column, Column], Column]) -> Column:
+    """Items (an array of RUN in order) joined one after another: an item begins a new run where it breaks with the run so far, else
+    it is put on, with a space where it is spaced. The run keeps place and size of its first item. For the items of an island, which are few.
+    """
+
+    def step(acc: Column, it: Column) -> Column:
+        cur = F.element_at(acc, -1)
+        grown = F.struct(
+            F.concat(cur["s"], F.when(spaced(cur, it), " ").otherwise(""), it["s"]).alias("s"), cur["cy"].alias("cy"), cur["left"].alias("left"), F.greatest(cur["right"], it["right"]).alias("right"), cur["fs"].alias("fs"), (cur["n"] + 1).alias("n")
+        )
+        return F.when((F.size(acc) == 0) | breaks(cur, it), F.concat(acc, F.array(it))).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown)))
+
+    return F.aggregate(items, F.array().cast(f"array<{RUN}>"), lambda acc, it: F.when(F.size(acc) == 0, F.array(it)).otherwise(step(acc, it)))
+
+
+def anchored_runs(runs: DataFrame, keys: list[str], y_tolerance: float = 1.0, space: float = 0.15, merge: float = 1.0) -> DataFrame:
+    """Text runs joined as they come by height and then from the left, with a space where the gap is wide.
+
+    runs: keys, s, cy, x0 (left), x1 (right), fs. Gives keys, line, run, s, cx, cy and n of each joined run. Runs go by place, those of
+    one height from the left; each is held against the first of the run so far, so lines that drift come apart where they are too far
+    from where they began. Rows further apart than the tolerance never meet: the fold goes over what lies between.
+    """
+    lines = gap_islands(runs, keys, "cy", y_tolerance, "x0", name="line")
+    item = F.struct("cy", "x0", "s", "x1", "fs")
+    held = lines.groupBy(*keys, "line").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    items = F.transform("items", lambda i: F.struct(i["s"].alias("s"), i["cy"].alias("cy"), i["x0"].alias("left"), i["x1"].alias("right"), F.when(i["fs"] != 0, i["fs"]).otherwise(10.0).alias("fs"), F.lit(1).alias("n")))
+    done = folded(items, lambda cur, it: (F.abs(it["cy"] - cur["cy"]) > y_tolerance) | (it["left"] - cur["right"] > cur["fs"] * merge), lambda cur, it: it["left"] - cur["right"] > cur["fs"] * space)
+    rows = held.select(*keys, "line", F.posexplode(done).alias("run", "r"))
+    return rows.select(*keys, "line", "run", "r.s", ((F.col("r.left") + F.col("r.right")) / 2).alias("cx"), "r.cy", F.col("r.n").cast("long").alias("n"))
+
+
 def normalise(items: DataFrame, keys: list[str]) -> DataFrame:
     """Places scaled to the page's own extent, downward, four digits."""
     page = Window.partitionBy(*keys)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import feet_of, round_up, slug
-from .islands import split_notes
+from .islands import folded, split_notes
 
 #: Title wordings of sheet roles, the first that fits, and roles of the older reading.
 SHEET_ROLES = [
@@ -163,17 +163,30 @@ def sheet_role(title: Column, read_role: Column, read_confidence: Column) -> Col
 def page_lines(runs: DataFrame, tolerance: float = 0.35, merge: float = 1.0, space: float = 0.15) -> DataFrame:
     """page_id, line, str, left, right, y: runs on a line as high as a share of the letter, joined where the gap allows.
 
-    runs: page_id, seq, s, x0, x1, y, size. A run is on the line of the run before it (by y) if it is at most ``tolerance`` letters off that one.
+    runs: page_id, seq, s, x0, x1, y, size. A run is on the line (by y) if it is at most ``tolerance`` letters, the smaller of both, off the line's
+    first run; in a line runs go from the left and are held against the joined run so far. Rows further apart than the tallest
+    letter of their page allows never meet: folds go over what lies between.
     """
     runs = runs.where(F.trim("s") != "")
     w = Window.partitionBy("page_id").orderBy("y", "seq")
-    off = F.col("y") - F.lag("y").over(w) > F.least(F.col("size"), F.lag("size").over(w)) * tolerance
-    rows = runs.withColumn("line", F.sum(F.when(off, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = Window.partitionBy("page_id", "line").orderBy("x0", "seq")
-    gap = F.col("x0") - F.max("x1").over(x.rowsBetween(Window.unboundedPreceding, -1))
-    size = F.lag("size").over(x)
-    rows = rows.withColumns({"_new": F.when((gap >= -size * 0.3) & (gap <= size * merge), 0).otherwise(1), "_sp": F.coalesce(gap > size * space, F.lit(False)), "_at": F.row_number().over(x)})
-    rows = rows.withColumn("_run", F.sum("_new").over(x.rowsBetween(Window.unboundedPreceding, 0)))
-    piece = F.when((F.col("_new") == 0) & F.col("_sp"), F.concat(F.lit(" "), "s")).otherwise(F.col("s"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", piece.alias("p")))), lambda r: r["p"]), "")
-    return rows.groupBy("page_id", "line", "_run").agg(text.alias("str"), F.min("x0").alias("left"), F.max("x1").alias("right"), F.min("y").alias("y")).drop("_run")
+    off = F.col("y") - F.lag("y").over(w) > F.max("size").over(Window.partitionBy("page_id")) * tolerance
+    rows = runs.withColumn("_off", off).withColumn("island", F.sum(F.when(F.col("_off"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # the anchor of each run of an island: the first of its line
+    held = rows.groupBy("page_id", "island").agg(F.array_sort(F.collect_list(F.struct("y", "seq", "s", "x0", "x1", "size"))).alias("items"))
+    one = lambda it, n: F.struct(n.alias("line"), it["y"].alias("ay"), it["size"].alias("asize"), it["x0"].alias("x0"), it["y"].alias("y"), it["seq"].cast("long").alias("seq"), it["s"].alias("s"), it["x1"].alias("x1"), it["size"].alias("size"))
+    none = F.array().cast("array<struct<line:int,ay:double,asize:double,x0:double,y:double,seq:bigint,s:string,x1:double,size:double>>")
+
+    def step(acc: Column, it: Column) -> Column:
+        last = F.element_at(acc, -1)
+        near = F.abs(it["y"] - last["ay"]) <= F.least(it["size"], last["asize"]) * tolerance
+        on = F.struct(last["line"].alias("line"), last["ay"].alias("ay"), last["asize"].alias("asize"), *[one(it, F.lit(0))[c].alias(c) for c in ("x0", "y", "seq", "s", "x1", "size")])
+        return F.concat(acc, F.array(F.when(near, on).otherwise(one(it, last["line"] + 1))))
+
+    placed = F.aggregate("items", none, lambda acc, it: F.when(F.size(acc) == 0, F.array(one(it, F.lit(0)))).otherwise(step(acc, it)))
+    lines = held.select("page_id", "island", F.explode(placed).alias("p")).groupBy("page_id", "island", "p.line").agg(F.array_sort(F.collect_list(F.struct("p.x0", "p.y", "p.seq", "p.s", "p.x1", "p.size"))).alias("items"))
+    items = F.transform("items", lambda i: F.struct(i["s"].alias("s"), i["y"].alias("cy"), i["x0"].alias("left"), i["x1"].alias("right"), i["size"].alias("fs"), F.lit(1).alias("n")))
+    gap = lambda cur, it: it["left"] - cur["right"]
+    done = folded(items, lambda cur, it: (gap(cur, it) < -cur["fs"] * 0.3) | (gap(cur, it) > cur["fs"] * merge), lambda cur, it: gap(cur, it) > cur["fs"] * space)
+    order = Window.partitionBy("page_id").orderBy("island", "line")
+    numbered = lines.withColumn("line", F.row_number().over(order))
+    return numbered.select("page_id", "line", F.explode(done).alias("r")).select("page_id", "line", F.col("r.s").alias("str"), "r.left", "r.right", F.col("r.cy").alias("y"))

@@ -329,3 +329,10 @@ def test_first_ever_pages_by_batch(spark, tmp_path):
     for _ in range(2):  # a batch that is run again
         assert {r.sheet_number for r in usage_stream.first_ever(rows(("A", "1", 4), ("C", "1", 5)), 1, path).collect()} == {"C"}
     assert usage_stream.first_ever(rows(("C", "1", 6)), 2, path).count() == 0
+
+
+def test_names_are_sorted_by_their_numbers(spark):
+    from planspark.operators import bom
+
+    df = spark.createDataFrame([("TR 10",), ("TR 9",), ("TR 2A",), ("TR 100",), ("AP 3",)], "name string")
+    assert [r.name for r in bom.in_order(df, "name").collect()] == ["AP 3", "TR 2A", "TR 9", "TR 10", "TR 100"]
