@@ -65,13 +65,45 @@ def expand_anchors(texts: Column | str) -> Column:
     return F.struct(F.array_distinct(primary).alias("primary"), F.array_distinct(more).alias("associated"))
 
 
+#: Header words of a matrix schedule, of the type column, of quantities, and all that stand in its header band; how high and wide the band is.
+TYPE_HEADER, TYPE_HEADERS = r"^TYPE$", r"OUTLET\s*TYPE|^TYPE$|DEVICE\s*TYPE|DESIGNATOR"
+QUANTITY_HEADER, HEADER_WORDS = r"^(QUANTITY|QTY)$", r"^(OUTLET|TYPE|QUANTITY|QTY|POTS|POTN|NIPR|SIPR|BLANK|DATA|VOIP)$"
+BAND_HEIGHT, BAND_WIDTH = 0.04, 0.5
+
+
+def matrix_columns(cells: DataFrame) -> DataFrame:
+    """page_id, type_x, quantity_x, bottom: where a page's matrix has its columns, and the lowest of the header words around its type column.
+
+    cells: page_id, str, x, y (downward). The type column is the first cell that says just TYPE, else the first that names a type; of stacked
+    quantity headers the leftmost right of it counts. Pages without either have no row.
+    """
+    rows = cells.select("page_id", "x", "y", S.norm("str").alias("text"))
+    place = F.struct(F.when(F.col("text").rlike(TYPE_HEADER), 0).otherwise(1), "y", "x")
+    head = rows.where(F.col("text").rlike(TYPE_HEADERS)).groupBy("page_id").agg(F.min_by(F.struct("x", "y"), place).alias("h")).select("page_id", F.col("h.x").alias("type_x"), F.col("h.y").alias("head_y"))
+    met = rows.join(head, "page_id")
+    quantity = F.min(F.when(F.col("text").rlike(QUANTITY_HEADER) & (F.col("x") > F.col("type_x")), F.col("x")))
+    near = F.col("text").rlike(HEADER_WORDS) & (F.abs(F.col("x") - F.col("type_x")) < BAND_WIDTH) & (F.abs(F.col("y") - F.col("head_y")) <= BAND_HEIGHT)
+    found = met.groupBy("page_id", "type_x", "head_y").agg(quantity.alias("quantity_x"), F.max(F.when(near, F.col("y"))).alias("low"))
+    return found.where("quantity_x is not null").select("page_id", "type_x", "quantity_x", F.greatest("head_y", "low").alias("bottom"))
+
+
+def matrix_located(cells: DataFrame, tolerance: float) -> DataFrame:
+    """matrix() of the cells (with y) under the header of each page that has one, by the columns that its own header names."""
+    under = cells.join(matrix_columns(cells), "page_id").where("y > bottom").withColumnsRenamed({"type_x": "_tx", "quantity_x": "_qx"})
+    return _matrix(under, tolerance)
+
+
 def matrix(cells: DataFrame, type_x: float, quantity_x: float, tolerance: float) -> DataFrame:
     """Types and quantities of a matrix schedule under its header, up to the grand total.
 
     cells: page_id, row, str, x. The type is the first short code in the type column left of the quantity
     column; its quantity is the whole number right of it that is nearest the quantity column.
     """
-    text = S.norm("str")
+    return _matrix(cells.withColumns({"_tx": F.lit(type_x), "_qx": F.lit(quantity_x)}), tolerance)
+
+
+def _matrix(cells: DataFrame, tolerance: float) -> DataFrame:
+    text, type_x, quantity_x = S.norm("str"), F.col("_tx"), F.col("_qx")
     rows = cells.withColumn("text", text)
     joined = rows.groupBy("page_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda c: c["text"]), " ").alias("line"))
     total = F.regexp_extract("line", r"GRAND\s*TOTAL:?\s*(\d+)", 1)

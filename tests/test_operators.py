@@ -336,3 +336,20 @@ def test_names_are_sorted_by_their_numbers(spark):
 
     df = spark.createDataFrame([("TR 10",), ("TR 9",), ("TR 2A",), ("TR 100",), ("AP 3",)], "name string")
     assert [r.name for r in bom.in_order(df, "name").collect()] == ["AP 3", "TR 2A", "TR 9", "TR 10", "TR 100"]
+
+
+def test_a_matrix_finds_its_columns_in_stacked_headers(spark):
+    from planspark.operators import discover
+
+    def page(p, dx):
+        head = [("OUTLET", 0.10, 0.100), ("QUANTITY", 0.30, 0.100), ("QUANTITY", 0.50, 0.100), ("TYPE", 0.10, 0.112), ("POTS", 0.50, 0.118), ("QUANTITY", 0.05, 0.900)]
+        body = [("A1", 0.10, 0.150, 1), ("12", 0.31, 0.150, 1), ("99", 0.50, 0.150, 1), ("B", 0.11, 0.170, 2), ("3", 0.29, 0.170, 2), ("7", 0.02, 0.190, 3), ("GRAND TOTAL: 15", 0.2, 0.210, 4), ("C", 0.10, 0.230, 5), ("8", 0.30, 0.230, 5)]
+        return [(p, 0, s, x + dx, y) for s, x, y in head] + [(p, r, s, x + dx, y) for s, x, y, r in body]
+
+    rows = page(1, 0.0) + page(2, 0.2) + [(3, 1, "TYPE", 0.1, 0.1), (3, 2, "A1", 0.1, 0.2), (4, 1, "QTY", 0.1, 0.1)]
+    cells = spark.createDataFrame(rows, "page_id long, row int, str string, x double, y double")
+    columns = {r.page_id: (round(r.type_x, 2), round(r.quantity_x, 2), r.bottom) for r in discover.matrix_columns(cells).collect()}
+    assert columns == {1: (0.1, 0.3, 0.118), 2: (0.3, 0.5, 0.118)}
+    got = {(r.page_id, r.type): r.quantity for r in discover.matrix_located(cells, 0.04).collect()}
+    assert got == {(p, k): n for p in (1, 2) for k, n in (("A1", 12), ("B", 3))}
+    assert all(r.ties and r.total == 15 for r in discover.matrix_ties(discover.matrix_located(cells, 0.04)).collect())
