@@ -27,6 +27,38 @@ def q1(spark, sf):
     return got.groupBy("page_id", "type", "confidence", "xy_source", F.array_join(F.array_sort("flags"), ",").alias("flags")).agg(F.count("*").alias("devices"))
 
 
+def snap_stand_ins(spark, sf):
+    """Twelve customers to a page: the first nine are devices 15 apart (one in three without a place), all are symbols between them."""
+    c = t(spark, sf, "customer")
+    k, page, y = F.col("c_custkey"), F.floor(F.col("c_custkey") / 12), F.lit(0.0)
+    n, kind = k % 12, F.concat(F.lit("T"), (F.floor(k / 12) % 2).cast("string"))
+    placed = k % 3 != page % 3
+    some = [page.alias("page_id"), F.lpad(k.cast("string"), 9, "0").alias("device"), F.lit(None).cast("string").alias("uin"), kind.alias("type"), F.when(placed, n * 15.0).alias("x"), F.when(placed, y).alias("y")]
+    devices = c.where("c_custkey % 12 < 9").select(*some, F.when(placed, "label").otherwise("none").alias("xy_source"), F.array(F.when(placed, "label").otherwise("schedule")).alias("sources"), F.array().cast("array<string>").alias("flags"))
+    symbols = c.select(page.alias("page_id"), k.alias("sym"), kind.alias("type"), ((k * 7 + page) % 12 * 13.0 + page % 5).alias("x"), y.alias("y"))
+    return devices, symbols
+
+
+def snap_order(spark, sf):
+    got = reconcile.snapped(*snap_stand_ins(spark, sf), 20.0)
+    return got.select("page_id", "device", "type", "x", "xy_source", F.array_join("sources", ",").alias("sources"), F.array_join("flags", ",").alias("flags"))
+
+
+# one symbol of each page a step; the page's devices are a list that each step gives anew
+SNAP_ORDER = """WITH RECURSIVE c AS (SELECT c_custkey AS k, c_custkey // 12 AS page_id, c_custkey % 12 AS n FROM customer),
+s AS (SELECT k, page_id, ((k * 7 + page_id) % 12) * 13.0::DOUBLE + page_id % 5 AS x, row_number() OVER (PARTITION BY page_id ORDER BY k) AS step FROM c),
+d AS (SELECT page_id, list({'device': lpad(k::VARCHAR, 9, '0'), 'x': CASE WHEN k % 3 <> page_id % 3 THEN n * 15.0::DOUBLE END, 'listed': k % 3 = page_id % 3, 'moved': false, 'adopted': false, 'fresh': false} ORDER BY k) FILTER (n < 9) AS held FROM c GROUP BY page_id),
+r AS (SELECT page_id, 0::BIGINT AS step, coalesce(held, []) AS held FROM d
+UNION ALL SELECT page_id, step, CASE WHEN near IS NOT NULL THEN list_transform(held, lambda h: CASE WHEN h.device = near THEN {'device': h.device, 'x': sx, 'listed': h.listed, 'moved': true, 'adopted': h.adopted, 'fresh': h.fresh} ELSE h END)
+  WHEN free IS NOT NULL THEN list_transform(held, lambda h: CASE WHEN h.device = free THEN {'device': h.device, 'x': sx, 'listed': true, 'moved': true, 'adopted': true, 'fresh': false} ELSE h END)
+  ELSE list_append(held, {'device': 's:' || k, 'x': sx, 'listed': false, 'moved': true, 'adopted': false, 'fresh': true}) END
+  FROM (SELECT r.page_id, s.step, s.k, s.x AS sx, r.held, list_min(list_transform(list_filter(r.held, lambda h: h.x IS NULL), lambda h: h.device)) AS free,
+    (SELECT max_by(u.h.device, {'d': -abs(u.h.x - s.x), 'n': u.h.device}) FROM (SELECT unnest(r.held) AS h) u WHERE u.h.x IS NOT NULL AND NOT u.h.fresh AND abs(u.h.x - s.x) <= 20) AS near FROM r JOIN s ON s.page_id = r.page_id AND s.step = r.step + 1)),
+last AS (SELECT page_id, unnest(held) AS h FROM r QUALIFY step = max(step) OVER (PARTITION BY page_id))
+SELECT page_id, h.device AS device, 'T' || page_id % 2 AS type, h.x AS x, CASE WHEN h.moved THEN 'symbol' WHEN h.x IS NULL THEN 'none' ELSE 'label' END AS xy_source,
+  concat_ws(',', CASE WHEN h.fresh THEN NULL WHEN h.listed THEN 'schedule' ELSE 'label' END, CASE WHEN h.moved THEN 'symbol' END) AS sources, CASE WHEN h.fresh THEN 'no_uin' WHEN h.adopted THEN 'placement_inferred' ELSE '' END AS flags FROM last"""
+
+
 def label_placement(spark, sf):
     schedule, labels, _ = evidence(spark, sf)
     got = reconcile.placed_by_label(schedule, labels)
@@ -120,6 +152,6 @@ def simplified(spark, sf):
 
 
 PLANS = {
-    "q1_count_devices": (q1, None), "label_placement": (label_placement, LABEL_PLACEMENT), "polygon_areas": (areas, AREAS), "circle_test": (circle_test, CIRCLES), "gap_percentile": (gap_percentile, GAP_PERCENTILE), "dominant_width": (width_classes, WIDTHS),
+    "q1_count_devices": (q1, None), "snap_order": (snap_order, SNAP_ORDER), "label_placement": (label_placement, LABEL_PLACEMENT), "polygon_areas": (areas, AREAS), "circle_test": (circle_test, CIRCLES), "gap_percentile": (gap_percentile, GAP_PERCENTILE), "dominant_width": (width_classes, WIDTHS),
     "vault_balance": (vaults, VAULTS), "segment_checks": (segment_flags, SEGMENT_FLAGS), "q9_plant_quantities": (q9, Q9), "simplified_polylines": (simplified, None),
 }
