@@ -16,12 +16,14 @@ are never shuffled.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +38,12 @@ BLOCK = 8_000_000
 #: Items shorter than this many characters are found, but a document that holds one is not taken for a leak by clean().
 SHORTEST = 20
 _CHUNK = 500_000
-_OTHER = re.compile(r"[\W_]+")
+#: All but letters with their marks (vowel signs, accents) and digits.
+_OTHER = regex.compile(r"[\W_]+")
 
 
 def normal(text: str | None) -> str:
-    return _OTHER.sub(" ", (text or "").lower()).strip()
+    return _OTHER.sub(" ", unicodedata.normalize("NFC", (text or "").lower())).strip()
 
 
 def _codes(text: str) -> np.ndarray:

@@ -7,13 +7,14 @@ each pair of languages of a family. Prediction reads every text whole, in the ta
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +37,15 @@ ROUNDS, REGULAR = 40, 0.01
 #: Score under which a text is in no learned language: undecided between families and inside the best one.
 LEAST = 0.25
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+#: All but letters and their marks (vowel signs, accents).
+_OTHER = regex.compile(r"[\W\d_]+")
 #: Characters, and texts, that are told apart at once.
 _CHUNK, _TEXTS = 500_000, 500
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Feature of each letter pair and triple of each text, and where each text's features end."""
-    clean = [f" {_OTHER.sub(' ', t.lower()).strip()} " for t in texts]
+    clean = [f" {_OTHER.sub(' ', unicodedata.normalize('NFC', t.lower())).strip()} " for t in texts]
     code = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     size = np.array([len(t) for t in clean])
     stop = np.cumsum(size)

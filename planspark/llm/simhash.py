@@ -31,20 +31,24 @@ SHARED = 12
 _LOW = {c: c + 32 for c in range(65, 91)}
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of one text: bit is 1 if set in over half the XXH64 (seed 42) of its word shingles."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 (seed 42) of a text's word shingles, repeats included; fewer words: of the whole sequence."""
     import re
 
     from xxhash import xxh64_intdigest
 
     words = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(_LOW))
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) > shingle:
         parts = [" ".join(x) for x in zip(*[words[i:] for i in range(shingle)], strict=False)]
     else:
         parts = [" ".join(words)]
-    hashes = np.fromiter((xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts))
+    return np.fromiter((xxh64_intdigest(p, 42) for p in parts), np.uint64, len(parts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes; none: 0."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -52,6 +56,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int("".join("1" if 2 * c > len(hashes) else "0" for c in counts), 2)
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash of one text: bit is 1 if set in over half the XXH64 (seed 42) of its word shingles."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every document; no words: 0."""
 
@@ -64,27 +73,39 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def walk(fps: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of distinct fingerprints of one group within budget bits. fps sorted within group, groups together."""
+    """Index pairs of distinct fingerprints of one group within budget bits. fps sorted within group, groups together.
+
+    fps: a number each, or a row of several that make one long fingerprint.
+    """
+    fps = fps.reshape(len(fps), -1)
+    last = fps.shape[1] - 1
+    top = 64 * (last + 1) - 1
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     ends = np.concatenate([starts[1:], [len(fps)]])
     a_lo = b_lo = starts
     a_hi = b_hi = ends
     dist = np.zeros(len(starts), np.int64)
     left, right = [], []
-    for bit in range(63, -2, -1):  # the last round only emits what the split on bit 0 left
+    for bit in range(top, -2, -1):  # the last round only emits what the split on bit 0 left
         crowd = (a_hi - a_lo > 1) | (b_hi - b_lo > 1)
         # one fingerprint against one: the rest of the bits at once
         x, y, d = a_lo[~crowd], b_lo[~crowd], dist[~crowd]
-        diff = fps[x] ^ fps[y]
-        if bit < 63:
-            diff &= np.uint64((1 << (bit + 1)) - 1)
-        near = (x != y) & (d + np.bitwise_count(diff) <= budget)
+        near = (x != y) & (d <= budget)
+        x, y, d = x[near], y[near], d[near]
+        for word in range(last - bit // 64 if bit >= 0 else last, last + 1):
+            diff = fps[x, word] ^ fps[y, word]
+            if word == last - bit // 64 and bit % 64 < 63:
+                diff &= np.uint64((1 << (bit % 64 + 1)) - 1)
+            elif bit < 0:
+                diff &= np.uint64(0)
+            d = d + np.bitwise_count(diff)
+        near = d <= budget
         left.append(x[near])
         right.append(y[near])
         a_lo, a_hi, b_lo, b_hi, dist = (v[crowd] for v in (a_lo, a_hi, b_lo, b_hi, dist))
         if bit < 0 or not len(a_lo):
             break
-        ones = np.concatenate([[0], np.cumsum((fps >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)])
+        ones = np.concatenate([[0], np.cumsum((fps[:, last - bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)).astype(np.int64)])
         a_mid, b_mid = a_hi - (ones[a_hi] - ones[a_lo]), b_hi - (ones[b_hi] - ones[b_lo])
         same = a_lo == b_lo  # a node with itself: its crossed children are one pair
         parts = [
@@ -136,13 +157,19 @@ def links(fps: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> DataFrame
     met = met.select("way", "start", "fp", F.explode(pairs).alias("pair"))
     walks = met.repartition("way", "start", "pair").sortWithinPartitions("way", "start", "pair", "fp")
 
+    return walked(walks, ["fp"], "fp", budget, 4_000_000)
+
+
+def walked(walks: DataFrame, words: list[str], node: str, budget: int, most: int) -> DataFrame:
+    """(u, v) links by node that connect what the walks of each (way, start, pair) find; walks lie together, ``most`` pairs at once."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(held: pd.DataFrame) -> pd.DataFrame:
             group = held.groupby(["way", "start", "pair"], sort=False).ngroup().to_numpy()
-            unsigned = held["fp"].to_numpy().view(np.uint64)
-            order = np.lexsort((unsigned, group))
+            unsigned = np.stack([held[w].to_numpy().view(np.uint64) for w in words], axis=1)
+            order = np.lexsort((*unsigned.T[::-1], group))
             left, right = walk(unsigned[order], group[order], budget)
-            u, v = stars(left, right, held["fp"].to_numpy()[order])
+            u, v = stars(left, right, held[node].to_numpy()[order])
             return pd.DataFrame({"u": u, "v": v})
 
         rest = None
@@ -155,7 +182,7 @@ def links(fps: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> DataFrame
             at, weight = 0, 0
             for cut, size in zip(new.tolist(), sizes.tolist(), strict=True):
                 weight += size * size
-                if weight > 4_000_000:
+                if weight > most:
                     yield found(pdf.iloc[at:cut])
                     at, weight = cut, 0
             if whole > at:
