@@ -11,7 +11,7 @@ found, never all pairs; star rounds join them to components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -160,8 +160,11 @@ def links(fps: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> DataFrame
     return walked(walks, ["fp"], "fp", budget, 4_000_000)
 
 
-def walked(walks: DataFrame, words: list[str], node: str, budget: int, most: int) -> DataFrame:
-    """(u, v) links by node that connect what the walks of each (way, start, pair) find; walks lie together, ``most`` pairs at once."""
+def walked(walks: DataFrame, words: list[str], node: str, budget: int, most: int, joined: Callable | None = None) -> DataFrame:
+    """(u, v) links by node that connect what the walks of each (way, start, pair) find; walks lie together, ``most`` pairs at once.
+
+    joined: gives the links of index pairs, nodes and fingerprints; stars of the nodes without it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(held: pd.DataFrame) -> pd.DataFrame:
@@ -169,7 +172,8 @@ def walked(walks: DataFrame, words: list[str], node: str, budget: int, most: int
             unsigned = np.stack([held[w].to_numpy().view(np.uint64) for w in words], axis=1)
             order = np.lexsort((*unsigned.T[::-1], group))
             left, right = walk(unsigned[order], group[order], budget)
-            u, v = stars(left, right, held[node].to_numpy()[order])
+            nodes = held[node].to_numpy()[order]
+            u, v = joined(left, right, nodes, unsigned[order]) if joined else stars(left, right, nodes)
             return pd.DataFrame({"u": u, "v": v})
 
         rest = None

@@ -73,3 +73,34 @@ def test_crowded_starts_repeats_nulls_and_clashing_names(spark):
     leaves = similar.fingerprints(docs).groupBy("f0", "f1", "f2", "f3").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "node")
     few, crowded = ({(r.node, r.component) for r in similar.components(similar.links(leaves, crowd=c)).collect()} for c in (700, 16))
     assert few == crowded
+
+
+def test_all_pairs_of_the_similarity_and_no_others(spark):
+    rng = random.Random(4)
+    passage = [f"p{n}" for n in range(60)]
+    rows = []
+    for n in range(150):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([1, 4, 5, 9, 13, 14, 30, 45, 90, 200]))]
+        words += passage if n % 3 == 0 else []
+        for _ in range(3):  # one version after another, most of them near the limit
+            rows.append((len(rows), " ".join(words)))
+            words = edited(words, min(len(words), rng.choice([1, 1, 2, 3, 5])), rng).split() if rng.random() < 0.6 else words[: len(words) - rng.choice([1, 2, len(words) // 9, len(words) // 5])]
+    held = [shingles(t) if t else set() for _, t in rows]
+    least = list(range(len(rows)))
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if held[i] == held[j] or 5 * len(held[i] & held[j]) >= 4 * len(held[i] | held[j])]
+    assert sum(held[i] != held[j] and 5 * len(held[i] & held[j]) < 4.3 * len(held[i] | held[j]) for i, j in pairs) > 10
+    for _ in rows:
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in similar.one_of_each(docs).collect()} == set(least)
+    made = similar.leaves_of(docs)
+    few, crowded = ({(r.node, r.component) for r in similar.components(similar.near_links(docs, made, budget=0, crowd=c)).collect()} for c in (700, 3))
+    assert few == crowded and len(few) > 100  # the walks find nothing here, the prefix filter all
+
+
+def test_forest_connects_what_pairs_connect_with_the_nearest_ones():
+    left, right, apart = np.array([0, 1, 0, 3, 4, 5, 3]), np.array([1, 2, 2, 4, 5, 3, 5]), np.array([5, 1, 2, 9, 9, 9, 9])
+    kept = similar.forest(left, right, apart, 7).tolist()
+    assert set(kept) & {0, 1, 2} == {1, 2} and len(kept) == len(set(kept)) == 4
+    assert similar.forest(left[:0], right[:0], apart[:0], 3).tolist() == []
