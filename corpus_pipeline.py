@@ -27,8 +27,7 @@ def without_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id.
 
-    Fingerprints are of five-word shingles, 256 bits long, for pairs of similarity 0.8 or more; the README says which
-    share of them it reaches.
+    Texts whose sets of five-word shingles have similarity 0.8 or more are linked, all of them and no others.
     """
     return similar.one_of_each(docs)
 

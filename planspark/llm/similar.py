@@ -52,7 +52,10 @@ BINS = 128
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> list[int]:
     """The words of a text's long SimHash, the first one its plain SimHash; no words: zeros."""
-    hashes = shingle_hashes(text, shingle)
+    return _words(shingle_hashes(text, shingle))
+
+
+def _words(hashes: np.ndarray) -> list[int]:
     return [majority(hashes if not i else mix(hashes + np.uint64(i))) for i in range(WORDS)]
 
 
@@ -119,9 +122,9 @@ def _nearest(left: np.ndarray, right: np.ndarray, nodes: np.ndarray, fps: np.nda
     return nodes[left[kept]], nodes[right[kept]]
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> tuple[np.ndarray, int]:
+def shingle_set(hashes: np.ndarray) -> tuple[np.ndarray, int]:
     """The distinct hashes of a text's shingles, ascending, and a number of the set."""
-    held = np.unique(shingle_hashes(text, shingle))
+    held = np.unique(hashes)
     return held, int.from_bytes(blake2b(held.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
@@ -130,7 +133,7 @@ def leaves_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [shingle_set(t, shingle) for t in pdf["text"]]
+            rows = [shingle_set(shingle_hashes(t, shingle)) for t in pdf["text"]]
             low = [held[: np.searchsorted(held, np.uint64(LOW))].view(np.int64) for held, _ in rows]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "leaf": [leaf for _, leaf in rows], "n": [len(held) for held, _ in rows], "low": low})
 
@@ -151,8 +154,9 @@ def sets_of(docs: DataFrame, left: DataFrame, shingle: int = SHINGLE) -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fps = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64).reshape(len(pdf), WORDS).view(np.int64)
-            rows = [shingle_set(t, shingle) for t in pdf["text"]]
+            hashes = [shingle_hashes(t, shingle) for t in pdf["text"]]
+            fps = np.array([_words(h) for h in hashes], np.uint64).reshape(len(pdf), WORDS).view(np.int64)
+            rows = [shingle_set(h) for h in hashes]
             bins = [np.minimum(np.bincount((held % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() for held, _ in rows]
             yield pd.DataFrame({"leaf": [leaf for _, leaf in rows], "n": [len(held) for held, _ in rows], **{c: fps[:, i] for i, c in enumerate(_FPS)}, "bins": bins, "held": [held.view(np.int64) for held, _ in rows]})
 

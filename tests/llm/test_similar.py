@@ -96,7 +96,7 @@ def test_all_pairs_of_the_similarity_and_no_others(spark):
     assert {r.doc_id for r in similar.one_of_each(docs).collect()} == set(least)
     made = similar.leaves_of(docs)
     few, crowded = ({(r.node, r.component) for r in similar.components(similar.near_links(docs, made, budget=0, crowd=c)).collect()} for c in (700, 3))
-    assert few == crowded and len(few) > 100  # the walks find nothing here, the prefix filter all
+    assert few == crowded and len(few) > 100  # equal fingerprints apart, the walks find nothing here and the prefix filter all
 
 
 def test_forest_connects_what_pairs_connect_with_the_nearest_ones():
