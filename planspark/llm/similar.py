@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, join_counted, plain, written
+from .common import frugal, plain, written
 from .components import components
 from .simhash import majority, shingle_hashes, walked
 from .words import mix
@@ -169,8 +169,8 @@ def ordered(sets: DataFrame) -> DataFrame:
     """leaf, n, common (hashes that other sets hold too, rare ones first) and first (the leading ones that a partner must meet) of the sets that can have one."""
     rows = sets.select("leaf", F.explode("held").alias("h"))
     shared = written(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
-    rows = join_counted(rows, shared.withColumn("rows", F.col("df")), "h", "rows")
-    tokens = rows.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("tokens"))
+    # a hash stands once in a set, so none holds more rows than there are sets; Spark's skew rule splits what passages crowd
+    tokens = rows.join(shared, "h").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("tokens"))
     kin = tokens.join(sets.select("leaf", "n"), "leaf").where("5 * (n - size(tokens)) <= n").select("leaf", "n", F.col("tokens.h").alias("common"))
     return kin.withColumn("first", F.expr("slice(common, 1, cast(n div 5 + 1 - (n - size(common)) as int))"))
 
@@ -225,8 +225,7 @@ def rest(kin: DataFrame, crowd: int = CROWD) -> DataFrame:
 
     rows = kin.select("leaf", "n", "class", "bins", F.explode("first").alias("h"))
     counts = written(rows.groupBy("h").agg(F.count("*").alias("held"), F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("h", "held"))
-    rows = join_counted(rows, counts.withColumn("rows", F.col("held")), "h", "rows")
-    walks = _chunked(rows, ["h"], F.col("held"), crowd, ["leaf"])
+    walks = _chunked(rows.join(counts, "h"), ["h"], F.col("held"), crowd, ["leaf"])
     return walks.mapInPandas(frugal(run), "u long, v long").distinct()
 
 

@@ -1,5 +1,6 @@
 """Near-duplicates of five-word shingles and similarity 0.8: the long fingerprints, their walk, recall and precision."""
 
+import collections
 import random
 
 import numpy as np
@@ -104,3 +105,16 @@ def test_forest_connects_what_pairs_connect_with_the_nearest_ones():
     kept = similar.forest(left, right, apart, 7).tolist()
     assert set(kept) & {0, 1, 2} == {1, 2} and len(kept) == len(set(kept)) == 4
     assert similar.forest(left[:0], right[:0], apart[:0], 3).tolist() == []
+
+
+def test_each_set_meets_the_counts_of_its_shingles_once(spark):
+    passage = list(range(40))  # held by 2,000 sets, over a thousandth of all rows each
+    held = [[*passage, *(1000 + 3 * n + k for k in range(4))] for n in range(2000)]
+    sets = similar.written(spark.createDataFrame([(n, len(h), h) for n, h in enumerate(held)], "leaf long, n long, held array<long>"))
+    df = collections.Counter(h for hs in held for h in hs)
+    kin = similar.ordered(sets)
+    want = {n: [h for _, h in sorted((df[h], h) for h in hs if df[h] > 1)] for n, hs in enumerate(held)}
+    assert {r.leaf: r.common for r in kin.collect()} == want
+    assert {r.leaf: r.first for r in kin.collect()} == {n: common[: 44 // 5 + 1 - (44 - len(common))] for n, common in want.items()}
+    plan = kin._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(held") == 1 and "LeftAnti" not in plan
