@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from planspark.operators import plant
+from planspark.operators import bom, dashes, graph, plant, rings, shapes, spatial, tables
 
 
 def test_turns_next_to_a_step_of_no_length(spark):
@@ -13,3 +13,37 @@ def test_turns_next_to_a_step_of_no_length(spark):
     steps = [(b[2] - a[2], b[3] - a[3]) for a, b in zip(rows, rows[1:], strict=False)]
     want = [math.degrees(math.atan2(u[0] * v[1] - u[1] * v[0], u[0] * v[0] + u[1] * v[1])) for u, v in zip(steps, steps[1:], strict=False)]
     assert got[1:-1] == want and 180.0 in map(abs, want)
+
+
+def spread_and_broadcast(df) -> list[str]:
+    """The lines of df's plan where rows that explode() made go to a broadcast without being summed up; Spark takes them for as few as before."""
+    found, above = [], []
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [(d, kind) for d, kind in above if d < depth]
+        above += [(depth, kind) for kind in ("BroadcastExchange", "Aggregate") if kind in line]
+        if "Generate" in line and above and above[-1][1] == "BroadcastExchange":
+            found.append(line.strip())
+    return found
+
+
+def spots(spark, n="id"):
+    return spark.range(50).select((F.col("id") % 3).alias("page_id"), F.col("id").alias(n), (F.col("id") * 7.0).alias("x"), (F.col("id") * 3.0).alias("y"))
+
+
+def strokes(spark, name):
+    p = F.struct("x", "y")
+    return spots(spark, name).select("page_id", name, F.array(p, F.struct((F.col("x") + 4).alias("x"), "y")).alias("pts"), F.lit("a").alias("cls"))
+
+
+def test_ends_of_dashes_are_not_broadcast(spark):
+    tips = dashes.ends(strokes(spark, "fragment"))
+    assert not spread_and_broadcast(dashes.gap_shares(tips).join(dashes.bridges(tips), "page_id")) and not spread_and_broadcast(dashes.links(tips, dashes.bridges(tips)))
+
+
+def test_cells_of_points_and_shapes_are_not_broadcast(spark):
+    pieces = spots(spark).select("page_id", F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 9).alias("bx"), F.col("y").alias("by"), F.col("id").alias("piece"))
+    boxes = pieces.select("page_id", F.col("ax").alias("x0"), F.col("ay").alias("y0"), F.col("bx").alias("x1"), (F.col("by") + 5).alias("y1"), "piece")
+    others = spots(spark, "to").select("page_id", "to", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    for got in (spatial.within(spots(spark), others, 5.0, ["page_id"]), spatial.in_boxes(spots(spark), boxes, 10.0, ["page_id"]), shapes.nearest_piece_within(spots(spark), pieces, 5.0, ["page_id"], ["id"], "piece"), shapes.nearest_box_within(spots(spark), boxes, 5.0, ["page_id"], ["id"], "piece")):
+        assert got.count() and not spread_and_broadcast(got)
