@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from .classify import ROOM_KEY, table_archetype
 from .graph import checkpointed
 from .islands import gap_islands
+from .spatial import spread
 
 #: Header words of a room schedule's columns, the first that fits each.
 COLUMNS = {"tr_number": ROOM_KEY, "terminations": r"\bTERMINATIONS\b", "patch_panels": r"\bPATCH\s*PANELS?\b", "building": r"\bBUILDING\b", "level": r"^LEVEL$"}
@@ -62,7 +63,7 @@ def regions(items: DataFrame) -> DataFrame:
     """items with the title whose x is nearest, where they stand below it; a page has few titles, which go to its items as one array."""
     held = titles(items).groupBy("page_id").agg(F.collect_list(F.struct(F.col("tx").alias("x"), F.col("ty").alias("y"), "title")).alias("ts"))
     near = F.array_min(F.transform("ts", lambda t: F.struct(F.abs(t["x"] - F.col("x")).alias("d"), t["y"].alias("y"), t["title"].alias("title"))))
-    rows = items.join(held, "page_id").withColumn("_t", near)
+    rows = spread(items).join(held, "page_id").withColumn("_t", near)
     return rows.where(F.col("y") > F.col("_t.y") + 0.005).withColumn("title", F.col("_t.title")).drop("_t", "ts")
 
 

@@ -47,3 +47,24 @@ def test_cells_of_points_and_shapes_are_not_broadcast(spark):
     others = spots(spark, "to").select("page_id", "to", F.col("x").alias("rx"), F.col("y").alias("ry"))
     for got in (spatial.within(spots(spark), others, 5.0, ["page_id"]), spatial.in_boxes(spots(spark), boxes, 10.0, ["page_id"]), shapes.nearest_piece_within(spots(spark), pieces, 5.0, ["page_id"], ["id"], "piece"), shapes.nearest_box_within(spots(spark), boxes, 5.0, ["page_id"], ["id"], "piece")):
         assert got.count() and not spread_and_broadcast(got)
+
+
+def test_items_below_titles_are_not_broadcast(spark):
+    items = spots(spark, "seq").select("page_id", "seq", F.when(F.col("seq") % 5 == 0, "ROOM SCHEDULE").otherwise("x").alias("str"), "x", "y")
+    got = tables.regions(items.select(F.explode(F.array("page_id", F.col("page_id") + 1)).alias("page_id"), "seq", "str", "x", "y"))
+    assert got.count() and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strokes_near_blobs_are_not_broadcast(spark):
+    blobs = spots(spark, "blob").withColumn("radius", F.lit(2.0))
+    many = strokes(spark, "stroke").select("page_id", F.explode(F.array(F.col("stroke"), F.col("stroke") + 100)).alias("stroke"), "pts")
+    got = rings.near_strokes(blobs, many, 5.0)
+    assert got.count() and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_of_labour_are_not_broadcast(spark):
+    task = F.struct(F.lit("mount").alias("task_name"), F.lit(1.0).alias("hrs"), F.lit(0.5).alias("setup_hrs"), F.lit(None).cast("double").alias("qty"), F.lit(False).alias("per_run_ft"))
+    types = spark.range(5).select(F.col("id").alias("device_type_id"), F.create_map(F.lit("DV"), F.array(task)).alias("labor"))
+    instances = spark.range(20).select(F.col("id").alias("instance_id"), (F.col("id") % 5).alias("device_type_id"), F.lit(9.0).alias("total_ft"), F.array(F.lit("DV1")).alias("raw_labels"))
+    got = bom.labour(instances, types)
+    assert got.count() == 20 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
