@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .dashes import chain_points, ends, links, oriented_chains
 from .geometry import circles, lines
 from .graph import checkpointed
-from .spatial import within
+from .spatial import spread, within
 
 #: Radii a ring may have (times the blob's), how far its centre may lie off; lengths of a line (times the diameter), how far it may pass.
 RING, RING_OFF = (1.1, 8.0), 0.5
@@ -30,7 +30,7 @@ def near_strokes(blobs: DataFrame, strokes: DataFrame, times: float) -> DataFram
     left = blobs.where("radius > 0").select(*BLOB, "x", "y", "radius", reach.alias("_r"))
     size = F.size("pts")
     mean = lambda c: F.aggregate("pts", F.lit(0.0), lambda a, p: a + p[c]) / size
-    right = strokes.where(size >= 2).select("page_id", "stroke", "pts", mean("x").alias("rx"), mean("y").alias("ry"))
+    right = spread(strokes.where(size >= 2).select("page_id", "stroke", "pts", mean("x").alias("rx"), mean("y").alias("ry")))
     right = right.join(left.select("page_id", "_r").distinct(), "page_id")
     met = within(left, right, F.col("_r"), ["page_id", "_r"])
     return met.where(F.col("dist") <= F.col("radius") * times).select(*BLOB, "radius", "stroke", "pts", F.col("dist").alias("d"))
