@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .spatial import spread
 
 NO_LABEL = "__default__"
 
@@ -94,7 +95,7 @@ def labour(instances: DataFrame, types: DataFrame) -> DataFrame:
     fams = S.families("raw_labels")
     kinds = F.when(F.size(fams) > 0, fams).otherwise(F.array(F.lit(NO_LABEL)))
     rows = instances.select("instance_id", "device_type_id", "total_ft", F.explode(kinds).alias("family"))
-    rows = rows.join(types.select("device_type_id", "labor"), "device_type_id").select("instance_id", "device_type_id", "family", "total_ft", F.explode(F.col("labor")[F.col("family")]).alias("t"))
+    rows = rows.join(spread(types.select("device_type_id", "labor")), "device_type_id").select("instance_id", "device_type_id", "family", "total_ft", F.explode(F.col("labor")[F.col("family")]).alias("t"))
     qty = F.when(F.col("t.qty") > 0, F.col("t.qty")).otherwise(1.0)
     measured = F.col("total_ft") > 0
     feet = F.when(F.coalesce(F.col("t.per_run_ft"), F.lit(False)), F.when(measured, F.col("total_ft"))).otherwise(1.0)
