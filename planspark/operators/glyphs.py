@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shapes import nearest_piece_of_all
+
 #: Bins of the outline by angle, bins it is smoothed over, and how far a lobe stands out.
 BINS, SMOOTH, SPIKE = 72, 3, 1.6
 #: Share of the radius beyond which a part is an arm, gap between arms and how uneven they may stand (degrees).
@@ -17,13 +19,17 @@ BODY_AREA = 2e-5
 def grouped_parts(parts: DataFrame, body_area: float = BODY_AREA) -> DataFrame:
     """page_id, part, body: bodies are the parts over ``body_area``; every other part goes to the body whose middle one of its vertices is nearest.
 
-    parts: page_id, part, area, points (array of x, y). The first body wins ties. Parts of pages without a body are left out.
+    parts: page_id, part, area, points (array of x, y). The first body wins ties. Parts of pages without a body are left out; those
+    without a place go to the first body. Bodies are looked for outward, once for each place that has vertices.
     """
     middle = lambda c: F.aggregate(F.transform("points", lambda p: p[c]), F.lit(0.0), lambda a, x: a + x) / F.size("points")
     bodies = parts.where(F.col("area") > body_area).select("page_id", F.col("part").alias("body"), middle("x").alias("cx"), middle("y").alias("cy"))
     small = parts.where(F.col("area") <= body_area)
-    far = F.array_min(F.transform("points", lambda p: F.hypot(p["x"] - F.col("cx"), p["y"] - F.col("cy"))))
-    near = small.join(bodies, "page_id").groupBy("page_id", "part").agg(F.min(F.struct(far.alias("d"), "body")).alias("m")).select("page_id", "part", "m.body")
+    corners = small.select("page_id", "part", F.explode_outer(F.array_distinct("points")).alias("p")).select("page_id", "part", "p.x", "p.y")
+    spots = bodies.groupBy("page_id", F.col("cx").alias("ax"), F.col("cy").alias("ay")).agg(F.min("body").alias("body")).withColumns({"bx": F.col("ax"), "by": F.col("ay")})
+    found = nearest_piece_of_all(corners.select("page_id", "x", "y").distinct(), spots, ["page_id"], ["page_id", "x", "y"], "body").select("page_id", "x", "y", "dist", "body")
+    held = corners.join(found, ["page_id", "x", "y"], "left").groupBy("page_id", "part").agg(F.min(F.when(F.col("body").isNotNull(), F.struct("dist", "body"))).alias("m"))
+    near = held.join(bodies.groupBy("page_id").agg(F.min("body").alias("first")), "page_id").select("page_id", "part", F.coalesce("m.body", "first").alias("body"))
     return bodies.select("page_id", F.col("body").alias("part"), "body").unionByName(near)
 
 

@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from planspark.operators import bom, dashes, graph, plant, rings, shapes, spatial, tables
+from planspark.operators import bom, dashes, detect, glyphs, graph, leaders, plant, rings, shapes, spatial, tables
 
 
 def test_turns_next_to_a_step_of_no_length(spark):
@@ -68,3 +68,73 @@ def test_tasks_of_labour_are_not_broadcast(spark):
     instances = spark.range(20).select(F.col("id").alias("instance_id"), (F.col("id") % 5).alias("device_type_id"), F.lit(9.0).alias("total_ft"), F.array(F.lit("DV1")).alias("raw_labels"))
     got = bom.labour(instances, types)
     assert got.count() == 20 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def spied(monkeypatch, module, name):
+    """The number of rows of the first table that each call of module.name gets."""
+    seen, real = [], getattr(module, name)
+
+    def spy(first, *more, **named):
+        seen.append(first.count())
+        return real(first, *more, **named)
+
+    monkeypatch.setattr(module, name, spy)
+    return seen
+
+
+def test_points_at_one_place_are_decided_once(spark, monkeypatch):
+    rows = [(i, float(i % 4 * 3), 0.0, 1) for i in range(200)] + [(900, None, 0.0, 1), (901, None, 0.0, 1), (902, math.nan, 0.0, 1), (903, math.nan, 0.0, 1)]
+    seen = spied(monkeypatch, graph, "within")
+    got = graph.greedy_keep(spark.createDataFrame(rows, "id long, x double, y double, page long"), 4.0, ["page"])
+    assert sorted(r.id for r in got.collect()) == [0, 2, 900, 901, 902, 903] and seen == [4]
+
+
+def test_ways_from_one_place_are_looked_for_once(spark, monkeypatch):
+    starts = [(1, d, float(d % 2 * 50), 0.0, 9.0, 0.0) for d in range(60)] + [(1, 99, None, 0.0, 9.0, 0.0)]
+    waypoints = [(1, w, float(w % 5 * 4), 0.0) for w in range(40)]
+    seen = spied(monkeypatch, graph, "checkpointed")
+    got = graph.waypoint_paths(spark.createDataFrame(starts, "page_id long, device long, x double, y double, tx double, ty double"), spark.createDataFrame(waypoints, "page_id long, waypoint long, wx double, wy double"))
+    ways = {}
+    for r in got.orderBy("device", "hop").collect():
+        ways.setdefault(r.device, []).append((r.hop, r.waypoint, r.x))
+    assert ways == {d: [(1, 4, 16.0), (2, 3, 12.0), (3, 2, 8.0)] if d % 2 else [(1, 1, 4.0), (2, 2, 8.0)] for d in range(60)} and max(seen) <= 5
+
+
+def test_parts_at_one_place_look_for_their_body_once(spark, monkeypatch):
+    seen = spied(monkeypatch, glyphs, "nearest_piece_of_all")
+    rows = [(1, i, 0.0, [(float(i % 3), 0.0), (float(i % 3 + 1), 5.0)]) for i in range(90)] + [(1, 100 + i, 1.0, [(10.0 * (i % 2), 0.0)]) for i in range(8)] + [(1, 200, 0.0, []), (1, 201, 0.0, [(math.nan, 0.0)]), (2, 300, 0.0, [(0.0, 0.0)])]
+    parts = spark.createDataFrame(rows, "page_id long, part long, area double, points array<struct<x:double,y:double>>")
+    got = {r.part: r.body for r in glyphs.grouped_parts(parts, 0.5).collect()}
+    assert got == {i: 100 for i in (*range(90), 200, 201)} | {100 + i: 100 + i for i in range(8)} and seen == [9]
+
+
+def test_equal_strokes_and_anchors_make_one_fan(spark, monkeypatch):
+    strokes = [(1, s, 10.0, 10.0, 40.0, 10.0 + s % 2 * 30) for s in range(20)]
+    anchors = [(1, a, 11.0, 10.0) for a in range(15)] + [(1, 90, 500.0, 10.0), (1, 91, None, 10.0)]
+    seen = spied(monkeypatch, leaders, "within")
+    got = leaders.fans(spark.createDataFrame(strokes, "page_id long, seg long, ax double, ay double, bx double, by double"), spark.createDataFrame(anchors, "page_id long, anchor long, x double, y double"))
+    found = {r.anchor: (r.ok, r.reason, r.fanout) for r in got.collect()}
+    assert found == {a: (True, None, 2) for a in range(15)} | {a: (False, "no_leader_segments", None) for a in (90, 91)} and seen == [3]
+
+
+def test_pins_of_one_place_are_looked_for_once(spark, monkeypatch):
+    seen = spied(monkeypatch, spatial, "in_boxes")
+    points = spark.createDataFrame([(1, i, float(i % 2 * 30), 0.0) for i in range(50)] + [(1, 70, None, 0.0)], "page_id long, id long, x double, y double")
+    pins = spark.createDataFrame([(1, p, 31.0, 0.0) for p in range(9)], "page_id long, near_pin long, rx double, ry double")
+    boxes = spark.createDataFrame([(1, 20 + b, 9 - b, -1.0, -1.0, 1.0, 1.0) for b in range(9)], "page_id long, pin_id long, pin_order int, x0 double, y0 double, x1 double, y1 double")
+    got = {r.id: (r.pin, r.scoped) for r in spatial.assign_pins(points, boxes, pins, 10.0, 100.0, ["page_id"], ["id"]).collect()}
+    assert got == {i: (0, False) if i % 2 else (28, True) for i in range(50)} | {70: (None, False)} and seen == [3]
+
+
+def test_codes_and_ends_of_one_place_are_looked_for_once(spark, monkeypatch):
+    anchors, codes = [(1, i, "W", 0.0, 0.0) for i in range(20)], [(1, 100 + i, f"DV{i % 3}", 3.0, 0.0) for i in range(30)]
+    items = spark.createDataFrame(anchors + codes, "page_id long, seq long, str string, x double, y double")
+    types = detect.type_catalog(spark.createDataFrame([(1, "wap", '{"anchor": "W", "families": ["DV"], "fam_radius": 9}')], "type_id long, name string, detection_config string"))
+    seen = spied(monkeypatch, spatial, "within")
+    got = {r.seq: r.codes for r in detect.detected(items, types, 9.0).collect()}
+    assert got == {i: ["DV0", "DV1", "DV2"] if i == 0 else [] for i in range(20)} and seen == [1]
+    seen = spied(monkeypatch, plant, "nearest_box_within")
+    ends = spark.createDataFrame([(1, i, float(i % 2 * 900), 0.0) for i in range(30)] + [(1, 50, None, 0.0)], "page_id long, end long, x double, y double")
+    blocks = spark.createDataFrame([(1, "refer to sheet T1.2.", 5.0, 0.0, 9.0, 9.0)] * 4, "page_id long, text string, x0 double, y0 double, x1 double, y1 double")
+    notes = {r.end: r.note for r in plant.end_tags(ends, blocks, 50.0).collect()}
+    assert notes == {i: "" if i % 2 else "near 'REFER TO T1.2'" for i in range(30)} | {50: ""} and seen == [3]
