@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import greedy_keep
+from .graph import checkpointed, greedy_keep
 from .spatial import within
 
 
@@ -13,23 +13,28 @@ def fans(segments: DataFrame, anchors: DataFrame, search: float = 30.0, long: fl
     """anchor, ok, reason, ox, oy, fanout: the place near each anchor where most long strokes meet, and how many tips they have.
 
     segments: page_id, seg, ax, ay, bx, by. anchors: page_id, anchor, x, y. A stroke counts if one end is nearer than ``search``; ends
-    that snap to one place meet there; ties go to the place nearer the anchor. Tips closer than ``merge`` are one.
+    that snap to one place meet there; ties go to the place nearer the anchor. Tips closer than ``merge`` are one. Anchors at one place
+    have one fan, which is looked for once; equal strokes go as one with their number.
     """
+    every, spot = anchors, ["page_id", "x", "y"]
+    anchors = checkpointed(anchors.groupBy(*spot).agg(F.min("anchor").alias("anchor")))
+    segments = segments.groupBy("page_id", "ax", "ay", "bx", "by").agg(F.min("seg").alias("seg"), F.count("*").alias("times"))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    strokes = segments.where(F.hypot(dx, dy) > long)
+    strokes = checkpointed(segments.where(F.hypot(dx, dy) > long))
     ends = strokes.select("page_id", "seg", F.explode(F.array(F.struct(F.col("ax").alias("rx"), F.col("ay").alias("ry")), F.struct(F.col("bx").alias("rx"), F.col("by").alias("ry")))).alias("e")).select("page_id", "seg", "e.*")
     near = within(anchors, ends, search, ["page_id"], strict=True).select("page_id", "anchor", "x", "y", "seg").distinct()
-    number = near.groupBy("anchor").agg(F.count("*").alias("strokes"))
-    met = near.join(strokes.select("page_id", "seg", "ax", "ay", "bx", "by"), ["page_id", "seg"])
+    met = checkpointed(near.join(strokes.select("page_id", "seg", "ax", "ay", "bx", "by", "times"), ["page_id", "seg"]))
+    number = met.groupBy("anchor").agg(F.sum("times").alias("strokes"))
     sides = F.array(F.struct(F.col("ax").alias("vx"), F.col("ay").alias("vy"), F.col("bx").alias("tx"), F.col("by").alias("ty"), F.lit(0).alias("side")), F.struct(F.col("bx").alias("vx"), F.col("by").alias("vy"), F.col("ax").alias("tx"), F.col("ay").alias("ty"), F.lit(1).alias("side")))
-    tips = met.select("anchor", "x", "y", "seg", F.explode(sides).alias("s")).select("anchor", "x", "y", "seg", "s.*")
+    tips = met.select("anchor", "x", "y", "seg", "times", F.explode(sides).alias("s")).select("anchor", "x", "y", "seg", "times", "s.*")
     tips = tips.withColumns({"kx": F.floor(F.col("vx") / snap + 0.5), "ky": F.floor(F.col("vy") / snap + 0.5)})
-    places = tips.groupBy("anchor", "kx", "ky", "x", "y").agg(F.count("*").alias("degree"), F.min_by(F.struct("vx", "vy"), F.struct("seg", "side")).alias("v"))
+    places = tips.groupBy("anchor", "kx", "ky", "x", "y").agg(F.sum("times").alias("degree"), F.min_by(F.struct("vx", "vy"), F.struct("seg", "side")).alias("v"))
     far = (F.col("v.vx") - F.col("x")) * (F.col("v.vx") - F.col("x")) + (F.col("v.vy") - F.col("y")) * (F.col("v.vy") - F.col("y"))
     best = places.groupBy("anchor").agg(F.min(F.struct(-F.col("degree"), far.alias("far"), "kx", "ky", F.col("v.vx").alias("ox"), F.col("v.vy").alias("oy"), F.col("degree").alias("degree"))).alias("b")).select("anchor", "b.kx", "b.ky", "b.ox", "b.oy", "b.degree")
     mine = tips.join(best.where(F.col("degree") >= least), ["anchor", "kx", "ky"]).withColumn("id", F.col("seg") * 2 + F.col("side"))
     kept = greedy_keep(mine.select("anchor", "id", F.col("tx").alias("x"), F.col("ty").alias("y")), merge, ["anchor"]).groupBy("anchor").agg(F.count("*").alias("fanout"))
-    rows = anchors.join(number, "anchor", "left").join(best, "anchor", "left").join(kept, "anchor", "left")
+    found = anchors.join(number, "anchor", "left").join(best, "anchor", "left").join(kept, "anchor", "left").drop("anchor")
+    rows = every.join(found, spot, "left")
     reason = F.when(F.coalesce("strokes", F.lit(0)) < least, "no_leader_segments").when(F.coalesce("degree", F.lit(0)) < least, "no_fan_origin")
     return rows.select("page_id", "anchor", "x", "y", reason.isNull().alias("ok"), reason.alias("reason"), *[F.when(reason.isNull(), F.col(c)).alias(c) for c in ("ox", "oy", "fanout")])
 
