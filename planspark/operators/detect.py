@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .spatial import nearest
+from .spatial import nearest_by_place
 
 #: The way that sheets of each kind are read.
 ROUTES = {"device_list": "schedule", "quantity_matrix": "matrix", "tr_summary": "tr_schedule", "label_stamp": "labels"}
@@ -57,7 +57,7 @@ def detected(items: DataFrame, catalog: DataFrame, radius: float) -> DataFrame:
     wanted = catalog.select("type", F.col("radius").alias("reach"), F.explode("families").alias("family")).distinct()
     codes = coded.join(wanted, "family").select("page_id", "type", F.col("seq").alias("code_seq"), F.col("text").alias("code"), "reach", "x", "y")
     target = anchors.select("page_id", "type", "seq", F.col("text").alias("anchor_text"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    met = nearest(codes, target, radius, ["page_id", "type"], ["code_seq", "page_id", "type"], F.col("seq"), strict=True)
+    met = nearest_by_place(codes, target, radius, ["page_id", "type"], ["code_seq", "page_id", "type"], "seq", strict=True)
     same = (F.col("code") == F.col("anchor_text")) & (F.col("dist") < 1e-6)
     held = met.where((F.col("dist") < F.col("reach")) & ~same & (F.col("code") != F.col("anchor_text"))).groupBy("page_id", "type", "seq").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     out = anchors.join(held, ["page_id", "type", "seq"], "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))

@@ -48,6 +48,17 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, keys: list[str], b
     return met.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(-F.col("dist"), *ties)).alias("_x")).select(*by, "_x.*")
 
 
+def nearest_by_place(left: DataFrame, right: DataFrame, radius: float, keys: list[str], by: list[str], *ties: str, strict: bool = False) -> DataFrame:
+    """nearest() for points of which many stand at one place: each place looks once, and finds the least of the points at another.
+
+    ties: columns of right, one at least.
+    """
+    spot, rest = [*keys, "x", "y"], [c for c in right.columns if c not in (*keys, "rx", "ry")]
+    firsts = right.groupBy(*keys, "rx", "ry").agg(F.min_by(F.struct(*rest), F.struct(*ties)).alias("_x")).select(*keys, "rx", "ry", "_x.*")
+    met = nearest(left.select(*spot).distinct(), firsts, radius, keys, spot, *map(F.col, ties), strict=strict)
+    return _first(left.join(met, spot), by, "dist", *ties)
+
+
 def _first(met: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
     """The first row of each ``by``; tasks keep one row each before the shuffle."""
     rest = [c for c in met.columns if c not in by]
@@ -90,11 +101,15 @@ def in_boxes(points: DataFrame, boxes: DataFrame, width: float, keys: list[str])
 def assign_pins(points: DataFrame, boxes: DataFrame, pins: DataFrame, width: float, reach: float, keys: list[str], by: list[str]) -> DataFrame:
     """The pin of each point: the first scoped box over it, else the nearest pin within reach, else null.
 
-    boxes: keys, pin_id, pin_order and corners. pins: keys, near_pin, rx, ry.
+    boxes: keys, pin_id, pin_order and corners. pins: keys, near_pin, rx, ry. by: names a point. Points at one place have one pin: places look for it.
     """
-    scoped = in_boxes(points, boxes, width, keys).groupBy(*by).agg(F.min_by("pin_id", "pin_order").alias("box_pin"))
-    near = nearest_outward(points, pins, reach / 16, reach, keys, by, F.col("near_pin")).select(*by, "near_pin")
-    return points.join(scoped, by, "left").join(near, by, "left").withColumns({"pin": F.coalesce("box_pin", "near_pin"), "scoped": F.col("box_pin").isNotNull()}).drop("box_pin", "near_pin")
+    spot = [*keys, "x", "y"]
+    places = points.select(*spot).distinct()
+    firsts = boxes.groupBy(*keys, "x0", "y0", "x1", "y1").agg(F.min_by(F.struct("pin_id", "pin_order"), "pin_order").alias("b")).select(*keys, "x0", "y0", "x1", "y1", "b.*")
+    scoped = in_boxes(places, firsts, width, keys).groupBy(*spot).agg(F.min_by("pin_id", "pin_order").alias("box_pin"))
+    near = nearest_outward(places, pins.groupBy(*keys, "rx", "ry").agg(F.min("near_pin").alias("near_pin")), reach / 16, reach, keys, spot, F.col("near_pin")).select(*spot, "near_pin")
+    met = points.join(scoped.join(near, spot, "full"), spot, "left").select(*points.columns, "box_pin", "near_pin")
+    return met.withColumns({"pin": F.coalesce("box_pin", "near_pin"), "scoped": F.col("box_pin").isNotNull()}).drop("box_pin", "near_pin")
 
 
 def route(mode: Column, x: Column, y: Column, px: Column, py: Column) -> Column:
