@@ -144,6 +144,13 @@ def types_of_projects(projects: DataFrame, types: DataFrame) -> DataFrame:
     return own.join(types.withColumnRenamed("project", "of"), "of").drop("of")
 
 
+def type_counts(projects: DataFrame, types: DataFrame) -> DataFrame:
+    """project, types: how many rows types_of_projects() has for each; types are counted before they meet the projects that share a library."""
+    held = types.groupBy(F.col("project").alias("of")).agg(F.count("*").alias("types"))
+    own = projects.select("project", F.coalesce("library", "project").alias("of"))
+    return own.join(held, "of").groupBy("project").agg(F.sum("types").alias("types"))
+
+
 def copied_types(source: DataFrame, existing: DataFrame, project: int) -> DataFrame:
     """Types of another project that this one lacks, by legend_id, as its own."""
     new = source.join(existing.select("legend_id").distinct(), "legend_id", "left_anti")

@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from planspark.operators import bom, dashes, detect, glyphs, graph, leaders, plant, rings, shapes, spatial, tables
+from planspark.operators import bom, dashes, detect, glyphs, graph, islands, leaders, merge, plant, review, rings, shapes, spatial, tables
 
 
 def test_turns_next_to_a_step_of_no_length(spark):
@@ -138,3 +138,27 @@ def test_codes_and_ends_of_one_place_are_looked_for_once(spark, monkeypatch):
     blocks = spark.createDataFrame([(1, "refer to sheet T1.2.", 5.0, 0.0, 9.0, 9.0)] * 4, "page_id long, text string, x0 double, y0 double, x1 double, y1 double")
     notes = {r.end: r.note for r in plant.end_tags(ends, blocks, 50.0).collect()}
     assert notes == {i: "" if i % 2 else "near 'REFER TO T1.2'" for i in range(30)} | {50: ""} and seen == [3]
+
+
+def test_types_are_counted_before_they_meet_projects(spark):
+    projects = spark.createDataFrame([(p, 1 if p % 2 else None) for p in range(10)], "project long, library long")
+    types = spark.createDataFrame([(p, i) for p in (1, 2) for i in range(30 * p)], "project long, type_id long")
+    rows = review.types_of_projects(projects, types).groupBy("project").agg(F.count("*").alias("types"))
+    assert sorted(map(tuple, review.type_counts(projects, types).collect())) == sorted(map(tuple, rows.collect())) == [(1, 30), (2, 60), (3, 30), (5, 30), (7, 30), (9, 30)]
+
+
+def test_totals_of_causes_are_those_of_the_lines(spark):
+    lines = spark.createDataFrame([(f"WF{i % 3}", "add" if i % 2 else "credit", i / 2) for i in range(12)] + [(None, "add", 1.0)], "step string, line_type string, delta double")
+    changes = spark.createDataFrame([("T1", "WF1", None, "B"), ("T2", "WF1", "A", None), ("T3", "WF2", "A", "B")], "sheet string, step string, from_rev string, to_rev string")
+    each = merge.causes(lines, changes).groupBy("step", "line_type", "cause_kind").agg(F.count("*").alias("lines"), F.sum("delta").alias("delta"), F.max(F.length("cause_note")).cast("long").alias("note_chars"))
+    got = merge.cause_totals(lines, changes)
+    assert got.columns == each.columns and sorted(map(str, got.collect())) == sorted(map(str, each.collect())) and got.count() == 7
+
+
+def test_an_island_of_many_runs_is_one_walk(spark):
+    """Drifting lines: every row is in reach of the next, so a page is one island."""
+    rows = [(1, f"w{i}", i * 0.25, 0.0, 3.0 + i % 2, 4.0) for i in range(4000)]
+    got = islands.anchored_runs(spark.createDataFrame(rows, "page long, s string, cy double, x0 double, x1 double, fs double"), ["page"], 0.5).orderBy("run").collect()
+    assert [(r.s, r.n, r.cy) for r in got[:2]] == [("w0w1w2", 3, 0.0), ("w3w4w5", 3, 0.75)] and len(got) == 1334 and sum(r.n for r in got) == 4000
+    plan = islands.anchored_runs(spark.createDataFrame(rows[:3], "page long, s string, cy double, x0 double, x1 double, fs double"), ["page"], 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan
