@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,15 +56,37 @@ def anchored_runs(runs: DataFrame, keys: list[str], y_tolerance: float = 1.0, sp
 
     runs: keys, s, cy, x0 (left), x1 (right), fs. Gives keys, line, run, s, cx, cy and n of each joined run. Runs go by place, those of
     one height from the left; each is held against the first of the run so far, so lines that drift come apart where they are too far
-    from where they began. Rows further apart than the tolerance never meet: the fold goes over what lies between.
+    from where they began. Rows further apart than the tolerance never meet: each island between is one walk, whose work grows with its length.
     """
+
+    @F.pandas_udf("array<int>")
+    def walked(cy: pd.Series, left: pd.Series, right: pd.Series, fs: pd.Series) -> pd.Series:
+        """Twice the number of each item's run, and one more if a space goes before it."""
+        out = []
+        for ys, lefts, rights, sizes in zip(cy, left, right, fs, strict=True):
+            run, codes, y, reach, size = -1, [], 0.0, 0.0, 0.0
+            for at, begin, end, high in zip(ys.tolist(), lefts.tolist(), rights.tolist(), sizes.tolist(), strict=True):
+                gap = begin - reach
+                if run < 0 or abs(at - y) > y_tolerance or gap > size * merge:
+                    run, y, reach, size = run + 1, at, end, high
+                    codes.append(2 * run)
+                else:
+                    codes.append(2 * run + (gap > size * space))
+                    reach = end if math.isnan(reach) else reach if math.isnan(end) else max(reach, end)
+            out.append(codes)
+        return pd.Series(out)
+
     lines = gap_islands(runs, keys, "cy", y_tolerance, "x0", name="line")
     item = F.struct("cy", "x0", "s", "x1", "fs")
     held = lines.groupBy(*keys, "line").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    items = F.transform("items", lambda i: F.struct(i["s"].alias("s"), i["cy"].alias("cy"), i["x0"].alias("left"), i["x1"].alias("right"), F.when(i["fs"] != 0, i["fs"]).otherwise(10.0).alias("fs"), F.lit(1).alias("n")))
-    done = folded(items, lambda cur, it: (F.abs(it["cy"] - cur["cy"]) > y_tolerance) | (it["left"] - cur["right"] > cur["fs"] * merge), lambda cur, it: it["left"] - cur["right"] > cur["fs"] * space)
-    rows = held.select(*keys, "line", F.posexplode(done).alias("run", "r"))
-    return rows.select(*keys, "line", "run", "r.s", ((F.col("r.left") + F.col("r.right")) / 2).alias("cx"), "r.cy", F.col("r.n").cast("long").alias("n"))
+    double = lambda c: F.col(f"items.{c}").cast("array<double>")
+    size = F.transform(double("fs"), lambda v: F.when(v != 0, v).otherwise(10.0))
+    coded = held.withColumn("codes", walked(double("cy"), double("x0"), double("x1"), size))
+    rows = coded.select(*keys, "line", F.posexplode(F.arrays_zip("items", "codes")).alias("at", "i")).select(*keys, "line", "at", F.floor(F.col("i.codes") / 2).cast("int").alias("run"), "i.items.*", (F.col("i.codes") % 2 == 1).alias("_spaced"))
+    piece = F.struct("at", F.concat(F.when(F.col("_spaced"), " ").otherwise(""), "s").alias("p"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["p"]), "")
+    cx = (F.min_by("x0", "at") + F.max("x1")) / 2
+    return rows.groupBy(*keys, "line", "run").agg(text.alias("s"), cx.alias("cx"), F.min_by("cy", "at").alias("cy"), F.count("*").alias("n"))
 
 
 def normalise(items: DataFrame, keys: list[str]) -> DataFrame:
